@@ -5,10 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, secret_scan
+from . import bpe, license_scan, order_minhash, packing, quality, secret_scan
 from .common import read
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(read(spark, sf_dir))
+
+
+def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licence_labels(read(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -22,6 +34,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_order_minhash": op2_order_minhash,
+    "op4_divergence": op4_divergence,
+    "op6_license_scan": op6_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
