@@ -31,10 +31,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it again: the lineage ends there, lost executors cost nothing."""
+    """Writes a frame to the shared folder and reads it again: the lineage ends there, lost executors cost nothing.
+
+    The collection afterwards lets Spark's cleaner drop the shuffle files behind the written table now, rather than at
+    the driver's next full collection."""
     spark = frame.sparkSession
     path = shared_dir(spark, name)
     frame.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, order_minhash, packing, quality, secret_scan
+from . import bpe, jaccard_join, license_scan, order_minhash, packing, quality, repeats, secret_scan
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), size=4096, separator=2)
 
@@ -33,13 +37,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(read(spark, sf_dir))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir)).drop("kept")
+
+
 QUERIES = {
     "op2_order_minhash": op2_order_minhash,
     "op4_divergence": op4_divergence,
     "op6_license_scan": op6_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
