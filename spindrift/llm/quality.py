@@ -59,8 +59,10 @@ def repeated_words(ws: Column, window: int = 8) -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, ws (the words), the contract's counts and ``classes`` (characters per class, then others, spaces)."""
-    frame = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text"))
+    """doc_id, lang, ws (the words), the contract's counts, ``classes`` (characters per class, then others, spaces) and
+    ``source_row`` (all columns of ``docs``)."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    frame = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("source_row"), F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), text_of().alias("text"))
     frame = frame.withColumn("r0", F.regexp_replace("text", f"[{SPACE}]+", ""))
     for i, (_, pattern) in enumerate(CLASSES):
         frame = frame.withColumn(f"r{i + 1}", F.regexp_replace(f"r{i}", pattern, ""))
@@ -77,6 +79,7 @@ def counts(docs: DataFrame) -> DataFrame:
         (length(before_symbols) - length(F.translate(before_symbols, SYMBOLS, ""))).alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         F.array(*classes).alias("classes"),
+        "source_row",
     )
 
 
@@ -140,11 +143,12 @@ def word_distance(lowered: Column, common: Column, common_q: Column, other_q: Co
     return let(F.sort_array(F.transform(lowered, lambda w: F.array_position(common, w))), of_numbers)
 
 
-def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def judge(docs: DataFrame, limits: Limits = Limits(), rows: bool = False) -> DataFrame:
     """One row per document: the counts, base_failed, both distances and the verdict ``kept``.
 
     Null and empty texts have no words and fail the base rules. Rows are judged one by one, so repeated rows get equal
-    verdicts; a null language is a language of its own. Columns other than doc_id, lang and text aren't read.
+    verdicts; a null language is a language of its own. Columns other than doc_id, lang and text aren't read, unless
+    ``rows`` asks for them in the struct ``source_row``.
     """
     refs = F.broadcast(references(docs, limits))  # at most limits.languages + 1 rows of limits.common_words words of 64 characters
     frame = counts(docs).withColumn("key", language_key(docs, limits.languages)).join(refs.withColumnRenamed("lang", "key"), "key", "left")
@@ -158,6 +162,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         repeated_words(F.col("ws")).cast("bigint").alias("n_repeat_words"),
         class_distance(F.col("classes"), F.col("class_q")).alias("char_distance"),
         F.when(n > 0, word_distance(F.transform("ws", lambda w: F.lower(w)), F.col("common"), F.col("common_q"), F.col("other_q"))).otherwise(F.lit(0.0)).alias("word_distance"),
+        *(["source_row"] if rows else []),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     near = (F.col("char_distance") <= limits.chars) & (F.col("word_distance") <= limits.words)
@@ -165,5 +170,5 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & ((F.col("n_words") < limits.min_words) | near)).alias("kept"),
-        "char_distance", "word_distance",
+        "char_distance", "word_distance", *(["source_row"] if rows else []),
     )

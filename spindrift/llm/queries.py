@@ -4,15 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, license_scan, order_minhash, packing, quality, repeats, secret_scan
-from .common import read
+from . import bpe, jaccard_join, license_scan, line_dedup, order_minhash, packing, quality, repeats, secret_scan, token_files
+from .common import read, shared_dir, text_of
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the documents as flat token files and counts by scanning them: doc_id, n_tokens, file, ordinal, start."""
+    folder, separator = shared_dir(spark, "tokens"), 50256
+    manifest = token_files.write_token_files(read(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, separator)
+    counts = token_files.token_counts(spark, folder, separator)
+    return counts.join(manifest, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(read(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and removed lines of every document, with a digest of what is left."""
+    kept = line_dedup.without_repeats(read(spark, sf_dir))
+    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir))
 
@@ -42,7 +57,9 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_order_minhash": op2_order_minhash,
+    "op3_line_dedup": op3_line_dedup,
     "op4_divergence": op4_divergence,
     "op6_license_scan": op6_license_scan,
     "op5_byte_bpe": op5_byte_bpe,

@@ -4,7 +4,7 @@ import random
 
 import brute
 import pytest
-from spindrift.llm import jaccard_join, repeats
+from spindrift.llm import jaccard_join, line_dedup, repeats
 from spindrift.llm.run_length import RunLengthIndex
 
 
@@ -87,3 +87,68 @@ def test_repeats(request, which):
     found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(frame).collect()}
     assert found == brute.repeats(rows)
     assert repeats.remove_repeats(frame.where("doc_id < 0")).count() == 0
+
+
+def test_edit_distance_bound():
+    rnd = random.Random(4)
+    for _ in range(4000):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 14)))
+        b = list(a)
+        for _ in range(rnd.randrange(0, 5)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randrange(2)] = rnd.choice(["", "a", "b", "c"])
+        b = "".join(b)
+        for k in (1, 2, 3):
+            assert line_dedup.within(a, b, k) == (brute.edit_distance(a, b) <= k), (a, b, k)
+
+
+def test_near_lines_share_a_key():
+    rnd = random.Random(6)
+    for _ in range(1500):
+        a = "".join(rnd.choice("ab") for _ in range(rnd.randrange(24, 40)))
+        b = list(a)
+        for _ in range(rnd.randrange(0, 3)):
+            at = rnd.randrange(len(b))
+            b[at : at + rnd.randrange(2)] = rnd.choice(["", "a", "b"])
+        b = "".join(b)
+        if brute.edit_distance(a, b) <= 2:
+            low, high = sorted((a, b), key=len)
+            own = {k for k, mine in line_dedup.signatures(low, 2) if mine}
+            assert own & {k for k, _ in line_dedup.signatures(high, 2)}, (a, b)
+
+
+def _deduped(rows, tau=2, min_chars=24):
+    lines = [(k, i, x) for k, t in rows for i, x in enumerate((t or "").split("\n")) if brute.WS.search(x)]
+    texts = sorted({x for _, _, x in lines})
+    long = [i for i, x in enumerate(texts) if len(x) >= min_chars]
+    linked = [(a, b) for i, a in enumerate(long) for b in long[i + 1 :] if abs(len(texts[a]) - len(texts[b])) <= tau and line_dedup.within(texts[a], texts[b], tau)]
+    classes, number = brute.components(range(len(texts)), linked), {x: i for i, x in enumerate(texts)}
+    first, gone = {}, {k: set() for k, _ in rows}
+    for k, i, x in sorted(lines):
+        if first.setdefault(classes[number[x]], (k, i)) != (k, i):
+            gone[k].add(i)
+    return {k: (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]), len(gone[k])) for k, t in rows}
+
+
+def test_line_dedup_planted(spark):
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice("abcdef ") for _ in range(n)) for n in (23, 24, 30, 60, 200)]
+    pool = [b for b in base]
+    for b in base * 12:
+        x = list(b)
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(x))
+            x[at : at + rnd.randrange(2)] = rnd.choice(["", "z", "yy"])
+        pool.append("".join(x))
+    rows = [(i, "\n".join(rnd.choice([*pool, "", " ", "short"]) for _ in range(rnd.randrange(1, 7)))) for i in range(60)] + [(98, None), (99, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = {r["doc_id"]: (r["text"], r["_removed"]) for r in line_dedup.without_repeats(frame).collect()}
+    assert found == _deduped(rows)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_line_dedup(request, which):
+    frame, rows = request.getfixturevalue(which), request.getfixturevalue({"docs": "rows", "odd": "odd_rows"}[which])
+    found = {r["doc_id"]: (r["text"], r["_removed"]) for r in line_dedup.without_repeats(frame).collect()}
+    assert found == _deduped(rows)
+    assert line_dedup.without_repeats(frame.where("doc_id < 0")).count() == 0
