@@ -1,4 +1,6 @@
 """All registered queries of the library's own operators and the SQL that they are checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import numeric, search  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
