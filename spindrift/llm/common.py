@@ -82,3 +82,19 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h *= _MULT[1]
     h ^= h >> np.uint64(31)
     return h
+
+
+SKETCH_WORDS = 16
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """A set's hashes as 1,024 bits in 16 words: a bit of one set that another lacks stands for a member that it lacks."""
+    bits = np.zeros(64 * SKETCH_WORDS, np.uint8)
+    bits[hashes & np.uint64(64 * SKETCH_WORDS - 1)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
+def sketch_lacks(a: str, b: str) -> Column:
+    """How many bits of the sketch in columns ``a0``.. are missing in ``b0``..: at most the members missing."""
+    parts = [F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}{i}")))) for i in range(SKETCH_WORDS)]
+    return sum(parts[1:], parts[0])

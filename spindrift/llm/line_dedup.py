@@ -9,12 +9,13 @@ verified by a banded bit-parallel edit distance.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, text_of
+from .common import SKETCH_WORDS, SPACE, sketch, sketch_lacks, stored, text_of
 from .graph import connected
 
 TAU, MIN_CHARS = 2, 24
@@ -126,15 +127,37 @@ def _keys(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     return lines.where(F.char_length("line") >= min_chars).select("h", "line").mapInArrow(run, "key bigint, h bigint, own boolean")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, tau: int, per_task: int = 512) -> DataFrame:
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, line of the wanted hashes."""
+    some = lines.select("h", "line").join(wanted.select(F.col("h").alias("of")).distinct().hint("shuffle_merge"), F.col("h") == F.col("of"), "left_semi")
+    return some.groupBy("h").agg(F.first("line").alias("line"))
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """h and 16 words of 64 bits: which trigrams a line holds, by hash."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for line in batch.column(1).to_pylist():
+                c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                g = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
+                rows.append(sketch((g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)))
+            columns = list(zip(*rows)) if rows else [[]] * SKETCH_WORDS
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names)
+
+    names = ["h", *(f"w{i}" for i in range(SKETCH_WORDS))]
+    return texts.select("h", "line").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, tau: int, per_task: int = 512) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines are within ``tau`` edits. Line ``a`` travels to each of its tasks once."""
     pairs = pairs.withColumn("salts", F.ceil(F.count("*").over(Window.partitionBy("a")) / per_task))
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    hub = pairs.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("of"), F.lit(0).alias("role")).distinct()
+    hub = pairs.select("a", "salts").distinct()
+    hub = hub.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("of"), F.lit(0).alias("role"))
     asked = hub.union(pairs.select("a", "salt", F.col("b").alias("of"), F.lit(1).alias("role")))
-    wanted = asked.select("of").distinct()
-    texts = lines.select("h", "line").join(wanted.hint("shuffle_merge"), F.col("h") == F.col("of"), "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    rows = texts.join(asked, F.col("h") == F.col("of")).select("a", "salt", "role", "of", "line")
+    rows = texts.join(asked.hint("shuffle_merge"), F.col("h") == F.col("of")).select("a", "salt", "role", "of", "line")
 
     def run(batches):
         hub_of, hub_line = None, ""
@@ -158,7 +181,8 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     by_key = Window.partitionBy("key")
     met = rows.withColumn("c", F.count("*").over(by_key)).withColumn("pivot", F.min(F.when(F.col("own"), F.col("h"))).over(by_key))
     met = stored(met.where("c > 1 and pivot is not null").select("key", "h", "own", "pivot"), "keys")
-    links = stored(_verified(met.where("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct(), lines, tau), "near-lines")
+    texts = stored(_texts(lines, met), "line-texts")
+    links = stored(_verified(met.where("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct(), texts, tau), "near-lines")
     if links.isEmpty():
         found = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
     else:
@@ -166,13 +190,18 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     label = met.join(found, F.col("h") == F.col("node"), "left").select("key", "h", "own", F.coalesce("component", "h").alias("component"))
     label = label.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo < hi")
     label = stored(label.drop("lo", "hi"), "open-lines")
-    left = label.where("own").select("key", F.col("h").alias("a"), F.col("component").alias("ca"))
-    right = label.select("key", F.col("h").alias("b"), F.col("component").alias("cb"), F.col("own").alias("own_b"))
-    rest = left.join(right, "key").where((F.col("ca") != F.col("cb")) & (~F.col("own_b") | (F.col("a") < F.col("b"))))
+    # An edit takes three trigrams of a line at most: pairs whose sketches differ by more aren't handed on.
+    words = _sketches(texts.join(label.select(F.col("h").alias("of")).distinct(), F.col("h") == F.col("of"), "left_semi"))
+    label = stored(label.join(words, "h"), "sketched-lines")
+    side = lambda h, c, w: [F.col("h").alias(h), F.col("component").alias(c), *[F.col(f"w{i}").alias(f"{w}{i}") for i in range(SKETCH_WORDS)]]
+    left = label.where("own").select("key", *side("a", "ca", "x"))
+    right = label.select("key", *side("b", "cb", "y"), F.col("own").alias("own_b"))
+    alike = (sketch_lacks("x", "y") <= 3 * tau) & (sketch_lacks("y", "x") <= 3 * tau)
+    rest = left.join(right.hint("shuffle_merge"), "key").where((F.col("ca") != F.col("cb")) & (~F.col("own_b") | (F.col("a") < F.col("b"))) & alike)
     rest = rest.select("a", "b").distinct().join(links.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
     rest = stored(rest, "line-rest")
     if not rest.isEmpty():
-        more = stored(_verified(rest, lines, tau), "near-lines")
+        more = stored(_verified(rest, texts, tau), "near-lines")
         if not more.isEmpty():
             found = connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     return found.select(F.col("node").alias("h"), "component")
