@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, license_scan, line_dedup, order_minhash, packing, quality, repeats, secret_scan, token_files
+from . import bpe, jaccard_join, license_scan, line_dedup, oracle, order_minhash, packing, quality, repeats, secret_scan, token_files
 from .common import read, shared_dir, text_of
 
 
@@ -29,7 +29,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir))
+    judged = quality.judge(read(spark, sf_dir))
+    return judged.withColumn("char_distance", F.round("char_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,8 @@ QUERIES = {
     "op10_repeats": op10_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_divergence": oracle.DIVERGENCE,
+    "op7_jaccard_join": oracle.JACCARD,
+    "op10_repeats": oracle.REPEATS,
+}
