@@ -115,3 +115,16 @@ def recency(spark, d):
     e = table(spark, d, "events")
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01 00:00:00"))
     return e.groupBy("event_type").agg(_r(F.avg("value"), 4).alias("mean"), F.count("*").alias("n"), _r(F.exp(-F.min(F.lit(2592000) - seconds) / 3600.0), 9).alias("recency"))
+
+
+@query(f"""select b.vec_id, {_H} as d, case when {_H} <= 8 then 'Foveal' when {_H} <= 16 then 'Near' when {_H} <= 24 then 'Good' when {_H} <= 32 then 'Weak' else 'Reject' end as band, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::double - z[2]::double))), 5) as l1,
+ round(1 / (1 + exp(-list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)))), 6) as affinity, (b.vec_id + 7) // 2 as revised, (b.vec_id // 4) % 8 as field from embeddings a, embeddings b where a.vec_id = 0""")
+def sql_functions(spark, d):
+    from spindrift.functions import sql
+
+    sql.register(spark)
+    p = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), V.sign_word(F.col("embedding")).alias("fp"))
+    q = p.where("vec_id = 0").first()
+    vector = F.array(*[F.lit(x) for x in q["v"]])
+    p = p.select("vec_id", "v", vector.alias("q"), F.call_function("sp_hamming", F.col("fp"), F.lit(q["fp"])).alias("d"))
+    return p.selectExpr("vec_id", "d", "sp_band(d, 32L) as band", "round(sp_l1(v, q), 5) as l1", "round(sp_sigmoid(sp_dot(v, q)), 6) as affinity", "sp_revise(vec_id, 7L) as revised", "sp_field(vec_id, 2, 3) as field")
