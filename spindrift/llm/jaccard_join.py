@@ -1,7 +1,9 @@
 """Exact Jaccard join of documents on word shingles, as a metric-space join around pivots.
 
-1. Every distinct shingle set is a node. Of its shingles in hash order the first three tenths are its front; two sets of
-   similarity 0.8 share at least a tenth of the smaller front, so the rarest two thirds of the fronts must meet too.
+1. Every distinct shingle set is a node. Of its shingles in hash order the first half is its front. Sets of n and
+   N >= n shingles and similarity 0.8 share more than 3/10 N, and more than 3/8 n, shingles of their fronts. So of the
+   larger set's front the last 3/10 N, and of the smaller one's the last 3/8 n, can go without losing all of the common
+   ones. What goes are the shingles that stand in the most fronts: common passages.
 2. Each shingle that two or more nodes still share is a Voronoi region; its pivot is its smallest set. Every member is
    compared with its region's pivots only, which is linear in the regions' sizes, and what lies within the radius is
    linked.
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, text_of, texts_and_ids
+from .common import SKETCH_WORDS, mix64, sketch, sketch_lacks, stored, text_of, texts_and_ids
 from .graph import connected
 
 SHINGLE = 5
@@ -61,22 +63,20 @@ def set_key(s: np.ndarray) -> int:
 
 
 def front_length(n):
-    return n * 3 // 10 + 1
-
-
-def _front_length(n: Column) -> Column:
-    return F.floor(n * 3 / 10) + 1
+    return n // 2 + 1
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the shingle set), k (the set's hash): equal sets have equal n and k."""
+    """doc_id, n (size of the shingle set), k (the set's hash) and its sketch w0, w1, ..: equal sets have equal n and k."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t) for t in texts_and_ids(batch)[1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_key, sets), pa.int64())], ["doc_id", "n", "k"])
+            words = list(zip(*map(sketch, sets))) if sets else [[]] * SKETCH_WORDS
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_key, sets), pa.int64()), *(pa.array(w, pa.int64()) for w in words)], names)
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, k bigint")
+    names = ["doc_id", "n", "k", *(f"w{i}" for i in range(SKETCH_WORDS))]
+    return _texts(docs).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -112,16 +112,19 @@ def fronts(docs: DataFrame) -> DataFrame:
 
 
 def regions(docs: DataFrame) -> DataFrame:
-    """s, k, n of the nodes that share a region with another node."""
+    """s, k, n, small of the nodes that share a region with another node. Two linked sets meet in a region where the
+    smaller one's row has ``small``."""
     rows = fronts(docs).repartition("s").groupBy("s", "k", "n").agg(F.lit(1).alias("one"))
     shared = rows.withColumn("c", F.count("*").over(Window.partitionBy("s"))).where("c > 1").select("s", "k", "n", "c")
     shared = stored(shared, "fronts")
-    # Rarest first; shingles of one set alone come before all of these. The last tenth of n, less one, may go.
+    # Rarest first; shingles of one set alone come before all of these.
     in_set = Window.partitionBy("k", "n")
-    place = F.row_number().over(in_set.orderBy("c", "s")) - F.count("*").over(in_set)
-    kept = shared.withColumn("place", place).where(F.col("place") <= 1 - F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
-    again = kept.withColumn("c", F.count("*").over(Window.partitionBy("s"))).where("c > 1")
-    return again.select("s", "k", "n")
+    from_end = F.count("*").over(in_set) - F.row_number().over(in_set.orderBy("c", "s"))
+    kept = shared.withColumn("from_end", from_end).where(F.col("from_end") >= F.floor(F.col("n") * 3 / 10) - 1)
+    kept = kept.withColumn("small", F.col("from_end") >= F.floor(F.col("n") * 3 / 8) - 1)
+    by_s = Window.partitionBy("s")
+    again = kept.withColumn("c", F.count("*").over(by_s)).withColumn("any", F.max("small").over(by_s)).where("c > 1 and any")
+    return again.select("s", "k", "n", "small")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -136,7 +139,8 @@ def similarities(pairs: DataFrame, docs: DataFrame, per_task: int = 256) -> Data
     """
     pairs = pairs.withColumn("salts", F.ceil(F.count("*").over(Window.partitionBy("a")) / per_task))
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    hub = pairs.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc"), F.col("ka").alias("k"), F.lit(0).alias("role")).distinct()
+    hub = pairs.select("a", "ka", "salts").distinct()
+    hub = hub.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc"), F.col("ka").alias("k"), F.lit(0).alias("role"))
     asked = hub.union(pairs.select("a", "salt", F.col("b").alias("doc"), F.col("kb").alias("k"), F.lit(1).alias("role")))
     texts = _texts(docs).join(asked.hint("shuffle_merge"), F.col("doc_id") == F.col("doc")).select("a", "salt", "role", "doc", "k", "text")
 
@@ -179,7 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     nodes = keys.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("node"))
     member = stored(regions(docs).join(nodes.where("node is not null"), ["k", "n"]), "regions")
 
-    pivot = F.min(F.struct("n", "node", "k")).over(Window.partitionBy("s"))
+    pivot = F.min(F.when(F.col("small"), F.struct("n", "node", "k"))).over(Window.partitionBy("s"))
     around = member.withColumn("p", pivot).where((F.col("p.node") != F.col("node")) & _sizes_fit(F.col("p.n"), F.col("n"), percent))
     pairs = around.select(F.col("p.node").alias("a"), F.col("p.k").alias("ka"), F.col("node").alias("b"), F.col("k").alias("kb")).distinct()
     measured = stored(similarities(pairs, docs), "measured")
@@ -192,13 +196,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     open_ = Window.partitionBy("s")
     label = label.where(F.col("p").isNotNull()).withColumn("lo", F.min("component").over(open_)).withColumn("hi", F.max("component").over(open_)).where("lo < hi")
     distance = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("distance")).distinct()
-    label = label.select("s", "k", "n", "node", "component", F.col("p.node").alias("pivot")).join(distance, ["pivot", "node"], "left")
-    label = stored(label.where("node <> pivot"), "windows")
-    names = ["k", "n", "node", "component", "distance"]
-    left, right = (label.select("s", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
-    fits = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    rest = left.join(right, "s").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits & _sizes_fit(F.col("n_a"), F.col("n_b"), percent))
-    rest = stored(rest.select(F.col("node_a").alias("a"), F.col("k_a").alias("ka"), F.col("node_b").alias("b"), F.col("k_b").alias("kb")).distinct(), "rest")
+    label = label.select("s", "k", "n", "small", "node", "component", F.col("p.node").alias("pivot")).join(distance, ["pivot", "node"], "left")
+    drawn = keys.select(F.col("doc_id").alias("node"), F.col("k").alias("of_k"), *[f"w{i}" for i in range(SKETCH_WORDS)])
+    label = label.where("node <> pivot").join(drawn, "node").where("k = of_k").drop("of_k").distinct()
+    label = stored(label, "windows")
+    names = ["k", "n", "small", "node", "component", "distance", *[f"w{i}" for i in range(SKETCH_WORDS)]]
+    left, right = (label.select("s", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
+    fits = F.coalesce(F.abs(F.col("a_distance") - F.col("b_distance")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    # Linked sets have this many shingles in common; what one of them lacks shows in the sketches.
+    common = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
+    alike = (sketch_lacks("a_w", "b_w") <= F.col("a_n") - common) & (sketch_lacks("b_w", "a_w") <= F.col("b_n") - common)
+    open_pairs = (F.col("a_n") <= F.col("b_n")) & (F.col("a_component") != F.col("b_component"))
+    rest = left.where("a_small").join(right.hint("shuffle_merge"), "s").where(open_pairs & fits & _sizes_fit(F.col("a_n"), F.col("b_n"), percent) & alike)
+    rest = rest.select(F.col("a_node").alias("a"), F.col("a_k").alias("ka"), F.col("b_node").alias("b"), F.col("b_k").alias("kb")).distinct()
+    rest = stored(rest.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = stored(similarities(rest, docs).where(near).select("a", "b"), "more")
         if not more.isEmpty():
