@@ -15,7 +15,9 @@ def connected(links: DataFrame) -> DataFrame:
     rounds end when the links are stars. Each round's links are written to the shared folder, never to the driver.
     """
     links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    mark = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     links = stored(links, "links")
+    before = mark(links)
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -24,9 +26,8 @@ def connected(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-        mark = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        done = mark(after) == mark(links)
-        links = after
+        now = mark(after)
+        links, done, before = after, now == before, now
         if done:
             break
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
