@@ -2,8 +2,8 @@
 
 A line is cut into ``tau + 1`` segments; within ``tau`` edits of another line, one segment at least survives unchanged
 and not far from its place. Lines are indexed by (length, segment number, segment) and probe the indexes of all lengths
-up to ``tau`` below their own with the substrings that can match. Every index entry that several lines meet compares its
-lines with its first line; lines that are not yet in one class are then compared with each other. Candidates are
+up to ``tau`` below their own with the substrings that can match. Every line is compared with the first line of one of
+the index entries that it meets; lines of an entry that are not yet in one class are then compared with each other. Candidates are
 verified by a banded bit-parallel edit distance.
 """
 
@@ -182,7 +182,9 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     met = rows.withColumn("c", F.count("*").over(by_key)).withColumn("pivot", F.min(F.when(F.col("own"), F.col("h"))).over(by_key))
     met = stored(met.where("c > 1 and pivot is not null").select("key", "h", "own", "pivot"), "keys")
     texts = stored(_texts(lines, met), "line-texts")
-    links = stored(_verified(met.where("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct(), texts, tau), "near-lines")
+    # One of its index entries' first lines serves each line here; what that leaves open is seen to below.
+    first = met.where("h <> pivot").groupBy(F.col("h").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
+    links = stored(_verified(first, texts, tau), "near-lines")
     if links.isEmpty():
         found = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
     else:
