@@ -15,7 +15,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, separator = shared_dir(spark, "tokens"), 50256
     manifest = token_files.write_token_files(read(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, separator)
     counts = token_files.token_counts(spark, folder, separator)
-    return counts.join(manifest, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    return counts.join(manifest.hint("shuffle_merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
