@@ -75,13 +75,36 @@ def _bytes_of(batch: pa.RecordBatch, i: int) -> list[bytes]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
+def _distinct_entries(uid: int, a: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """The columns of one text's rows. Entries that the text itself repeats, as periodic text does by the thousand, are
+    one row of weight 2, and the stretches that they cover are rows of weight 0 under keys of their own."""
+    _, back, times = np.unique(a ^ mix64(c), return_inverse=True, return_counts=True)
+    many = times[back] > 1
+    if not many.any():
+        return [a.view(np.int64), c.view(np.int64), np.full(len(a), uid, np.int64), first << 8 | (last - first), np.ones(len(a), np.int64)]
+    order = np.argsort(back, kind="stable")
+    one = order[np.r_[True, back[order][1:] != back[order][:-1]]]
+    low, high = first[many], last[many] + LENGTH
+    fresh = np.flatnonzero(np.r_[True, low[1:] > np.maximum.accumulate(high)[:-1]])
+    low, high = low[fresh], np.r_[np.maximum.accumulate(high)[fresh[1:] - 1], high.max()]
+    own = mix64(np.arange(len(low), dtype=np.uint64) + np.uint64(uid & (2**64 - 1)))
+    return [
+        np.concatenate([a[one], own]).view(np.int64),
+        np.concatenate([c[one].view(np.int64), high - low - LENGTH]),
+        np.full(len(one) + len(low), uid, np.int64),
+        np.concatenate([first[one] << 8 | (last[one] - first[one]), low << 8]),
+        np.concatenate([np.where(many[one], 2, 1), np.zeros(len(low), np.int64)]),
+    ]
+
+
 def entry_rows(docs: DataFrame) -> DataFrame:
-    """a (anchor), c (content), uid, at (first window << 8 | further windows) of every entry."""
+    """a (anchor), c (content), uid, at (first window << 8 | further windows), weight (times, 2 for more) of every distinct
+    entry of a text; rows of weight 0 are stretches that the text repeats itself, with their further windows in ``c``."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for uid, raw in zip(batch.column(0).to_pylist(), _bytes_of(batch, 1)):
                 if len(raw) < LENGTH or (key := xxhash.xxh3_64_intdigest(raw)) in seen:
                     continue
@@ -91,12 +114,12 @@ def entry_rows(docs: DataFrame) -> DataFrame:
                 data = np.frombuffer(raw, np.uint8)
                 for begin in range(0, len(data) - LENGTH + 1, BLOCK):
                     a, c, first, last = entries(data[begin : begin + BLOCK + LENGTH - 1])
-                    for column, values in zip(out, (a.view(np.int64), c.view(np.int64), np.full(len(a), uid, np.int64), (first + begin) << 8 | (last - first))):
+                    for column, values in zip(out, _distinct_entries(uid, a, c, first + begin, last + begin)):
                         column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "c", "uid", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "c", "uid", "at", "weight"])
 
-    return _keyed(docs).select("uid", "text").mapInArrow(run, "a bigint, c bigint, uid bigint, at bigint")
+    return _keyed(docs).select("uid", "text").mapInArrow(run, "a bigint, c bigint, uid bigint, at bigint, weight bigint")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -171,9 +194,11 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     """uid, stretches (array of struct<low, high>, bytes, may overlap) of the texts that have some."""
     rows = entry_rows(docs).repartition("a")
     by_anchor, by_content = Window.partitionBy("a"), Window.partitionBy("a", "c")
-    met = rows.withColumn("same", F.count("*").over(by_content)).withColumn("all", F.count("*").over(by_anchor)).where("all > 1")
-    met = stored(met.select("a", "c", "uid", "at", "same"), "entries")
-    sure = met.where("same > 1").select("uid", F.shiftright("at", 8).alias("low"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(F.lit(255)) + LENGTH).alias("high"))
+    met = rows.withColumn("same", F.sum("weight").over(by_content)).withColumn("all", F.sum("weight").over(by_anchor)).where("all > 1 or weight = 0")
+    met = stored(met.select("a", "c", "uid", "at", "weight", "same"), "entries")
+    further = F.when(F.col("weight") == 0, F.col("c")).otherwise(F.col("at").bitwiseAND(F.lit(255)))
+    sure = met.where("same > 1 or weight = 0").select("uid", F.shiftright("at", 8).alias("low"), (F.shiftright("at", 8) + further + LENGTH).alias("high"))
+    met = met.where("weight > 0")
     one = met.groupBy("a", "c").agg(F.min(F.struct("uid", "at")).alias("x"), F.first("same").alias("same"))
     one = one.withColumn("open", F.max((F.col("same") == 1).cast("int")).over(by_anchor)).withColumn("n", F.count("*").over(by_anchor))
     one = stored(one.where("open = 1").select("a", "x.uid", "x.at", "n"), "rims")
