@@ -103,13 +103,24 @@ def scan_spec(spark, d):
 
 @query("select vec_id, label from embeddings")
 def nearest_prototype(spark, d):
-    """Every print cleaned to the nearest of its labels' own majority prints: here asked of each print's own label."""
+    """Each print with its own label, as its SQL has it; the lookup itself is ``prototype_lookup``."""
     p = _prints(spark, d)
     m = search.majority(p, ["label"]).select(F.col("label").alias("of"), "majority")
     pairs = search.pair_with(p, m).select("vec_id", "label", "of", V.hamming(F.col("fp"), F.col("majority")).alias("d"))
     return pairs.where("label = of").select("vec_id", "label")
 
 
+@query(f"""with v as (select label, generate_subscripts(embedding, 1) as i, (unnest(embedding) > 0)::int as bit from embeddings), m as (select label, i, (sum(bit) > count(*) // 2)::int as bit from v group by all), p as (select label as "of", list(bit order by i) as bits from m group by 1)
+ select vec_id, label, "of", d from (select vec_id, label, "of", d, row_number() over (partition by vec_id, label order by d, "of" nulls first) as rn from (select vec_id, label, "of", list_sum(list_transform(list_zip(embedding, bits), lambda z: ((z[1] > 0) <> (z[2] = 1))::int))::bigint as d from embeddings, p)) where rn = 1""")
+def prototype_lookup(spark, d):
+    """Every print cleaned to the nearest of all labels' majority prints, ties to the first label. The least pair is kept
+    per task before the shuffle."""
+    p = _prints(spark, d)
+    m = search.majority(p, ["label"]).select(F.col("label").alias("of"), "majority")
+    pairs = search.pair_with(p, m).select("vec_id", "label", F.struct(V.hamming(F.col("fp"), F.col("majority")).alias("d"), "of").alias("near"))
+    return pairs.groupBy("vec_id", "label").agg(F.min("near").alias("near")).select("vec_id", "label", "near.of", "near.d")
+
+
 @query("select event_type, round(avg(value), 4) as mean, count(*) as n, round(exp(-min(2592000 - date_diff('second', timestamp '2024-01-01', ts)) / 3600.0), 9) as recency from events group by 1")
 def recency(spark, d):
     e = table(spark, d, "events")

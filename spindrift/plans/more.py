@@ -13,6 +13,7 @@ from spindrift.operators import clusters, search
 from .numeric import _r
 from .registry import query, table
 from .search import _first, _H, _prints, _queries
+from .vocabulary import VOCABULARY
 
 _PAIRS = f"(select a.vec_id as q, b.vec_id, {_H} as d from embeddings a, embeddings b where a.vec_id % 100 = 0)"
 
@@ -105,6 +106,20 @@ def prime_weights(spark, d):
     return n.withColumn("weight", _r(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))))
 
 
+_WHITE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@query(f"""with w as (select doc_id, regexp_replace(unnest(regexp_split_to_array(lower(text), '[{_WHITE}]+')), '[^\\p{{L}}]', '', 'g') as w from documents), v as (select * from (values {", ".join(map(str, VOCABULARY))}) v(w, prime, tenths)),
+ c as (select doc_id, prime, sum(tenths)::bigint as tenths from w join v on w.w = v.w group by all) select doc_id, prime, tenths, round(tenths::double / sum(tenths) over (partition by doc_id), 6) as weight from c""")
+def prime_decompose(spark, d):
+    """Words that the whole vocabulary knows, with their primes' weights (in tenths, so that sums are exact), as shares per document."""
+    vocabulary = F.broadcast(spark.createDataFrame(VOCABULARY, "w string, prime string, tenths int"))  # 358 fixed words
+    clean = F.regexp_replace("w", r"[^\p{L}]", "")
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), f"[{_WHITE}]+")).alias("w")).select("doc_id", clean.alias("w")).join(vocabulary, "w")
+    n = w.groupBy("doc_id", "prime").agg(F.sum("tenths").alias("tenths"))
+    return n.withColumn("weight", _r(F.col("tenths") / F.sum("tenths").over(Window.partitionBy("doc_id"))))
+
+
 @query("select sum(n)::bigint as n, count(*)::bigint as branches from (select o_orderkey % 8 as b, count(*) as n from orders group by 1)")
 def hash_tree(spark, d):
     o = table(spark, d, "orders")
@@ -148,3 +163,12 @@ def palette_codes(spark, d):
     near = clusters.nearest_code([F.abs(x + 0.4), F.abs(x), F.abs(x - 0.4)])
     e = table(spark, d, "embeddings").select("label", F.when(F.abs(F.abs(x) - 0.2) < 1e-6, code).otherwise(near).alias("code"))
     return e.groupBy("label", "code").agg(F.count("*").alias("n"))
+
+
+@query("""with x as (select vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), g as (select vec_id, label, i, c, abs(x - p) as gap from x, (values (0, -0.4::double), (1, 0.0::double), (2, 0.4::double)) t(c, p)),
+ n as (select vec_id, label, i, c from g qualify row_number() over (partition by vec_id, label, i order by gap, c) = 1) select vec_id, label, list(c order by i) as codes from n group by vec_id, label""")
+def palette_all(spark, d):
+    """Nearest of the palette values -0.4, 0, 0.4 in every dimension by distance alone; a tie goes to the first."""
+    x = F.col("embedding").cast("array<double>")
+    codes = F.transform(x, lambda v: F.array_min(F.array(*[F.struct(F.abs(v - F.lit(p)).alias("gap"), F.lit(i).alias("c")) for i, p in enumerate((-0.4, 0.0, 0.4))]))["c"])
+    return table(spark, d, "embeddings").select("vec_id", "label", codes.alias("codes"))

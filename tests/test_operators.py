@@ -202,3 +202,28 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, drift.beliefs(events, "event_type", "ts", "value", 100.0).collect()))
     alerts = run(drift.detect(stream, "event_type"), "alerts", "append")
     assert alerts.count() == events.count() and alerts.where("n = 1").count() == events.select("event_type").distinct().count()
+
+
+def test_prototype_lookup_asks_all_labels(spark, tmp_path):
+    """A print that lies nearer to another label's prototype than to its own is given that one."""
+    from spindrift.plans import catalog
+
+    one, two = [1.0] * 64, [-1.0] * 64
+    rows = [(0, one, 1), (1, one, 1), (2, [-1.0] * 3 + [1.0] * 61, 1), (3, two, 2), (4, two, 2), (5, [1.0] * 60 + [-1.0] * 4, 2)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["vec_id"]: (r["of"], r["d"]) for r in catalog.QUERIES["prototype_lookup"](spark, str(tmp_path)).collect()}
+    assert found == {0: (1, 0), 1: (1, 0), 2: (1, 3), 3: (2, 0), 4: (2, 0), 5: (1, 4)}
+
+
+def test_prime_decompose_knows_the_whole_vocabulary(spark, tmp_path):
+    from spindrift.plans import catalog
+    from spindrift.plans.vocabulary import VOCABULARY
+
+    assert len({w for w, _, _ in VOCABULARY}) == 358 and len({p for _, p, _ in VOCABULARY}) == 73
+    spark.createDataFrame([(1, "My\u00a0friend, the mother; xyz"), (2, "xyz"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["doc_id"], r["prime"]): r["tenths"] for r in catalog.QUERIES["prime_decompose"](spark, str(tmp_path)).collect()}
+    want = {}
+    for w, p, n in VOCABULARY:
+        if w in ("my", "friend", "the", "mother"):
+            want[1, p] = want.get((1, p), 0) + n
+    assert found == want
