@@ -1,6 +1,6 @@
 """Quality rules: repetition counts, and how far a document's letters and words are from its language's.
 
-Every language (the 64 with the most documents; all others together) has two references, counted over all of its
+Every language, whatever their number, has two references, counted over all of its
 documents: the distribution of character classes and that of its most common words with all other words as one bin. A
 document of at least ``min_words`` words is kept when the Jensen-Shannon distance (base 2, 0 to 1) of both its own
 histograms stays within the limits. Only DataFrame functions are used.
@@ -28,7 +28,12 @@ class Limits:
     chars: float = 0.30
     words: float = 0.43
     common_words: int = 40
-    languages: int = 64
+
+
+#: References that may be broadcast: so many languages, and so many characters in all of their names.
+BROADCAST_LANGUAGES, BROADCAST_NAMES = 2_000, 200_000
+#: Languages with more than one of so many documents are dealt to several tasks when references are joined by shuffle.
+SHARES = 1_000
 
 
 def repeated_words(ws: Column, window: int = 8) -> Column:
@@ -61,8 +66,7 @@ def repeated_words(ws: Column, window: int = 8) -> Column:
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, ws (the words), the contract's counts, ``classes`` (characters per class, then others, spaces) and
     ``source_row`` (all columns of ``docs``)."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    frame = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("source_row"), F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), text_of().alias("text"))
+    frame = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("source_row"), F.col("doc_id").cast("bigint").alias("doc_id"), language(docs).alias("lang"), text_of().alias("text"))
     frame = frame.withColumn("r0", F.regexp_replace("text", f"[{SPACE}]+", ""))
     for i, (_, pattern) in enumerate(CLASSES):
         frame = frame.withColumn(f"r{i + 1}", F.regexp_replace(f"r{i}", pattern, ""))
@@ -89,23 +93,34 @@ def _divergence(p: Column, q: Column) -> Column:
     return (half(p) + half(q)) / 2
 
 
-def language_key(docs: DataFrame, limit: int) -> Column:
-    """The language, or '*' for those after the ``limit`` most frequent ones; at most ``limit`` short strings meet the driver."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    top = docs.select(lang.alias("lang")).where(F.length("lang") <= 32).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(limit)
-    names = [r["lang"] for r in top.collect()]
-    return F.when(F.col("lang").isin(names), F.col("lang")).otherwise(F.lit("*")) if names else F.lit("*")
+def language(docs: DataFrame) -> Column:
+    return F.coalesce(docs["lang"].cast("string"), F.lit(""))
+
+
+def with_references(frame: DataFrame, refs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``frame`` with the reference of its ``lang``. References are broadcast if the counted languages are few; otherwise both
+    sides are dealt out by language, and a language with many documents to several tasks, each with a copy of its reference."""
+    sizes = docs.select(language(docs).alias("lang")).groupBy("lang").agg(F.count("*").alias("n_docs"))
+    few = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("lang")), F.lit(0)).alias("names"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs")).first()
+    if few["n"] <= BROADCAST_LANGUAGES and few["names"] <= BROADCAST_NAMES:
+        return frame.join(F.broadcast(refs), "lang", "left")
+    share = max(1, few["docs"] // SHARES)
+    large = sizes.where(F.col("n_docs") > share).select("lang", F.ceil(F.col("n_docs") / share).cast("int").alias("salts"))
+    large = F.broadcast(large.where(F.length("lang") <= BROADCAST_NAMES // SHARES))  # SHARES rows of short names at most
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = frame.join(large, "lang", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.col("ws")), salts).cast("int")).drop("salts")
+    copies = refs.join(large, "lang", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copies.hint("shuffle_merge"), ["lang", "salt"], "left").drop("salt")
 
 
 def references(docs: DataFrame, limits: Limits) -> DataFrame:
-    """One row per language, at most ``limits.languages + 1``: class_q, common (words), common_q (their shares), other_q."""
-    key = language_key(docs, limits.languages)
-    base = counts(docs).withColumn("lang", key)
+    """One row per language: class_q, common (words), common_q (their shares), other_q."""
+    base = counts(docs)
     total = base.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 2)], F.sum(F.size("ws")).alias("n"))
     all_chars = sum((F.col(f"c{i}") for i in range(len(CLASSES) + 2)), F.lit(0))
     total = total.select("lang", "n", F.array(*[F.col(f"c{i}") / F.greatest(all_chars, F.lit(1)) for i in range(len(CLASSES) + 2)]).alias("class_q"))
-    each = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.explode(words(F.lower(text_of()))).alias("w"))
-    seen = each.where(F.length("w") <= 64).withColumn("lang", key).groupBy("lang", "w").agg(F.count("*").alias("n_w"))
+    each = docs.select(language(docs).alias("lang"), F.explode(words(F.lower(text_of()))).alias("w"))
+    seen = each.where(F.length("w") <= 64).groupBy("lang", "w").agg(F.count("*").alias("n_w"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_w"), "w"))
     common = seen.withColumn("rank", rank).where(F.col("rank") <= limits.common_words)
     common = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "w", "n_w"))).alias("top"))
@@ -150,8 +165,7 @@ def judge(docs: DataFrame, limits: Limits = Limits(), rows: bool = False) -> Dat
     verdicts; a null language is a language of its own. Columns other than doc_id, lang and text aren't read, unless
     ``rows`` asks for them in the struct ``source_row``.
     """
-    refs = F.broadcast(references(docs, limits))  # at most limits.languages + 1 rows of limits.common_words words of 64 characters
-    frame = counts(docs).withColumn("key", language_key(docs, limits.languages)).join(refs.withColumnRenamed("lang", "key"), "key", "left")
+    frame = with_references(counts(docs), references(docs, limits), docs)
     n = F.size("ws").cast("bigint")
     frame = frame.select(
         "doc_id",

@@ -7,6 +7,7 @@ import json
 import brute
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from spindrift.llm import bpe, license_scan, order_minhash, packing, quality, secret_scan
 
 
@@ -55,6 +56,26 @@ def test_quality_distance(spark):
     assert found[99]["kept"] is False and not found[99]["base_failed"] and found[99]["char_distance"] > found[0]["char_distance"]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_quality_has_a_reference_for_every_language(spark, monkeypatch, few):
+    """Clean documents of 80 languages with words of their own, one language with most of the documents, one with a long name."""
+    if not few:
+        monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", 3)
+        monkeypatch.setattr(quality, "SHARES", 20)
+    names = [f"l{k:02d}" for k in range(79)] + ["x" * 40]
+    text = lambda k, i: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}w{'abcdefghij'[(i + j * j) % 10]}" for j in range(60)) + " " + " ".join(f"q{chr(97 + j)}{chr(97 + i % 26)}" for j in range(10))
+    rows = [(1000 * k + i, text(k, i), name) for k, name in enumerate(names) for i in range(200 if k == 0 else 3)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = by_id(quality.judge(frame))
+    assert len(found) == len(rows)
+    for k in (0, 77, 79):
+        alone = by_id(quality.judge(frame.where(F.col("lang") == names[k])))
+        assert len(alone) == (200 if k == 0 else 3)
+        for key, r in alone.items():
+            assert (r["char_distance"], r["word_distance"]) == pytest.approx((found[key]["char_distance"], found[key]["word_distance"]))
+            assert r["kept"] == found[key]["kept"]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_licence_base(request, which):
     frame, rows = request.getfixturevalue(which), request.getfixturevalue({"docs": "rows", "odd": "odd_rows"}[which])
