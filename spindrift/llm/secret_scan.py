@@ -22,8 +22,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.ASCII | re.DOTALL)
+_HEADER = re.compile(r"[A-Za-z0-9-]+:", re.ASCII)
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+#: Line ends as such or escaped, and characters of base64, of which JSON can escape some.
+_EOL = r"[ \t]*(?:\\*(?:\r\n?|\n)|(?:\\+r)?\\+n)[ \t]*"
+_PIECE = re.compile(r"(?:[A-Za-z0-9+/_-]|\\+(?:/|u002[bBfF]))+", re.ASCII)
+_NEXT = re.compile(_EOL + "(" + _PIECE.pattern + ")", re.ASCII)
+_PADDING = re.compile(r"(?:" + _EOL + r")?(?:=|\\+u003[dD]){1,2}", re.ASCII)
+#: The first line of a wrapped key: DER in base64 or hexadecimal, the OpenSSH magic, or an ssh- or ecdsa- type.
+_WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?=M[A-P]|30|b3BlbnNzaC1rZXktdjE|AAAA..NzaC|AAAA..VjZHNh)[A-Za-z0-9+/_-]{8}" + f"(?:{_PIECE.pattern})(?={_NEXT.pattern})", re.ASCII)
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 
@@ -52,7 +60,7 @@ def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8, SEC1 or SubjectPublicKeyInfo: nested lengths that fill the data exactly, and a key's fields."""
+    """PKCS#1, PKCS#8 (encrypted or not), SEC1 or SubjectPublicKeyInfo: nested lengths that fill the data exactly, and a key's fields."""
     top = _tlv(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
@@ -66,7 +74,7 @@ def is_der_key(data: bytes) -> bool:
         return bool(inner) and inner[0][0] == 0x06
 
     if algorithm(parts[0]):
-        return tags[1] == 0x03
+        return tags[1] == 0x03 or tags[1] == 0x04 and len(tags) == 2
     if tags[0] != 0x02:
         return False
     if len(parts) >= 3 and algorithm(parts[1]):
@@ -114,6 +122,90 @@ def _decoded(run: str) -> list[bytes]:
     return found
 
 
+def _unescaped(text: str) -> str:
+    """JSON's escapes of line ends and of base64's characters."""
+    if "\\" not in text:
+        return text
+    text = re.sub(r"\\+u00(2[bBfF]|3[dD])", lambda m: chr(int(m[1], 16)), text)
+    return re.sub(r"\\+(?=[\r\n])", "", re.sub(r"(?:\\+r)?\\+n|\\+r", "\n", text)).replace("\\/", "/").replace("\\t", "\t")
+
+
+def is_pem_body(body: str) -> bool:
+    """Header lines, if any, then base64 of a key; of an encrypted key, whose headers say so, the length is all there is to see."""
+    lines = _unescaped(body).strip().splitlines()
+    headers, at = {}, 0
+    while at < len(lines) and _HEADER.match(lines[at]):
+        name, value = lines[at].split(":", 1)
+        at += 1
+        while at < len(lines) and lines[at][:1] in (" ", "\t") and lines[at].strip():
+            value, at = value + lines[at], at + 1
+        headers[name.lower()] = value
+    text = "".join("".join(lines[at:]).split())
+    if not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", text, re.ASCII):
+        return False
+    found = _decoded(text)
+    if "ENCRYPTED" in headers.get("proc-type", "") and "dek-info" in headers:
+        return any(len(x) >= 32 and len(x) % (8 if "CBC" in headers["dek-info"].upper() else 1) == 0 for x in found)
+    return any(is_der_key(x) or is_ssh_key(x) for x in found)
+
+
+def _ssh_length(data: bytes) -> int | None:
+    """The bytes of the OpenSSH key at the start of ``data``."""
+    at, n = (15, 3) if data.startswith(b"openssh-key-v1\0") else (0, 0)
+    if n == 0:
+        kind = data[4 : 4 + int.from_bytes(data[:4], "big")]
+        n = {b"ssh-rsa": 3, b"ssh-dss": 5}.get(kind, 3 if kind.startswith(b"ecdsa-") else 2)
+        more = False
+    else:
+        more = True
+    while n and at + 4 <= len(data):
+        at, n = at + 4 + int.from_bytes(data[at : at + 4], "big"), n - 1
+        if n == 0 and more:
+            at, n, more = at + 4, int.from_bytes(data[at : at + 4], "big") + 1, False
+    return at if n == 0 and at <= len(data) else None
+
+
+def wrapped_spans(text: str, taken: list[tuple[str, int, int]] = ()) -> list[tuple[str, int, int]]:
+    """Keys wrapped over lines without borders: the key's own length says how many characters it has, and these must end
+    with a line. What lies in ``taken`` was found before."""
+    spans, done = [], 0
+    for m in _WRAPPED.finditer(text):
+        start = m.start()
+        if start < done or any(a <= start < b for _, a, b in taken):
+            continue
+        joined, at = _unescaped(m[0]), m.end()
+        kind, wanted, each = "der", None, 0
+        if joined.startswith(("b3Blb", "AAAA")):
+            kind = "ssh"
+        else:
+            head = bytes.fromhex(joined[:16]) if re.fullmatch("30[0-9a-fA-F]{14}", joined[:16]) else base64.b64decode(joined[:8].replace("-", "+").replace("_", "/"))
+            each = 2 if joined[0] == "3" else 0
+            if head[0] != 0x30:
+                continue
+            extra = head[1] & 0x7F if head[1] & 0x80 else 0
+            if extra > 4 or head[1] == 0x80:
+                continue
+            size = 2 + extra + (int.from_bytes(head[2 : 2 + extra], "big") if extra else head[1])
+            wanted = 2 * size if each else -(-4 * size // 3)
+        pieces = [joined]
+        have, ends = len(joined), {len(joined): at}
+        while (wanted is None or have < wanted) and (n := _NEXT.match(text, at)):
+            pieces.append(_unescaped(n[1]))
+            have, at = have + len(pieces[-1]), n.end()
+            ends[have] = at
+        joined = "".join(pieces).replace("-", "+").replace("_", "/")
+        if wanted is None:
+            size = _ssh_length(base64.b64decode(joined[: len(joined) // 4 * 4] + (joined[len(joined) // 4 * 4 :] + "==")[:4] * (len(joined) % 4 > 1)))
+            wanted = -(-4 * size // 3) if size else None
+        if wanted not in ends or ends[wanted] <= m.end():
+            continue
+        if any(is_der_key(x) if kind == "der" else is_ssh_key(x) for x in _decoded(joined[:wanted])):
+            end = p.end() if (p := _PADDING.match(text, ends[wanted])) else ends[wanted]
+            spans.append((kind, start, end))
+            done = end
+    return spans
+
+
 def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the patterns, leftmost and non-overlapping per kind; a match that is too short still uses its text up."""
     spans = []
@@ -131,8 +223,7 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
     spans = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            body = "".join(m[2].split())
-            if any(is_der_key(x) or is_ssh_key(x) for x in _decoded(body)):
+            if is_pem_body(m[2]):
                 spans.append(("pem", m.start(), m.end()))
     if "eyJ" in text:
         spans += [("token", m.start(), m.end()) for m in _SIGNED.finditer(text) if is_token_header(m[1])]
@@ -145,6 +236,8 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
                 if is_ssh_key(data):
                     spans.append(("ssh", m.start(), m.end()))
                     break
+    if "\n" in text or "\r" in text or "\\n" in text:
+        spans += wrapped_spans(text, [s for s in spans if s[0] == "pem"])
     return spans
 
 

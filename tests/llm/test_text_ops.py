@@ -178,6 +178,44 @@ def _der(tag, *parts):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
 
+def _wrapped(data, eol, width=64):
+    code = base64.b64encode(data).decode()
+    return eol.join(code[i : i + width] for i in range(0, len(code), width))
+
+
+_RSA = _der(0x30, _der(2, b"\0"), *[_der(2, bytes([0x90 + k]) * 60) for k in range(8)])
+_PBES2 = _der(0x30, _der(0x30, _der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), _der(0x30)), _der(4, bytes(range(7, 199))))
+_SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"q" * 130))
+
+
+@pytest.mark.parametrize("eol", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
+@pytest.mark.parametrize("case", ["plain", "headers", "encrypted", "ssh"])
+def test_pem_forms(case, eol):
+    """Escaped and real line ends, header lines, encrypted keys, and the same keys without borders."""
+    data, label = {"plain": (_RSA, "RSA PRIVATE KEY"), "headers": (bytes((7 * i) % 251 for i in range(160)), "RSA PRIVATE KEY"), "encrypted": (_PBES2, "ENCRYPTED PRIVATE KEY"), "ssh": (_SSH, "OPENSSH PRIVATE KEY")}[case]
+    head = f"Proc-Type: 4,ENCRYPTED{eol}DEK-Info: AES-128-CBC,0123{eol}{eol}" if case == "headers" else ""
+    pem = f"-----BEGIN {label}-----{eol}{head}{_wrapped(data, eol)}{eol}-----END {label}-----"
+    for text in (f'{{"key": "{pem}{eol}"}}', f"see {pem} end"):
+        assert [text[a:b] for kind, a, b in secret_scan.structural_spans(text) if kind == "pem"] == [pem]
+        broken = text.replace(label + f"-----{eol}{head}", label + f"-----{eol}{head}AAAAA")
+        assert not [s for s in secret_scan.structural_spans(broken) if s[0] == "pem"]
+    if case != "headers":
+        for width in (64, 76, 20):
+            code = _wrapped(data, eol, width)
+            for text in (f"key:{eol}{code}{eol}end of it", f"k={code} end", code):
+                found = [text[a:b] for kind, a, b in secret_scan.structural_spans(text) if kind in ("der", "ssh")]
+                assert max(found, key=len) == code and all(x in code for x in found), (width, text)
+
+
+def test_wrapped_prose_is_no_key():
+    blob = _wrapped(bytes((i * i + 3) % 256 for i in range(5000)), "\n")
+    for text in (blob, "MIIE\nMIIE\n" * 500, _wrapped(_RSA[:-3], "\n"), _wrapped(b"\0" * 900, "\n"), "30" * 40 + "\n" + "30" * 40, "M" * 70 + "\n" + "M" * 9):
+        assert not [s for s in secret_scan.structural_spans(text) if s[0] != "hex"]
+    code = _RSA.hex().upper()
+    text = "hex\n" + code[:64] + "\n" + code[64:] + "\nend"
+    assert [text[a:b] for k, a, b in secret_scan.structural_spans(text)] == [text[4:-4]]
+
+
 def test_secrets(spark, docs, odd, rows, odd_rows):
     rsa = _der(0x30, _der(2, b"\0"), *[_der(2, bytes([0xAA]) * 40) for _ in range(8)])
     key = base64.b64encode(rsa).decode()
