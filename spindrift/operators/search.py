@@ -7,12 +7,13 @@ dealt to blocks that each meet every base row once.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.vectors import hamming
+from spindrift.functions.vectors import hamming, squared_l2
 
 #: Queries that may be broadcast, in rows; larger sets go block by block.
 BROADCAST_ROWS = 20_000
@@ -187,7 +188,8 @@ def pq_encode(vectors: DataFrame, key: str, vector: str, books: np.ndarray) -> D
             if not rows:
                 continue
             x = np.asarray(rows)
-            codes = np.stack([((x[:, None, p * width : (p + 1) * width] - books[p][None]) ** 2).sum(2).argmin(1) for p in range(parts)], 1)
+            near = lambda y, p: ((y[:, None, p * width : (p + 1) * width] - books[p][None]) ** 2).sum(2).argmin(1)
+            codes = np.concatenate([np.stack([near(x[i : i + 512], p) for p in range(parts)], 1) for i in range(0, len(x), 512)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.tolist(), pa.list_(pa.int32()))], [key, "codes"])
 
     frame = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias("v"))
@@ -203,6 +205,34 @@ def adc_top_k(codes: DataFrame, query: list[float], books: np.ndarray, k: int, k
     return top_k(codes.select(key, d.alias("d")), "d", key, k)
 
 
+def adc_tables(queries: DataFrame, key: str, vector: str, books: np.ndarray) -> DataFrame:
+    """Each query's distances to every code word, per part: ``query_id`` and ``tables array<array<double>>``."""
+    import pyarrow as pa
+
+    def run(batches):
+        parts, _, width = books.shape
+        for batch in batches:
+            tables = [[((books[p] - np.asarray(v)[p * width : (p + 1) * width]) ** 2).sum(1) for p in range(parts)] for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tables, pa.list_(pa.list_(pa.float64())))], ["query_id", "tables"])
+
+    frame = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias("v"))
+    return frame.mapInArrow(run, "query_id bigint, tables array<array<double>>")
+
+
+def adc_knn(vectors: DataFrame, queries: DataFrame, vector: str, books: np.ndarray, k: int, shortlist: int, key: str = "vec_id") -> DataFrame:
+    """The ``k`` nearest per query: the ``shortlist`` rows of least asymmetric distance, ranked again by exact squared distance."""
+    codes = pq_encode(vectors, key, vector, books)
+    parts = books.shape[0]
+    pairs = pair_with(codes, adc_tables(queries, key, vector, books), block_rows=1_000)  # a query's tables have 12 KB
+    d = reduce(lambda a, b: a + b, [F.get(F.get("tables", p), F.get("codes", p)) for p in range(parts)])
+    short = top_k_per(pairs.select("query_id", key, d.alias("d")), "query_id", "d", key, shortlist).select("query_id", key)
+    as_double = F.col(vector).cast("array<double>")
+    asked = queries.select(F.col(key).alias("query_id"), as_double.alias("_q"))
+    asked = F.broadcast(asked) if queries.count() <= BROADCAST_ROWS else asked
+    short = short.join(vectors.select(key, as_double.alias("_v")), key).join(asked, "query_id")
+    return top_k_per(short.select("query_id", key, squared_l2(F.col("_v"), F.col("_q")).alias("d")), "query_id", "d", key, k)
+
+
 def pivot_radius(base: DataFrame, query: int, radius: int, pivots: list[int], key: str = "vec_id", word: str = "fp") -> DataFrame:
     """Exact radius search with triangle pruning: rows are tagged with their nearest pivot and the distance to it; a
     pivot's rows are compared only if |d(query, pivot) - d(row, pivot)| can be within the radius."""

@@ -65,6 +65,27 @@ def test_lsh_and_pq_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("scale", ["sf0.1", "check_s"])
+def test_pq_recall_of_all_queries(spark, scale):
+    from spindrift.plans import catalog
+
+    rows = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.asarray([r["embedding"] for r in rows], np.float64), np.asarray([r["vec_id"] for r in rows])
+    found = {}
+    for r in catalog.QUERIES["pq_adc_topk"](spark, f"/root/testdata/{scale}").collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["d"]
+    assert set(found) == {int(i) for i in ids if i % 100 == 0}
+    hits = 0
+    for q, near in found.items():
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        best = np.lexsort((ids, d))[:10]
+        hits += len(near.keys() & {int(i) for i in ids[best]})
+        at = {int(i): float(v) for i, v in zip(ids, d)}
+        assert len(near) == 10 and all(abs(at[i] - v) < 1e-5 for i, v in near.items())
+    print("recall", hits / (10 * len(found)), len(ids))
+    assert hits >= 0.9 * 10 * len(found)
+
+
 def test_spatial_joins_equal_brute_force(spark):
     rnd = np.random.default_rng(3)
     p = rnd.random((120, 3)) * 4
