@@ -9,97 +9,23 @@ and ``S`` the cut's position, ``f[j] = penalty[j] + size - S[j] + min(f[i] + S[i
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import deque
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.typing import ArrayLike
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, texts_and_ids
+from .word_bpe import word_tokenizer
 
 SENTENCE_PENALTY, FORCED_PENALTY, FORCED_EVERY = 8, 48, 64
 #: Tokens that a task holds before it settles all but the last of their sequences.
 BLOCK_TOKENS = 1 << 20
-#: Signs that may end a chunk; neither apostrophes nor digits, which the tokenizer treats apart.
-_POINTS = ".,;:!?|()%&*$#"
-
-
-class ChunkTokenizer:
-    """Ids of whole texts for a tokenizer that never joins text across white space: ids of each chunk between spaces are
-    looked up once and kept, at most ``limit`` of them.
-
-    Most new chunks are letters and then points. A run of letters is one piece to the tokenizer, whose last token says so
-    by its ``</w>``: many runs are encoded as one text and told apart by these ends, which saves a call for each."""
-
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {}
-        self.limit = limit
-        names = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(names.values()) + 1, bool)
-        for name, number in names.items():
-            self.ends[number] = name.removesuffix("</w>").endswith((".", "!", "?", "。", "！", "？"))
-        self.last = np.zeros(len(self.ends), bool)
-        self.last[[number for name, number in names.items() if name.endswith("</w>")]] = True
-
-    def _each(self, chunks: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.asarray(c.ids, "<u4").tobytes() for c in coded]
-
-    def _letters(self, runs: list[str]) -> list[bytes]:
-        ids = np.asarray(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(runs):  # lower-casing made marks of some letters, which are pieces of their own
-            return self._each(runs)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.runs) > self.limit:
-            self.runs = {}
-        plain, odd = [], []
-        for chunk in chunks:
-            run = chunk.rstrip(_POINTS)
-            if run.isalpha():
-                plain.append((chunk, run.lower() if run.isascii() else run, chunk[len(run) :]))
-            else:
-                odd.append(chunk)
-        odd = list({*odd, *(tail for _, _, tail in plain)} - self.known.keys())
-        self.known.update(zip(odd, self._each(odd)))
-        new = list({run for _, run, _ in plain} - self.runs.keys())
-        if new:
-            self.runs.update(zip(new, self._letters(new)))
-        for chunk, run, tail in plain:
-            self.known[chunk] = self.runs[run] + self.known[tail]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        chunked = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        new = list(set().union(*chunked) - known.keys())
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i : i + 20_000])
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
-
-
-@lru_cache(maxsize=2)
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
-
-
-def choose_cuts(places: np.ndarray, penalties: np.ndarray, size: int) -> list[int]:
+def choose_cuts(places: ArrayLike, penalties: ArrayLike, size: int) -> list[int]:
     """Indices into ``places`` (ascending positions, from 0 to the end, gaps of at most ``size``) of the cheapest cuts."""
     S, pen = places.tolist(), penalties.tolist()
     cost, back = [0] * len(S), [0] * len(S)
@@ -125,12 +51,12 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, size: int) -> list[in
 class Packer:
     """Packs a stream of documents; ``add`` and ``close`` yield lists of pieces."""
 
-    def __init__(self, size: int, first_sequence: int, ends: np.ndarray) -> None:
+    def __init__(self, size: int, first_sequence: int, ends: ArrayLike) -> None:
         self.size, self.sequence, self.ends = size, first_sequence, ends
-        self.docs: list[tuple[object, np.ndarray, int]] = []  # id, ids yet to place, ids placed before
+        self.docs: list[tuple[object, ArrayLike, int]] = []  # id, ids yet to place, ids placed before
         self.held = 0
 
-    def add(self, key, ids: np.ndarray) -> list[tuple]:
+    def add(self, key, ids: ArrayLike) -> list[tuple]:
         self.docs.append((key, ids, 0))
         self.held += len(ids)
         return self._settle(False) if self.held >= BLOCK_TOKENS else []
@@ -138,7 +64,7 @@ class Packer:
     def close(self) -> list[tuple]:
         return self._settle(True) if self.docs else []
 
-    def _cut_places(self, stream: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _cut_places(self, stream: ArrayLike, doc_ends: ArrayLike) -> tuple[ArrayLike, ArrayLike]:
         kind = np.zeros(len(stream) + 1, np.int64)
         kind[np.flatnonzero(self.ends[stream]) + 1] = SENTENCE_PENALTY
         is_cut = kind > 0
@@ -193,29 +119,31 @@ class Packer:
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, path: str, size: int = 4096, separator: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 4096, separator: int = 2, text: str = "text", key: str = "doc_id", special_as_text: bool = True) -> DataFrame:
     """Packs whole texts into sequences of at most ``size`` tokens; one row per piece of a document in a sequence.
 
     Each document is its ids and then ``separator``; null and empty texts are the separator alone. Documents are taken
     in the order and the partitions in which Spark reads them, nothing is shuffled, and each partition numbers its
-    sequences in a range of its own. Repeated rows and ties are packed as often as they occur.
+    sequences in a range of its own. Repeated rows and ties are packed as often as they occur; a null key stays null;
+    very long texts are encoded a block at a time; other columns aren't read. What is left at a partition's end is cut
+    into powers of two, which need no padding. ``special_as_text``: see :class:`WordTokenizer`.
     """
 
     def run(batches):
-        coder = chunk_tokenizer(path)
+        coder = word_tokenizer(path, special_as_text)
         packer = Packer(size, TaskContext.get().partitionId() << 33, coder.ends)
-        tail = np.asarray([separator], "<u4").tobytes()
+        tail = np.asarray([separator], "<u4")
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
         def out(pieces):
             columns = list(zip(*pieces))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
             keys, texts = texts_and_ids(batch)
-            for i in range(0, len(texts), 256):
-                for k, raw in zip(keys[i : i + 256], coder.encode_batch(texts[i : i + 256])):
-                    if pieces := packer.add(k, np.frombuffer(raw + tail, "<u4")):
+            for i in range(0, len(texts), 1024):
+                for k, ids in zip(keys[i : i + 1024], coder.encode_batch(texts[i : i + 1024])):
+                    if pieces := packer.add(k, np.concatenate([ids, tail])):
                         yield out(pieces)
         if pieces := packer.close():
             yield out(pieces)
