@@ -3,11 +3,11 @@
 Every window of ``LENGTH`` bytes belongs to the smallest (by hash) of the ``GRAM``-byte strings in it, its anchor, so
 equal windows have equal anchors at equal places. Windows in a row with one anchor form an entry.
 
-1. Entries are dealt by anchor. An entry whose bytes another entry repeats is covered as a whole; an anchor that stands
-   once holds no repeat.
-2. What is left are entries that share an anchor but not all their bytes: the rims of repeated passages. Their bytes go,
-   dealt by anchor, into run-length indexes of a few megabytes, whose matching statistics tell which windows repeat.
-   Anchors with too many different entries for one index are counted window by window in Spark instead.
+1. Entries are dealt by anchor; an anchor that stands once holds no repeat. Equal entries are counted and collapsed before
+   anything travels further: one that another repeats is covered as a whole, and an index need hold it once.
+2. Entries that share an anchor but not all their bytes, the rims of repeated passages, go with their anchor into
+   run-length indexes of a few megabytes, whose matching statistics tell which windows repeat. Anchors with too many
+   different entries for one index are counted window by window in Spark instead.
 3. A text of ``LENGTH`` bytes or more that occurs twice is covered by its copies; only one of a task's copies takes part
    in the steps above.
 """
@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.typing import ArrayLike
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ BLOCK, INDEX_BYTES, INDEX_ENTRIES = 1 << 20, 2 << 20, 20_000
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[ArrayLike, ArrayLike, ArrayLike]:
     base, size = 0xD6E8FEB86659FD93, BLOCK + LENGTH + 1
     rnd = np.random.default_rng(20)
     table = rnd.integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -42,7 +43,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table, powers(base), powers(inverse)
 
 
-def entries(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def entries(data: ArrayLike) -> tuple[ArrayLike, ArrayLike, ArrayLike, ArrayLike]:
     """Anchor hash, content hash, first and last window start of the entries of one text of at most BLOCK windows."""
     table, power, inverse = _tables()
     n = len(data)
@@ -75,7 +76,7 @@ def _bytes_of(batch: pa.RecordBatch, i: int) -> list[bytes]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
-def _distinct_entries(uid: int, a: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+def _distinct_entries(uid: int, a: ArrayLike, c: ArrayLike, first: ArrayLike, last: ArrayLike) -> list[ArrayLike]:
     """The columns of one text's rows. Entries that the text itself repeats, as periodic text does by the thousand, are
     one row of weight 2, and the stretches that they cover are rows of weight 0 under keys of their own."""
     _, back, times = np.unique(a ^ mix64(c), return_inverse=True, return_counts=True)
@@ -104,7 +105,7 @@ def entry_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[ArrayLike]] = [[], [], [], [], []]
             for uid, raw in zip(batch.column(0).to_pylist(), _bytes_of(batch, 1)):
                 if len(raw) < LENGTH or (key := xxhash.xxh3_64_intdigest(raw)) in seen:
                     continue
@@ -213,7 +214,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left).
 
     Null and empty texts have no bytes; texts under 200 bytes lose none; rows that repeat a text lose all of it if it has
-    200 bytes or more, whatever their doc_id.
+    200 bytes or more, whatever their doc_id, which may be null. Very long texts are hashed a block at a time; an empty table
+    gives no rows; columns other than doc_id and text aren't read. Rows are told apart by 64 bits of doc_id and text.
     """
     size, text_key = F.octet_length("text"), [F.xxhash64("text").alias("t"), F.octet_length("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc")]
     keys = _keyed(docs).where(size >= LENGTH).select("uid", *text_key)

@@ -8,9 +8,10 @@ the last (neighbours stay neighbours), so the matching statistics of the whole c
 from __future__ import annotations
 
 import numpy as np
+from numpy.typing import ArrayLike
 
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
+def suffix_order(symbols: ArrayLike) -> ArrayLike:
     """Suffix array by prefix doubling from 8 symbols on; each round sorts only suffixes that are still tied."""
     n = len(symbols)
     padded = np.zeros(n + 8, np.uint64)
@@ -41,7 +42,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def _common(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def _common(symbols: ArrayLike, a: ArrayLike, b: ArrayLike, most: int) -> ArrayLike:
     """Lengths, up to ``most``, of the common prefixes of the suffixes at ``a`` and ``b``."""
     n = len(symbols)
     padded = np.concatenate([symbols, np.full(most + 8, 511, symbols.dtype)])
@@ -55,38 +56,48 @@ def _common(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.
 
 
 class RunLengthIndex:
-    """``strings``: byte strings; matches never cross from one to the next."""
+    """``strings``: byte strings; matches never cross from one to the next.
+
+    Suffix order, text and ranks serve the construction only. What stays are the transform's runs (``run_symbols``,
+    ``run_lengths``) and the samples at run ends and string starts: ``up`` and ``down`` hold text places, ascending, and how
+    far the suffix there matches its neighbour above or below. Their size follows the runs, not the text.
+    """
 
     def __init__(self, strings: list[bytes]) -> None:
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        ends = np.cumsum(sizes + 1) - 1
-        self.starts = ends - sizes
-        self.symbols = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int16) + 1
-        self.symbols[ends] = 0
-        self.rest = np.repeat(ends, sizes + 1) - np.arange(len(self.symbols))
-        self.order = suffix_order(self.symbols)
-        before = self.symbols[self.order - 1]
-        #: First rows of the runs of the transform.
-        self.runs = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.starts = self.ends - sizes
+        symbols = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int16) + 1
+        symbols[self.ends] = 0
+        order, most = suffix_order(symbols), int(sizes.max(initial=0)) + 1
+        before = symbols[order - 1]
+        heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
+        self.run_symbols, self.run_lengths = before[heads] - 1, np.diff(np.r_[heads, len(symbols)])
+        row_of = np.empty(len(symbols), np.int64)
+        row_of[order] = np.arange(len(symbols))
+        first = row_of[self.starts]
+        self.up = self._samples(symbols, order, np.union1d(heads, first), -1, most)
+        self.down = self._samples(symbols, order, np.union1d(np.r_[heads[1:] - 1, len(symbols) - 1], first), 1, most)
 
-    def _stream(self, rows: np.ndarray, neighbour: int, most: int) -> np.ndarray:
-        """Matches of every suffix with the neighbour above (-1) or below (+1), from samples at ``rows``."""
-        n = len(self.symbols)
-        samples = np.full(n, -1, np.int64)
+    @staticmethod
+    def _samples(symbols: ArrayLike, order: ArrayLike, rows: ArrayLike, neighbour: int, most: int) -> tuple[ArrayLike, ArrayLike]:
         other = rows + neighbour
-        inside = (other >= 0) & (other < n)
-        a = self.order[rows[inside]]
-        samples[self.order[rows[~inside]]] = self.order[rows[~inside]]
-        samples[a] = _common(self.symbols, a, self.order[other[inside]], most) + a
-        known = np.where(samples >= 0, np.arange(n), 0)
-        return samples[np.maximum.accumulate(known)] - np.arange(n)
+        inside = (other >= 0) & (other < len(symbols))
+        length = np.zeros(len(rows), np.int64)
+        length[inside] = _common(symbols, order[rows[inside]], order[other[inside]], most)
+        by_place = np.argsort(order[rows])
+        return order[rows][by_place], length[by_place]
+
+    def _matches(self, places: ArrayLike) -> ArrayLike:
+        """The longest match of the suffix at each place with any other: a sample's, less the steps since."""
+        best = np.zeros(len(places), np.int64)
+        for at, length in (self.up, self.down):
+            i = np.searchsorted(at, places, side="right") - 1
+            best = np.maximum(best, at[i] + length[i] - places)
+        return best
 
-    def repeated(self, length: int) -> np.ndarray:
+    def repeated(self, length: int) -> ArrayLike:
         """Whether the ``length`` symbols from each position on, within its string, stand at another position too."""
-        most = int(self.rest.max(initial=0)) + 1
-        row_of = np.empty(len(self.symbols), np.int64)
-        row_of[self.order] = np.arange(len(self.symbols))
-        heads = np.union1d(self.runs, row_of[self.starts])
-        tails = np.union1d(np.r_[self.runs[1:] - 1, len(self.symbols) - 1], row_of[self.starts])
-        best = np.maximum(self._stream(heads, -1, most), self._stream(tails, 1, most))
-        return (best >= length) & (self.rest >= length)
+        places = np.arange(self.ends[-1] + 1 if len(self.ends) else 0)
+        rest = np.repeat(self.ends, np.diff(np.r_[-1, self.ends])) - places
+        return (self._matches(places) >= length) & (rest >= length)
