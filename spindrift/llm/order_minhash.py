@@ -8,6 +8,9 @@ of their non-empty parts that agree. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,35 +68,48 @@ def as_text(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
+#: Bytes of text that a range of doc_ids is to hold, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
+
+
+def with_next(docs: DataFrame, columns: list[str], size: Column) -> DataFrame:
     """Adds ``next``, a struct of ``columns`` of the row with the following doc_id (of the last: the first's).
 
-    Rows are dealt to ranges of doc_id whose lower bounds are doc_ids themselves, at most ``ranges`` of them found as
-    quantiles; each range's first row also visits the range before it, so one shuffle and a window per range suffice.
-    Rows of equal doc_id follow each other by their columns; a null doc_id stands before all others and is nobody's
-    successor at the end.
+    Rows are dealt to ranges of doc_id whose lower bounds are doc_ids themselves, found as quantiles: one for every
+    RANGE_BYTES of ``size``. Each range's first row also visits the range before it, so one shuffle and a window per range
+    suffice. Rows of equal doc_id follow each other by their columns; a null doc_id stands before all others and is
+    nobody's successor at the end.
     """
+    whole = docs.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+    ranges = min(MOST_RANGES, max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole // RANGE_BYTES))
     marks = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(ranges + 1)], 10 * ranges).alias("m"), F.min("doc_id").alias("low")).first()
-    bounds = sorted({*(marks["m"] or []), *([] if marks["low"] is None else [marks["low"]])})[: ranges + 1]
-    if not bounds:
-        bounds = [0]
-    n = len(bounds)
-    table = F.array(*[F.lit(b) for b in bounds])
-    own = F.greatest(F.size(F.filter(table, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
-    visits = F.when(F.col("doc_id").isNotNull() & F.array_contains(table, F.col("doc_id")), F.array(F.struct(own.alias("range"), F.lit(0).alias("guest")), F.struct(F.pmod(own - 1, F.lit(n)).alias("range"), F.lit(1).alias("guest"))))
-    visits = visits.otherwise(F.array(F.struct(own.alias("range"), F.lit(0).alias("guest"))))
-    frame = docs.withColumn("_visit", F.explode(visits)).select("*", "_visit.range", "_visit.guest").drop("_visit")
+    bounds = sorted({*(marks["m"] or []), *([] if marks["low"] is None else [marks["low"]])})[: ranges + 1] or [0]
+    # Bounds in rows of ``step``: a look at each row's first finds the row, a look at the row's bounds the range.
+    n, step = len(bounds), max(1, math.isqrt(len(bounds)))
+    literal = lambda xs: F.from_json(F.lit(json.dumps(xs)), "array<bigint>")
+    at_most = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
+    row = F.greatest(at_most(literal(bounds[::step])) - 1, F.lit(0))
+    rows = F.from_json(F.lit(json.dumps([bounds[i : i + step] for i in range(0, n, step)])), "array<array<bigint>>")
+    own = F.greatest(row * step + at_most(F.get(rows, row)) - 1, F.lit(0))
+    frame = docs.withColumn("_own", own).withColumn("_first", F.coalesce(F.get(F.get(rows, F.floor(F.col("_own") / step).cast("int")), F.col("_own") % step) == F.col("doc_id"), F.lit(False)))
+    home, guest = F.struct(F.col("_own").alias("range"), F.lit(0).alias("guest")), F.struct(F.pmod(F.col("_own") - 1, F.lit(n)).alias("range"), F.lit(1).alias("guest"))
+    frame = frame.withColumn("_visit", F.explode(F.when(F.col("_first"), F.array(home, guest)).otherwise(F.array(home))))
+    frame = frame.select("*", "_visit.range", "_visit.guest").drop("_visit", "_own", "_first")
     order = Window.partitionBy("range").orderBy("guest", "doc_id", *columns)
     return frame.withColumn("next", F.lead(F.struct(*columns)).over(order)).where(F.col("guest") == 0).drop("range", "guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its text with the second half taken from the next document, and
-    both likenesses. Null and empty texts have the empty fingerprint."""
+    both likenesses.
+
+    Null and empty texts have the empty fingerprint. Rows that repeat a doc_id follow each other by text, each with a row
+    of its own, equal ones too; null doc_ids come first. Very long texts are one array of words in one row; an empty table
+    gives no rows; columns other than doc_id and text aren't read. Likenesses rest on tuple hashes of 26 bits.
+    """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     base = base.withColumn("sig", signature(F.col("text")))
-    ranges = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    frame = with_next(base, ["text", "sig"], min(ranges, 4096))
+    frame = with_next(base, ["text", "sig"], F.octet_length("text"))
     n = F.length("text")
     half = (n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.col("next")["text"], F.lit(1), half))

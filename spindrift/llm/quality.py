@@ -22,12 +22,15 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Limits:
-    """``min_words``: shorter documents are not judged by distance; the distances are at most ``chars`` and ``words``."""
+    """``min_words``: shorter documents are not judged by distance; the distances are at most ``chars`` and ``words``; a
+    language's common words are its ``common_words`` most frequent ones of up to ``common_chars`` characters, so that a
+    reference has a size."""
 
     min_words: int = 50
     chars: float = 0.30
     words: float = 0.43
     common_words: int = 40
+    common_chars: int = 64
 
 
 #: References that may be broadcast: so many languages, and so many characters in all of their names.
@@ -120,7 +123,7 @@ def references(docs: DataFrame, limits: Limits) -> DataFrame:
     all_chars = sum((F.col(f"c{i}") for i in range(len(CLASSES) + 2)), F.lit(0))
     total = total.select("lang", "n", F.array(*[F.col(f"c{i}") / F.greatest(all_chars, F.lit(1)) for i in range(len(CLASSES) + 2)]).alias("class_q"))
     each = docs.select(language(docs).alias("lang"), F.explode(words(F.lower(text_of()))).alias("w"))
-    seen = each.where(F.length("w") <= 64).groupBy("lang", "w").agg(F.count("*").alias("n_w"))
+    seen = each.where(F.length("w") <= limits.common_chars).groupBy("lang", "w").agg(F.count("*").alias("n_w"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_w"), "w"))
     common = seen.withColumn("rank", rank).where(F.col("rank") <= limits.common_words)
     common = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "w", "n_w"))).alias("top"))
@@ -162,7 +165,8 @@ def judge(docs: DataFrame, limits: Limits = Limits(), rows: bool = False) -> Dat
     """One row per document: the counts, base_failed, both distances and the verdict ``kept``.
 
     Null and empty texts have no words and fail the base rules. Rows are judged one by one, so repeated rows get equal
-    verdicts; a null language is a language of its own. Columns other than doc_id, lang and text aren't read, unless
+    verdicts; a null language is one with the empty one; an empty table gives no rows; very long texts are arrays of words
+    in one row. Columns other than doc_id, lang and text aren't read, unless
     ``rows`` asks for them in the struct ``source_row``.
     """
     frame = with_references(counts(docs), references(docs, limits), docs)

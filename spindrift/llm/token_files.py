@@ -39,30 +39,44 @@ def _encoding(path: str, pattern: str):
 
 def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, separator: int) -> DataFrame:
     """Writes one token file per partition to ``folder``, a URI that all executors reach, and returns what went where:
-    file, ordinal (the document's place in its file), doc_id. Null and empty texts are a separator alone.
+    file, ordinal (the document's place in its file), doc_id. Null and empty texts are a separator alone, also of a
+    null doc_id; repeated rows are written as often as they occur; an empty table makes files without documents; very
+    long texts are encoded whole; columns other than doc_id and text aren't read. Ids must fit 16 bits.
 
-    A task writes under a name of its own and renames the file when it is whole, so repeated tasks do no harm."""
+    Every attempt of a task writes a draft of its own, whose name goes into its rows. Only the drafts that the manifest
+    names, those of the attempts that counted, become token files, so rows and files are of one attempt always.
+    """
+    top = max(load_ranks(path).values(), default=0)
+    if max(top, separator) > 0xFFFF or separator < 0:
+        raise ValueError(f"ids up to {max(top, separator)} don't fit 16 bits")
 
     def run(batches):
         encoding = _encoding(path, pattern)
-        name = f"part-{TaskContext.get().partitionId():06d}.bin"
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
-        draft, n = f"{base}/_{name}.{uuid.uuid4().hex}", 0
-        with system.open_output_stream(draft) as out:
+        n = 0
+        with system.open_output_stream(f"{base}/_{name}") as out:
             for batch in batches:
                 keys, texts = texts_and_ids(batch)
                 for text in texts:
                     out.write(np.asarray([*encoding.encode_ordinary(text), separator], "<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(range(n, n + len(keys)), pa.int64()), batch.column(0)], ["file", "ordinal", "doc_id"])
                 n += len(keys)
-        if system.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
-            system.move(draft, f"{base}/{name}")
-        else:
-            system.delete_file(draft)
+
+    def publish(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for name in names:
+                system, base = _open(folder)
+                if system.get_file_info(f"{base}/_{name}").type == fs.FileType.File:  # else an earlier attempt did it
+                    system.move(f"{base}/_{name}", f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
 
     frame = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return stored(frame.mapInArrow(run, "file string, ordinal bigint, doc_id bigint"), "token-manifest")
+    manifest = stored(frame.mapInArrow(run, "file string, ordinal bigint, doc_id bigint"), "token-manifest")
+    manifest.select("file").distinct().mapInArrow(publish, "file string").count()
+    return manifest
 
 
 def scan_blocks(spark: SparkSession, folder: str, separator: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -95,15 +109,16 @@ def token_counts(spark: SparkSession, folder: str, separator: int, block_bytes:
     """file, ordinal, start, n_tokens (without the separator), ended: one row per document of the folder's token files.
 
     Two separators in a row hold an empty document; tokens after the last separator are a document with ended = false; an
-    empty file has no documents.
+    empty file has no documents. The prefix scan sees three numbers per block; the places of its separators stay with it.
     """
-    blocks = scan_blocks(spark, folder, separator, block_bytes)
+    scanned = stored(scan_blocks(spark, folder, separator, block_bytes), "token-blocks")
+    blocks = scanned.select("file", "block", "first", "n", F.size("at").alias("n_at"), F.element_at("at", -1).alias("last_at"))
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.col("first") + F.element_at("at", -1)
-    blocks = blocks.withColumn("last", F.when(F.size("at") > 0, last))
-    blocks = blocks.withColumn("n_before", F.coalesce(F.sum(F.size("at")).over(before), F.lit(0))).withColumn("open_from", F.coalesce(F.max("last").over(before), F.lit(-1)) + 1)
+    blocks = blocks.withColumn("last", F.when(F.col("n_at") > 0, F.col("first") + F.col("last_at")))
+    blocks = blocks.withColumn("n_before", F.coalesce(F.sum("n_at").over(before), F.lit(0))).withColumn("open_from", F.coalesce(F.max("last").over(before), F.lit(-1)) + 1)
     blocks = blocks.withColumn("is_last", F.lead("block").over(order).isNull())
+    blocks = blocks.join(scanned.select("file", "block", "at").hint("shuffle_merge"), ["file", "block"])
     tail_from = F.coalesce(F.col("last") + 1, F.col("open_from"))
     end = F.col("first") + F.col("n")
     found = F.transform(
