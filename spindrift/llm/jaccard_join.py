@@ -4,12 +4,16 @@
    N >= n shingles and similarity 0.8 share more than 3/10 N, and more than 3/8 n, shingles of their fronts. So of the
    larger set's front the last 3/10 N, and of the smaller one's the last 3/8 n, can go without losing all of the common
    ones. What goes are the shingles that stand in the most fronts: common passages.
-2. Each shingle that two or more nodes still share is a Voronoi region; its pivot is its smallest set. Every member is
-   compared with its region's pivots only, which is linear in the regions' sizes, and what lies within the radius is
-   linked.
-3. Members of a region that are not yet in one component can only be linked if their distances to the pivot differ by
-   the radius at most (the triangle inequality). Those windows join with their neighbours, exactly, and components are
-   formed again.
+2. Each shingle that two or more nodes still share is a region; its pivot is its smallest set. Every member is compared
+   with its region's pivots only, which is linear in the regions' sizes, and what lies within the radius is linked.
+3. Members of a region that are not yet in one component are cut into windows of their distance to the pivot, one radius
+   wide: by the triangle inequality linked sets stand in one window or in neighbouring ones, so each member also visits
+   its neighbours.
+4. A window with many members is split again: a few of its members become pivots, every member's home is the Voronoi
+   cell of its nearest pivot, and members on a border, up to two radii farther from another pivot, visit that cell too.
+   Cells split until they are small, or until splitting gains nothing. A pair is compared in a cell that is home to one.
+
+Regions come first because pivots alone can't separate unrelated texts, all of which are at distance 1 from each other.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.typing import ArrayLike
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SKETCH_WORDS, mix64, sketch, sketch_lacks, stored, text_of, texts_and_ids
+from .common import SKETCH_WORDS, mix64, sketch, sketch_lacks, spread_join, stored, text_of
 from .graph import connected
 
 SHINGLE = 5
@@ -44,7 +49,7 @@ def _word_hashes() -> _WordHashes:
     return _WordHashes()
 
 
-def shingle_set(text: str) -> np.ndarray:
+def shingle_set(text: str) -> ArrayLike:
     """Sorted distinct 64-bit hashes of the text's shingles; A-Z as a-z, words split at ASCII white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
@@ -58,29 +63,37 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def set_key(s: np.ndarray) -> int:
+def set_key(s: ArrayLike) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True)
 
 
+def _second_key(s: ArrayLike) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes(), 1), "big", signed=True)
+
+
 def front_length(n):
     return n // 2 + 1
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, r1, r2: 128 bits stand for a row, whose doc_id others may share."""
+    frame = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    return frame.select("*", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("r2"))
+
+
 def set_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the shingle set), k (the set's hash) and its sketch w0, w1, ..: equal sets have equal n and k."""
+    """doc_id, r1, r2, n (size of the shingle set), k, k2 (the set's 128 bits) and its sketch w0, w1, ..: equal sets have
+    equal n, k and k2."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t) for t in texts_and_ids(batch)[1]]
+            sets = [shingle_set(t) for t in batch.column(3).to_pylist()]
             words = list(zip(*map(sketch, sets))) if sets else [[]] * SKETCH_WORDS
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_key, sets), pa.int64()), *(pa.array(w, pa.int64()) for w in words)], names)
-
-    names = ["doc_id", "n", "k", *(f"w{i}" for i in range(SKETCH_WORDS))]
-    return _texts(docs).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+            found = [[len(s) for s in sets], [set_key(s) for s in sets], [_second_key(s) for s in sets], *words]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.int64()) for x in found)], names)
 
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    names = ["doc_id", "r1", "r2", "n", "k", "k2", *(f"w{i}" for i in range(SKETCH_WORDS))]
+    return _texts(docs).select("doc_id", "r1", "r2", "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def fronts(docs: DataFrame) -> DataFrame:
@@ -91,7 +104,7 @@ def fronts(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             parts, keys, sizes = [], [], []
-            for text in texts_and_ids(batch)[1]:
+            for text in batch.column(0).to_pylist():
                 s = shingle_set(text)
                 key = set_key(s)
                 if len(s) == 0 or key in seen:
@@ -108,12 +121,12 @@ def fronts(docs: DataFrame) -> DataFrame:
                 columns = [np.concatenate(parts).astype(np.int64), np.repeat(np.asarray(keys, np.int64), times), np.repeat(np.asarray(sizes, np.int64), times)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "k", "n"])
 
-    return _texts(docs).mapInArrow(run, "s bigint, k bigint, n bigint")
+    return docs.select(text_of().alias("text")).mapInArrow(run, "s bigint, k bigint, n bigint")
 
 
 def regions(docs: DataFrame) -> DataFrame:
-    """s, k, n, small of the nodes that share a region with another node. Two linked sets meet in a region where the
-    smaller one's row has ``small``."""
+    """s, k, n, small: the shingles of each node's front that it shares with another, less the commonest. Two linked sets
+    meet in a region where the smaller one's row has ``small``."""
     rows = fronts(docs).repartition("s").groupBy("s", "k", "n").agg(F.lit(1).alias("one"))
     shared = rows.withColumn("c", F.count("*").over(Window.partitionBy("s"))).where("c > 1").select("s", "k", "n", "c")
     shared = stored(shared, "fronts")
@@ -122,98 +135,194 @@ def regions(docs: DataFrame) -> DataFrame:
     from_end = F.count("*").over(in_set) - F.row_number().over(in_set.orderBy("c", "s"))
     kept = shared.withColumn("from_end", from_end).where(F.col("from_end") >= F.floor(F.col("n") * 3 / 10) - 1)
     kept = kept.withColumn("small", F.col("from_end") >= F.floor(F.col("n") * 3 / 8) - 1)
-    by_s = Window.partitionBy("s")
-    again = kept.withColumn("c", F.count("*").over(by_s)).withColumn("any", F.max("small").over(by_s)).where("c > 1 and any")
-    return again.select("s", "k", "n", "small")
+    return kept.select("s", "k", "n", "small")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def similarities(pairs: DataFrame, docs: DataFrame, per_task: int = 256) -> DataFrame:
-    """pairs (a, ka, b, kb: doc_ids and set hashes) -> a, b, both, either: sizes of intersection and union.
+def similarities(pairs: DataFrame, docs: DataFrame, per_task: int = 64) -> DataFrame:
+    """pairs (a, ka, ra, b, kb, rb: nodes, set hashes, keys of a row with the set) -> a, b, both, either: sizes of
+    intersection and union.
 
     The set of ``a`` travels once to each of its tasks, the partners of an ``a`` with more than ``per_task`` of them are
     dealt to several, and a task holds one set at a time.
     """
     pairs = pairs.withColumn("salts", F.ceil(F.count("*").over(Window.partitionBy("a")) / per_task))
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    hub = pairs.select("a", "ka", "salts").distinct()
-    hub = hub.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc"), F.col("ka").alias("k"), F.lit(0).alias("role"))
-    asked = hub.union(pairs.select("a", "salt", F.col("b").alias("doc"), F.col("kb").alias("k"), F.lit(1).alias("role")))
-    texts = _texts(docs).join(asked.hint("shuffle_merge"), F.col("doc_id") == F.col("doc")).select("a", "salt", "role", "doc", "k", "text")
+    hub = pairs.select("a", "ka", "ra", "salts").distinct()
+    hub = hub.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.col("ka").alias("k"), F.col("ra").alias("row"), F.lit(0).alias("role"))
+    asked = hub.union(pairs.select("a", "salt", F.col("b").alias("node"), F.col("kb").alias("k"), F.col("rb").alias("row"), F.lit(1).alias("role")))
+    texts = _texts(docs).select("r1", "text").join(asked.hint("shuffle_merge"), F.col("r1") == F.col("row")).select("a", "salt", "role", "node", "k", "text")
 
     def sets(batches):
         for batch in batches:
             found = [shingle_set(t) for t in batch.column(5).to_pylist()]
             right = pa.array([set_key(s) == k for s, k in zip(found, batch.column(4).to_pylist())])
-            out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((s.tobytes() for s in found), pa.binary())], ["a", "salt", "role", "doc", "shingles"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((s.tobytes() for s in found), pa.binary())], ["a", "salt", "role", "node", "shingles"])
             yield out.filter(right)
 
     def compare(batches):
         hub_of, hub_set = None, None
         for batch in batches:
             rows = []
-            for a, salt, role, doc, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, salt, role, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 s = np.frombuffer(raw, np.uint64)
                 if role == 0:
                     hub_of, hub_set = (a, salt), s
                 elif hub_of == (a, salt):
                     both = np.intersect1d(hub_set, s, assume_unique=True).size
-                    rows.append((a, doc, both, len(hub_set) + len(s) - both))
+                    rows.append((a, node, both, len(hub_set) + len(s) - both))
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "both", "either"])
 
-    made = texts.mapInArrow(sets, "a bigint, salt bigint, role int, doc bigint, shingles binary")
+    made = texts.mapInArrow(sets, "a bigint, salt bigint, role int, node bigint, shingles binary")
     return made.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a bigint, b bigint, both bigint, either bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links of similarity
-    ``percent`` / 100 or more reach).
-
-    ``percent`` must be 80 or more, for the fronts are made for that. A null or blank text has the empty set and stands
-    alone; a text of fewer than five words is one shingle; equal sets are linked and compared once; rows that repeat a
-    doc_id each get a row.
-    """
+#: Members of a cell above which it is split again, pivots of a split, and the share of a cell's rows that its cells may
+#: hold together, visits included, for the split to count as a gain in work.
+CELL_MEMBERS, CELL_PIVOTS, ROUNDS = 512, 8, 6
+
+
+def _pairs_with_pivot(members: DataFrame) -> DataFrame:
+    """members (.., node, k, rep, p: struct<node, k, rep>) -> pairs as ``similarities`` takes them."""
+    apart = members.where(F.col("p.node") != F.col("node"))
+    return apart.select(F.col("p.node").alias("a"), F.col("p.k").alias("ka"), F.col("p.rep").alias("ra"), F.col("node").alias("b"), F.col("k").alias("kb"), F.col("rep").alias("rb")).distinct()
+
+
+def _distances(measured: DataFrame) -> DataFrame:
+    return measured.select(F.col("a").alias("pivot"), F.col("b").alias("of"), (1 - F.col("both") / F.col("either")).alias("distance")).distinct()
+
+
+def _measure(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """members with ``distance``, to the pivot ``p``."""
+    found = _distances(similarities(_pairs_with_pivot(members), docs))
+    joined = members.join(found, (F.col("p.node") == F.col("pivot")) & (F.col("node") == F.col("of")), "left").drop("pivot", "of")
+    return joined.withColumn("distance", F.when(F.col("p.node") == F.col("node"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0))))
+
+
+def _windows(members: DataFrame, radius: float) -> DataFrame:
+    """Members in the windows of their distance to the pivot, and as visitors (``home`` false) in the neighbouring ones."""
+    own = F.floor(F.col("distance") / radius).cast("int")
+    spread = members.withColumn("own", own).withColumn("window", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+    cell = F.xxhash64("s", "window").alias("cell")
+    return spread.select(cell, "node", "k", "rep", "n", "small", "component", (F.col("window") == F.col("own")).alias("home"))
+
+
+def _split(cells: DataFrame, docs: DataFrame, radius: float, seed: int) -> DataFrame:
+    """The cells' Voronoi cells around CELL_PIVOTS of their members, with visitors from two radii beyond the borders."""
+    order = Window.partitionBy("cell").orderBy("turn", "node")
+    pivots = cells.select("cell", "node", "k", "rep", F.xxhash64(F.lit(seed), "k").alias("turn"))
+    # Each task puts forward its first few, then the first of these are taken.
+    few = pivots.groupBy("cell", F.pmod(F.xxhash64("node"), F.lit(64)).alias("salt")).agg(F.min(F.struct("turn", "node", "k", "rep")).alias("x")).select("cell", "x.*")
+    few = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CELL_PIVOTS)
+    few = few.groupBy("cell").agg(F.collect_list(F.struct("node", "k", "rep")).alias("ps"))
+    asked = cells.join(few, "cell").withColumn("p", F.explode("ps")).drop("ps")
+    asked = stored(_measure(asked, docs), "cell-distances")
+    nearest = asked.groupBy("cell", "node").agg(F.min(F.struct("distance", "p.node")).alias("home_is"))
+    joined = asked.join(nearest.hint("shuffle_merge"), ["cell", "node"]).where(F.col("distance") <= F.col("home_is.distance") + 2 * radius)
+    own = F.col("p.node") == F.col("home_is.node")
+    return joined.select(F.xxhash64("cell", "p.node").alias("cell"), "node", "k", "rep", "n", "small", "component", (F.col("home") & own).alias("home"))
+
+
+def _cells(members: DataFrame, docs: DataFrame, radius: float) -> DataFrame:
+    """cell, node, k, rep, n, small, component, home: windows, and the Voronoi cells of those with many members."""
+    cells, done = stored(_windows(members, radius), "windows"), None
+    for seed in range(ROUNDS):
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("members"))
+        large = sizes.where(F.col("members") > CELL_MEMBERS)
+        before = large.agg(F.sum(F.col("members") * F.col("members").cast("double")).alias("x")).first()["x"]
+        if before is None:
+            break
+        finer = stored(_split(cells.join(large.select("cell"), "cell"), docs, radius, seed), "cells")
+        small = cells.join(large.select("cell"), "cell", "left_anti")
+        done = small if done is None else done.union(small)
+        after = finer.groupBy("cell").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * F.col("m").cast("double")).alias("x")).first()["x"]
+        if after > 0.8 * before:  # their members are about as far from each other as from the pivots
+            cells = cells.join(large.select("cell"), "cell")
+            break
+        cells = finer
+    return cells if done is None else done.union(cells)
+
+
+def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, r1, r2 (a row's 128 bits), n_shingles, component (a number that its component alone has; null for the empty
+    set), component_id: see :func:`near_duplicates`."""
     if percent < 80:
         raise ValueError("percent must be at least 80")
+    radius = 1 - percent / 100 + 1e-9
     keys = stored(set_keys(docs), "keys")
-    nodes = keys.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("node"))
-    member = stored(regions(docs).join(nodes.where("node is not null"), ["k", "n"]), "regions")
-
-    pivot = F.min(F.when(F.col("small"), F.struct("n", "node", "k"))).over(Window.partitionBy("s"))
-    around = member.withColumn("p", pivot).where((F.col("p.node") != F.col("node")) & _sizes_fit(F.col("p.n"), F.col("n"), percent))
-    pairs = around.select(F.col("p.node").alias("a"), F.col("p.k").alias("ka"), F.col("node").alias("b"), F.col("k").alias("kb")).distinct()
-    measured = stored(similarities(pairs, docs), "measured")
+    # Stored, for the numbers of the nodes must stay.
+    nodes = keys.where("n > 0").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("low"), F.min("r1").alias("rep"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    member = stored(regions(docs).join(nodes.select("k", "n", "node", "rep"), ["k", "n"]), "regions")
+
+    pivots = member.groupBy("s").agg(F.min(F.when(F.col("small"), F.struct("n", "node", "k", "rep"))).alias("p"), F.count("*").alias("n_rows"))
+    member = stored(spread_join(member, stored(pivots.where("n_rows > 1 and p is not null"), "pivots"), ["s"], ["node"]), "members")
+    around = member.where((F.col("p.node") != F.col("node")) & _sizes_fit(F.col("p.n"), F.col("n"), percent))
+    measured = stored(similarities(_pairs_with_pivot(around), docs), "measured")
     near = F.col("both") * 100 >= F.col("either") * percent
-    links = measured.where(near).select("a", "b")
-    found = stored(connected(links), "components")
-
-    # Windows of the triangle inequality: only members in different components, whose distances to the pivot fit.
-    label = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("p", pivot)
-    open_ = Window.partitionBy("s")
-    label = label.where(F.col("p").isNotNull()).withColumn("lo", F.min("component").over(open_)).withColumn("hi", F.max("component").over(open_)).where("lo < hi")
-    distance = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("distance")).distinct()
-    label = label.select("s", "k", "n", "small", "node", "component", F.col("p.node").alias("pivot")).join(distance, ["pivot", "node"], "left")
-    drawn = keys.select(F.col("doc_id").alias("node"), F.col("k").alias("of_k"), *[f"w{i}" for i in range(SKETCH_WORDS)])
-    label = label.where("node <> pivot").join(drawn, "node").where("k = of_k").drop("of_k").distinct()
-    label = stored(label, "windows")
-    names = ["k", "n", "small", "node", "component", "distance", *[f"w{i}" for i in range(SKETCH_WORDS)]]
-    left, right = (label.select("s", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
-    fits = F.coalesce(F.abs(F.col("a_distance") - F.col("b_distance")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    found = stored(connected(measured.where(near).select("a", "b")), "components")
+
+    # Open regions: their members aren't in one component yet.
+    label = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = label.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_rows"))
+    label = spread_join(label, stored(open_.where("low < high").select("s", "n_rows"), "open-regions"), ["s"], ["node"]).where("node <> p.node")
+    distance = _distances(measured)
+    label = label.join(distance, (F.col("p.node") == F.col("pivot")) & (F.col("node") == F.col("of")), "left").drop("pivot", "of")
+    label = stored(label, "open")
+    # Sets far larger than the pivot weren't measured yet.
+    far = _measure(label.where("distance is null").drop("distance"), docs)
+    cells = _cells(label.where("distance is not null").unionByName(far), docs, radius)
+    drawn = keys.select(F.col("r1").alias("of"), F.col("k").alias("of_k"), *[f"w{i}" for i in range(SKETCH_WORDS)])
+    cells = stored(cells.join(drawn.hint("shuffle_merge"), (F.col("rep") == F.col("of")) & (F.col("k") == F.col("of_k"))).drop("of", "of_k").distinct(), "sketched")
+    names = ["node", "k", "rep", "n", "small", "component", "home", *[f"w{i}" for i in range(SKETCH_WORDS)]]
+    left, right = (cells.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
     # Linked sets have this many shingles in common; what one of them lacks shows in the sketches.
     common = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
     alike = (sketch_lacks("a_w", "b_w") <= F.col("a_n") - common) & (sketch_lacks("b_w", "a_w") <= F.col("b_n") - common)
-    open_pairs = (F.col("a_n") <= F.col("b_n")) & (F.col("a_component") != F.col("b_component"))
-    rest = left.where("a_small").join(right.hint("shuffle_merge"), "s").where(open_pairs & fits & _sizes_fit(F.col("a_n"), F.col("b_n"), percent) & alike)
-    rest = rest.select(F.col("a_node").alias("a"), F.col("a_k").alias("ka"), F.col("b_node").alias("b"), F.col("b_k").alias("kb")).distinct()
+    open_pairs = (F.col("a_n") <= F.col("b_n")) & (F.col("a_component") != F.col("b_component")) & (F.col("a_home") | F.col("b_home"))
+    rest = left.where("a_small").join(right.hint("shuffle_merge"), "cell").where(open_pairs & _sizes_fit(F.col("a_n"), F.col("b_n"), percent) & alike)
+    rest = rest.select(*[F.col(f"{side}_{c}").alias(new) for side in "ab" for c, new in (("node", side), ("k", f"k{side}"), ("rep", f"r{side}"))]).distinct()
     rest = stored(rest.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = stored(similarities(rest, docs).where(near).select("a", "b"), "more")
         if not more.isEmpty():
-            found = connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    by_set = nodes.join(found, "node", "left").select(F.col("k").alias("set_k"), F.col("n").alias("set_n"), F.coalesce("component", "node").alias("component"))
-    joined = keys.join(by_set, (F.col("k") == F.col("set_k")) & (F.col("n") == F.col("set_n")), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+            found = stored(connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = labelled.groupBy("component").agg(F.min("low").alias("least"))
+    by_set = labelled.join(lows, "component").select(F.col("k").alias("of"), F.col("k2").alias("of2"), F.col("n").alias("of_n"), "component", "least")
+    joined = keys.join(by_set.hint("shuffle_merge"), (F.col("k") == F.col("of")) & (F.col("k2") == F.col("of2")) & (F.col("n") == F.col("of_n")), "left")
+    return joined.select("doc_id", "r1", "r2", F.col("n").alias("n_shingles"), "component", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links of similarity
+    ``percent`` / 100 or more reach).
+
+    ``percent`` must be 80 or more, for the fronts are made for that. A null or blank text has the empty set and stands
+    alone; a text of fewer than five words is one shingle; equal sets are linked and compared once; rows that repeat a
+    doc_id each get a row, by their own text; a null doc_id is nobody's smallest. An empty table gives no rows, very long
+    texts are sets like others, and columns other than doc_id and text aren't read. Sets are told apart by 128 bits of
+    the 64-bit hashes of their shingles.
+    """
+    return classes(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, less near duplicates: of each component the row with the smallest doc_id stays,
+    of equal doc_ids the one with the smallest text hash; rows with the empty set stay. Rows with equal doc_id and text are
+    one row, with the least of the other columns."""
+    found = classes(docs, percent)
+    alone = found.where("component is null").select("r1", "r2").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")
+    stay = alone.union(found.where("component is not null").groupBy("component").agg(F.min(order).alias("x")).select("x.r1", "x.r2"))
+    keyed = docs.select(F.col("text").alias("_t"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("_row"), *[F.xxhash64(*x).alias(n) for n, x in (("r1", _row_of(docs)), ("r2", [F.lit(1), *reversed(_row_of(docs))]))])
+    once = keyed.groupBy("r1", "r2").agg(F.first("_t").alias("text"), F.min("_row").alias("_row"))
+    return once.join(stay.withColumnsRenamed({"r1": "s1", "r2": "s2"}).hint("shuffle_merge"), (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2")), "left_semi").select("_row.*", "text").select(*docs.columns)
+
+
+def _row_of(docs: DataFrame) -> list[Column]:
+    return [docs["doc_id"].cast("bigint"), F.coalesce(docs["text"].cast("string"), F.lit(""))]

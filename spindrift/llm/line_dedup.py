@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SKETCH_WORDS, SPACE, sketch, sketch_lacks, stored, text_of
+from .common import SKETCH_WORDS, SPACE, let, sketch, sketch_lacks, spread_join, stored, text_of
 from .graph import connected
 
 TAU, MIN_CHARS = 2, 24
@@ -100,13 +100,24 @@ def signatures(line: str, tau: int) -> list[tuple[int, bool]]:
     return out
 
 
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    """128 bits that stand for a row: rows with equal doc_id and text count as one document."""
+    return [F.xxhash64(doc_id, text).alias("u1"), F.xxhash64(F.lit(1), text, doc_id).alias("u2")]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, uid (a hash of doc_id and text), line_no, line, h: the lines that hold a word."""
-    frame = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    each = frame.select("doc_id", "uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, u1, u2 (the row's key), line_no, line, h: the lines that hold a word."""
+    frame = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    frame = frame.select("*", *_row_key(F.col("doc_id"), F.col("text")))
+    each = frame.select("doc_id", "u1", "u2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return each.where(F.col("line").rlike(f"[^{SPACE}]")).withColumn("h", F.xxhash64("line"))
 
 
+def _second(line: Column) -> Column:
+    """64 more bits of a line: with ``h`` they tell all lines apart where lines are removed."""
+    return F.xxhash64(F.lit(1), line)
+
+
 def _keys(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
@@ -150,7 +161,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return texts.select("h", "line").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, tau: int, per_task: int = 512) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, tau: int, per_task: int = 64) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines are within ``tau`` edits. Line ``a`` travels to each of its tasks once."""
     pairs = pairs.withColumn("salts", F.ceil(F.count("*").over(Window.partitionBy("a")) / per_task))
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
@@ -175,7 +186,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, tau: int, per_task: int = 512)
 
 
 def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h (hash of a line), component: the lines that have a near copy with other characters; all others are alone."""
+    """h, h2 (a line's 128 bits), component: the lines that have a near copy with other characters; all others are alone.
+
+    Candidates are drawn by ``h`` alone. Of lines that share it (chance 2^-64 a pair) one is compared; the others count as alone."""
     lines = _lines(docs)
     rows = _keys(lines, tau, min_chars).repartition("key").groupBy("key", "h").agg(F.max("own").alias("own"))
     by_key = Window.partitionBy("key")
@@ -186,7 +199,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     first = met.where("h <> pivot").groupBy(F.col("h").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
     links = stored(_verified(first, texts, tau), "near-lines")
     if links.isEmpty():
-        found = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+        found = docs.sparkSession.createDataFrame([], "node bigint, component bigint")  # no line has a near copy
     else:
         found = stored(connected(links), "line-components")
     label = met.join(found, F.col("h") == F.col("node"), "left").select("key", "h", "own", F.coalesce("component", "h").alias("component"))
@@ -206,34 +219,41 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
         more = stored(_verified(rest, texts, tau), "near-lines")
         if not more.isEmpty():
             found = connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    return found.select(F.col("node").alias("h"), "component")
+    second = texts.select("h", _second(F.col("line")).alias("h2"))
+    return found.join(second.hint("shuffle_merge"), F.col("node") == F.col("h")).select("h", "h2", "component")
 
 
 def repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """uid, removed: the line numbers (from 0) of each document that are not the first of their class."""
-    lines = _lines(docs).select("doc_id", "uid", "line_no", "h")
-    classes = line_classes(docs, tau, min_chars).withColumnRenamed("h", "of")
-    placed = lines.join(classes, F.col("h") == F.col("of"), "left").select("doc_id", "uid", "line_no", F.coalesce("component", "h").alias("class"))
-    place = F.struct("doc_id", "line_no", "uid")
-    firsts = placed.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("of_class"), "first")
-    later = placed.join(firsts, F.col("class") == F.col("of_class")).where(~((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("uid") == F.col("first.uid")) & (F.col("line_no") == F.col("first.line_no"))))
-    return later.groupBy("uid").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    """u1, u2, removed: the line numbers (from 0) of each document that are not the first of their class."""
+    lines = _lines(docs).select("doc_id", "u1", "u2", "line_no", "h", _second(F.col("line")).alias("h2"))
+    classes = line_classes(docs, tau, min_chars).select(F.col("h").alias("of"), F.col("h2").alias("of2"), "component")
+    joined = lines.join(classes, (F.col("h") == F.col("of")) & (F.col("h2") == F.col("of2")), "left")
+    # A line with near copies goes by its component, any other by its own 128 bits.
+    placed = joined.select("doc_id", "u1", "u2", "line_no", F.coalesce("component", "h").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), F.col("component").isNull().alias("alone"))
+    names = ["c1", "c2", "alone"]
+    firsts = placed.groupBy(*names).agg(F.min(F.struct("doc_id", "line_no", "u1", "u2")).alias("first"), F.count("*").alias("n_rows")).where("n_rows > 1")
+    later = spread_join(placed, stored(firsts, "first-lines"), names, ["u1", "line_no"])
+    later = later.where(~((F.col("u1") == F.col("first.u1")) & (F.col("u2") == F.col("first.u2")) & (F.col("line_no") == F.col("first.line_no"))))
+    return later.groupBy("u1", "u2").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of ``docs`` with ``text`` less its repeated lines, and ``_lines``, ``_removed`` (counts).
+    """source_row (a struct of all columns of ``docs``, its ``text`` less the repeated lines), n_lines, n_removed.
 
     Lines hold a word and end at newlines. Two lines are in one class if they are equal, or if both have ``min_chars``
     characters or more and up to ``tau`` edits lead from one to the other, directly or by way of other lines. The first
     line of a class (by doc_id, then line number) stays, the others go; lines without a word always stay. A null text
-    stays null; rows with equal doc_id and text count as one document.
+    stays null and has no lines; an empty table gives no rows; rows with equal doc_id and text count as one document and
+    lose the same lines; very long texts cost time in proportion. Columns of any name pass through in the struct.
     """
-    removed = stored(repeated_lines(docs, tau, min_chars), "removed-lines")
-    keyed = docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("bigint"), text_of()))
-    joined = keyed.join(removed.select(F.col("uid").alias("_of"), F.col("removed").alias("_gone")).hint("shuffle_merge"), F.col("_uid") == F.col("_of"), "left")
+    removed = stored(repeated_lines(docs, tau, min_chars), "removed-lines").select(F.col("u1").alias("r1"), F.col("u2").alias("r2"), "removed")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    keyed = docs.select(row.alias("source_row"), docs["text"].cast("string").alias("text"), *_row_key(docs["doc_id"].cast("bigint"), F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    joined = keyed.join(removed.hint("shuffle_merge"), (F.col("u1") == F.col("r1")) & (F.col("u2") == F.col("r2")), "left")
     parts = F.split(F.col("text"), "\n")
-    kept: Column = F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(f"[^{SPACE}]"))), F.lit(0)).cast("bigint")
-    joined = joined.withColumn("_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines)).withColumn("text", text)
-    return joined.withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")).withColumn("_removed", F.greatest("_removed", F.lit(0))).drop("_uid", "_of", "_gone")
+    numbers = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed"))
+    kept = let(parts, lambda x: F.array_join(F.transform(numbers(x), lambda i: F.get(x, i)), "\n"))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(parts, lambda x: x.rlike(f"[^{SPACE}]"))))
+    n_removed = F.coalesce(F.size("removed"), F.lit(0))
+    return joined.select(F.col("source_row").withField("text", text).alias("source_row"), n_lines.cast("bigint").alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("bigint").alias("n_removed"))

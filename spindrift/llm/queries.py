@@ -25,7 +25,7 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and removed lines of every document, with a digest of what is left."""
     kept = line_dedup.without_repeats(read(spark, sf_dir))
-    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
+    return kept.select("source_row.doc_id", "n_lines", "n_removed", F.sha2(text_of("source_row.text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

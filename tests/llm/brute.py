@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import xxhash
+
 WS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -95,3 +97,89 @@ def edit_distance(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
     return row[-1]
+
+
+def _mixed(seed, *values):
+    """The 64-bit hash of a row of strings (UTF-8) and longs (eight bytes), chained from one value to the next."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (2**64 - 1)).to_bytes(8, "little"), seed)
+    return seed
+
+
+def order_minhash(text, k=5, parts=64, keep=2):
+    """part -> eight hexadecimal digits: the part's smallest occurrence-numbered k-mers, in text order, hashed."""
+    words = [_mixed(42, w) for w in ws(text)]
+    if not words:
+        return {}
+    high, seen, numbered = lambda x: x >> 26, Counter(), []
+    for i in range(max(1, len(words) - k + 1)):
+        h = high(_mixed(42, *words[i : i + k]))
+        occurrence = seen[h].to_bytes(4, "little")  # a 32-bit number is hashed as four bytes
+        seen[h] += 1
+        numbered.append((high(xxhash.xxh64_intdigest(occurrence, _mixed(42, h))), i))
+    out = {}
+    for part in [*range(parts // 2, parts), *range(parts // 2)]:  # hashes are signed: the upper half comes first
+        mine = sorted(x for x in numbered if x[0] >> 32 == part)[:keep]
+        if mine:
+            in_order = [h for h, _ in sorted(mine, key=lambda x: (x[1], x[0]))]
+            out[part] = f"{part << 26 | _mixed(42, *in_order) >> 38:08X}"
+    return out
+
+
+def agreement(a, b):
+    either = a.keys() | b.keys()
+    return sum(a.get(p) == b.get(p) for p in either) / len(either) if either else 1.0
+
+
+def secrets(text):
+    """(kind, start, end) of the three base patterns, by plain scanning."""
+    found = []
+    values = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower = "".join(c.lower() if c.isascii() else c for c in text)
+    at = 0
+    while at < len(text):
+        end = next((at + len(w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if lower.startswith(w, at)), None)
+        if end is None:
+            at += 1
+            continue
+        if text[end : end + 1] in ('"', "'"):
+            end += 1
+        while text[end : end + 1] == " ":
+            end += 1
+        if text[end : end + 1] not in (":", "="):
+            at += 1
+            continue
+        end += 1
+        while text[end : end + 1] == " ":
+            end += 1
+        if text[end : end + 1] in ('"', "'"):
+            end += 1
+        stop = end
+        while stop < len(text) and text[stop] in values:
+            stop += 1
+        if stop == end:
+            at += 1
+            continue
+        if stop - end >= 12:
+            found.append(("assign", at, stop))
+        at = stop
+    at = 0
+    while at < len(text):
+        stop = at + 4
+        while text.startswith("AKIA", at) and stop < len(text) and text[stop] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
+            stop += 1
+        if not text.startswith("AKIA", at) or stop == at + 4:
+            at += 1
+            continue
+        if stop - at >= 18:
+            found.append(("access", at, stop))
+        at = stop
+    at = 0
+    while at < len(text):
+        stop = at
+        while stop < len(text) and text[stop] in "0123456789abcdef":
+            stop += 1
+        if stop - at >= 16:
+            found.append(("hex", at, stop))
+        at = stop + 1
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))

@@ -34,6 +34,33 @@ def test_jaccard_join_families(spark):
     assert found == brute.jaccard_components(rows)
 
 
+@pytest.mark.parametrize("members", [2, 20])
+def test_jaccard_join_splits_cells(spark, monkeypatch, members):
+    """Small cells, so that windows are split around pivots again and again: no link is lost."""
+    monkeypatch.setattr(jaccard_join, "CELL_MEMBERS", members)
+    monkeypatch.setattr(jaccard_join, "CELL_PIVOTS", 3)
+    rnd = random.Random(7)
+    shared = [f"s{i}" for i in range(30)]
+    rows = []
+    for i in range(70):  # half the text is common to all, so that regions hold unlike sets
+        text = shared + [f"g{i // 3}x{j}" for j in range(30)]
+        for _ in range(i % 3 * 2):
+            text[rnd.randrange(len(text))] = f"y{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(frame).collect()}
+    assert found == brute.jaccard_components(rows)
+
+
+def test_first_of_each_keeps_what_shares_a_doc_id(spark):
+    a, b, c = ("one two three four five six seven", "other words stand in this text here", "same same but quite different words now")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (8, None), (8, None), (9, ""), (None, "a null id with words of its own"), (None, a)]
+    frame = spark.createDataFrame([(k, t, "en", i) for i, (k, t) in enumerate(rows)], "doc_id bigint, text string, lang string, r1 int")
+    out = jaccard_join.first_of_each(frame)
+    assert out.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(0, "a null id with words of its own"), (3, a), (5, b), (7, c), (8, ""), (9, "")]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_jaccard_join(request, which):
     frame, rows = request.getfixturevalue(which), request.getfixturevalue({"docs": "rows", "odd": "odd_rows"}[which])
@@ -142,13 +169,24 @@ def test_line_dedup_planted(spark):
         pool.append("".join(x))
     rows = [(i, "\n".join(rnd.choice([*pool, "", " ", "short"]) for _ in range(rnd.randrange(1, 7)))) for i in range(60)] + [(98, None), (99, "")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    found = {r["doc_id"]: (r["text"], r["_removed"]) for r in line_dedup.without_repeats(frame).collect()}
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.without_repeats(frame).select("source_row.*", "n_removed").collect()}
     assert found == _deduped(rows)
 
 
+def test_line_dedup_passes_columns_of_any_name(spark):
+    names = ["_uid", "_lines", "_removed", "_of", "_gone", "u1", "u2", "r1", "r2", "source_row", "n_lines", "removed", "h"]
+    rows = [(1, "a b\na b\n\nc"), (2, "c\na b"), (None, "d\nd"), (2, "c\na b"), (3, "\n".join(f"line {i}" for i in range(40_000)) * 2)]
+    frame = spark.createDataFrame([(k, t, *[i] * len(names)) for i, (k, t) in enumerate(rows)], ", ".join(["doc_id bigint", "text string", *(f"{n} int" for n in names)]))
+    out = line_dedup.without_repeats(frame).select("source_row.*").collect()
+    found = {r["_uid"]: r["text"] for r in out}
+    assert out[0].__fields__ == frame.columns and all(r[n] == r["_uid"] for r in out for n in names)
+    assert found[0] == "a b\n\nc" and found[2] == "d" and found[3] == found[1] == ""
+    assert found[4].split("\n")[:2] == ["line 0", "line 1"] and found[4].count("\n") == 40_000
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_line_dedup(request, which):
     frame, rows = request.getfixturevalue(which), request.getfixturevalue({"docs": "rows", "odd": "odd_rows"}[which])
-    found = {r["doc_id"]: (r["text"], r["_removed"]) for r in line_dedup.without_repeats(frame).collect()}
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.without_repeats(frame).select("source_row.*", "n_removed").collect()}
     assert found == _deduped(rows)
     assert line_dedup.without_repeats(frame.where("doc_id < 0")).count() == 0

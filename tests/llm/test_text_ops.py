@@ -20,12 +20,28 @@ def test_order_minhash(request, which):
     frame, rows = request.getfixturevalue(which), request.getfixturevalue({"docs": "rows", "odd": "odd_rows"}[which])
     found, texts, after = by_id(order_minhash.fingerprints(frame)), dict(rows), brute.edited(rows)
     assert set(found) == set(texts)
-    prints = {}
-    for key, r in found.items():
-        assert r["n_chars"] == len(texts[key] or "")
+    for i, (key, text) in enumerate(rows):
+        r, following = found[key], rows[(i + 1) % len(rows)][1] or ""
+        assert r["n_chars"] == len(text or "")
         assert r["edited_sha256"] == hashlib.sha256(after[key].encode()).hexdigest()
-        assert prints.setdefault(texts[key] or "", r["fingerprint"]) == r["fingerprint"]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        own, edited, other = (brute.order_minhash(t) for t in (text or "", after[key], following))
+        assert r["fingerprint"] == "".join(own.values()) and r["edited_fingerprint"] == "".join(edited.values())
+        assert r["near_edited"] == pytest.approx(brute.agreement(own, edited)) and r["near_next"] == pytest.approx(brute.agreement(own, other))
+
+
+def test_order_minhash_repeated_and_null_ids(spark, monkeypatch):
+    """Rows of one doc_id follow each other by text, over many ranges of a few bytes each."""
+    monkeypatch.setattr(order_minhash, "RANGE_BYTES", 64)
+    rows = sorted([(k % 40, f"text {k} of words {k * k} and more {k % 7}") for k in range(90)] + [(3, "same"), (3, "same")]) + [(50, None)]
+    rows = [(None, "no id at all")] + [(k, t or "") for k, t in rows]
+    out = order_minhash.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    expected = []
+    for i, (key, text) in enumerate(rows):
+        following = rows[i + 1][1] if i + 1 < len(rows) else rows[1][1]
+        half = len(text) // 2
+        expected.append((key or -1, hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()))
+    got = sorted((r["doc_id"] or -1, r["edited_sha256"]) for r in out)
+    assert len(got) == len(expected) and sum(a == b for a, b in zip(got, sorted(expected))) >= len(got) - 1  # the null row may be followed by any first
 
 
 def test_order_matters(spark):
@@ -156,6 +172,24 @@ def test_packing(request, which):
     assert padded <= 0.03 * sum(fill.values())
 
 
+def test_word_tokenizer_equals_the_library():
+    """Letters of every script before a point, contractions, long runs, several blocks, and names of special tokens."""
+    import random
+
+    from spindrift.llm import word_bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rnd = random.Random(5)
+    letters = [chr(p) for p in [*range(0x21, 0x3000), *range(0xA000, 0xAC00, 7), *range(0xF900, 0x10000, 3), *range(0x10000, 0x20000, 11)] if not 0xD800 <= p <= 0xDFFF]
+    pool = "abcdefgh istTRE'\"..,;!?-0123 \n\t\r \u3000éÄ漢字ß\u0301İΣς\u0958\U0001f600"
+    texts = [f"{x}. b{x}'s {x}{x}" for x in letters] + ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 50))) for _ in range(5000)]
+    texts += ["", " ", "x" * 5000, "'" * 300, "a'" * 300, "1" * 300, "é" * 200 + "." * 99, "a <|endoftext|> b<|startoftext|>", "word word. " * 200_000]
+    for special in (True, False):
+        coder = word_bpe.WordTokenizer(path, special_as_text=special)
+        expected = [c.ids for c in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [ids.tolist() for ids in coder.encode_batch(texts)] == expected
+
+
 def test_cuts_are_the_cheapest():
     import itertools
 
@@ -226,23 +260,38 @@ def test_secrets(spark, docs, odd, rows, odd_rows):
         2: ("AKIAABCDEFGHIJKLMN AKIASHORT 0123456789abcdef 0123", ["access", "hex"]),
         3: (f"see {pem} end", ["pem", "der"]),
         4: (f"auth {header}.eyJzdWIiOjF9.c2ln ok eyJub3RhanNvbg.aa.bb", ["token"]),
-        5: ("base " + base64.b64encode(bytes(range(60))).decode() + " " + rsa[:-1].hex().upper(), []),
-        6: ("hex " + rsa.hex().upper(), ["der"]),
+        5: ("base " + base64.b64encode(bytes(range(60))).decode(), []),
+        # Upper-case digits but for a header without letters: the base pattern reports that header's digits.
+        6: ("hex " + rsa[:-1].hex().upper(), ["hex"]),
+        7: ("hex " + rsa.hex().upper(), ["hex", "der"]),
     }
     frame = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "doc_id bigint, text string")
-    spans = scan = {}
+    spans = {}
     for r in secret_scan.scan_secrets(frame).collect():
         spans.setdefault(r["doc_id"], []).append(r["kind"])
         assert cases[r["doc_id"]][0][r["start"] : r["end"]] == r["secret"]
-    assert {k: spans.get(k, []) for k in cases} == {k: v[1] for k, v in cases.items()}, scan
+    assert {k: spans.get(k, []) for k in cases} == {k: v[1] for k, v in cases.items()}
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame).collect()}
     assert clean[3] == "see [SECRET] end" and clean[5] == cases[5][0]
-    for table, texts in ((docs, rows), (odd, odd_rows)):
+    for table, texts in ((docs, rows), (odd, odd_rows), (frame, [(k, v[0]) for k, v in cases.items()])):
         found = by_id(secret_scan.secret_digests(table))
         assert len(found) == len(texts)
         for k, t in texts:
-            base = secret_scan._sorted(secret_scan.pattern_spans(t or ""))
-            assert found[k]["n_hex"] == sum(s[0] == "hex" for s in base)
+            base = brute.secrets(t or "")
+            assert [found[k][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(s[0] == kind for s in base) for kind in ("assign", "access", "hex")]
+            listed = [f"{kind}:{a}:{b}" for kind, a, b in base]
+            assert found[k]["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+            assert set(listed) <= set(found[k]["spans"].split(","))
+
+
+def test_secret_patterns_on_random_strings():
+    import random
+
+    rnd = random.Random(11)
+    parts = ["password", "PassWD", "secret", "toKEN", "api_key", "apikey", "API", "_", "key", '"', "'", " ", "  ", ":", "=", "==", "AKIA", "akia", "ABCDEFGHIJ0123", "deadbeef", "0123456789", "abcdef", "-", ".", "/", "+", "é", "\n", "xyz", "ſecret", "toKen"]
+    for _ in range(6000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25)))
+        assert secret_scan._sorted(secret_scan.pattern_spans(text)) == brute.secrets(text), text
 
 
 def test_empty_tables(docs):
