@@ -23,14 +23,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, but for two edits, go; documents of which no line is left go with them."""
-    kept = line_dedup.without_repeats(docs)
-    return _measured(kept.where("not (_removed > 0 and _removed = _lines)"))
+    kept = line_dedup.without_repeats(docs).where("not (n_removed > 0 and n_removed = n_lines)")
+    return _measured(kept.select("source_row.*"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest doc_id stays."""
-    later = jaccard_join.near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(later.hint("shuffle_merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicate documents the one with the smallest doc_id stays; see ``first_of_each``."""
+    return jaccard_join.first_of_each(docs.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
