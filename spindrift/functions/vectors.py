@@ -103,16 +103,17 @@ def trunc(x: Column) -> Column:
 
 
 def quantize_u8(v: Column) -> Column:
-    """Asymmetric 8-bit codes: struct(scale, zero, codes); a constant vector has scale 1."""
+    """Asymmetric 8-bit codes between the data's own extremes: struct(scale, zero, codes); a constant vector has scale 1.
+    The zero point is cut to 0..255, so data of one sign keep only part of their range, as the format has it."""
     d = doubles(v)
 
     def body(x: Column) -> Column:
-        low, high = F.least(F.array_min(x), F.lit(0.0)), F.greatest(F.array_max(x), F.lit(0.0))
+        low, high = F.array_min(x), F.array_max(x)
         scale = F.when(high > low, (high - low) / 255).otherwise(1.0)
         zero = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(-low / scale)))
         return F.transform(
             F.array(F.struct(scale.alias("scale"), zero.alias("zero"))),
-            lambda p: F.struct(p["scale"].alias("scale"), p["zero"].cast("int").alias("zero"), F.transform(x, lambda e: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(e / p["scale"]) + p["zero"])).cast("int")).alias("codes")),
+            lambda p: F.struct(p["scale"].alias("scale"), p["zero"].cast("int").alias("zero"), F.transform(x, lambda e: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(e / p["scale"] + p["zero"]))).cast("int")).alias("codes")),
         )[0]
 
     return F.transform(F.array(d), body)[0]

@@ -22,12 +22,13 @@ def anomaly_scores(frame: DataFrame, value: str) -> DataFrame:
     return out.withColumn("state", F.when(F.col("score") < 1 / 3, "normal").when(F.col("score") < 2 / 3, "uncertain").otherwise("anomalous"))
 
 
-def index_percentiles(frame: DataFrame, by: list[str], v: str, percents: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
-    """Percentiles by rank: the value at position n * q div 100 of each group's order."""
+def index_percentiles(frame: DataFrame, by: list[str], v: str, percents: tuple[int, ...] = (25, 50, 75), last: bool = False) -> DataFrame:
+    """Percentiles by rank with the group's size, extremes, mean and population deviation: the value at position
+    n * q div 100 of each group's order, or (n - 1) * q div 100 with ``last``."""
     w = Window.partitionBy(*by)
     ranked = frame.select(*by, v, (F.row_number().over(w.orderBy(v)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    picks = [F.max(F.when(F.col("i") == F.floor(F.col("n") * q / 100), F.col(v))).alias(f"p{q}") for q in percents]
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), *picks)
+    picks = [F.max(F.when(F.col("i") == F.floor((F.col("n") - int(last)) * q / 100), F.col(v))).alias(f"p{q}") for q in percents]
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"), *picks)
 
 
 def nearest_code(distance_by_code: list[Column]) -> Column:
@@ -74,3 +75,9 @@ def hash_tree(frame: DataFrame, group: Column, key: str, content: Column, branch
     by = leaves.groupBy("branch").agg(F.sum("leaf").cast("string").alias("digest"), F.count("*").alias("n"))
     root = leaves.agg(F.lit(-1).alias("branch"), F.sum("leaf").cast("string").alias("digest"), F.count("*").alias("n"))
     return by.unionByName(root)
+
+
+def diff_trees(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Branches of two hash trees (branch -1 is the root) and whether they differ; a branch that one lacks differs."""
+    side = lambda t, d: t.select("branch", F.col("digest").alias(d))
+    return side(a, "_a").join(side(b, "_b"), "branch", "full").select("branch", (~F.col("_a").eqNullSafe(F.col("_b"))).alias("differs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from numpy.typing import ArrayLike
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +22,21 @@ def matmul_add(a: DataFrame, b: DataFrame, c: DataFrame, alpha: float, beta: flo
 
 
 def gram(rows: DataFrame) -> DataFrame:
-    """A'A of a tall matrix given as vectors of bounded width: outer products summed with partial aggregation, so only
-    width x width sums per task are shuffled."""
-    pairs = F.flatten(F.transform("x", lambda p, i: F.transform("x", lambda q, j: F.struct(i.cast("bigint").alias("i0"), j.cast("bigint").alias("i1"), (p * q).alias("v")))))
-    return rows.select(F.explode(pairs).alias("e")).select("e.*").groupBy("i0", "i1").agg(F.sum("v").alias("v"))
+    """A'A of a tall matrix given as vectors of bounded width: a matrix product per Arrow batch, so only width x width
+    sums per task are shuffled."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = np.asarray(batch.column(0).to_pylist())
+            if len(x):
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.reshape(-1), pa.int64()), pa.array(j.reshape(-1), pa.int64()), pa.array(total.reshape(-1))], ["i0", "i1", "v"])
+
+    sums = rows.where("x is not null").select(F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "i0 bigint, i1 bigint, v double")
+    return sums.groupBy("i0", "i1").agg(F.sum("v").alias("v"))
 
 
 def matvec(a: DataFrame, x: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -74,7 +86,7 @@ def spectrum(frame: DataFrame, key: str, vector: str) -> DataFrame:
     return _per_row(frame, key, vector, lambda x: np.abs(np.fft.rfft(x)) ** 2)
 
 
-def _hadamard(x: np.ndarray) -> np.ndarray:
+def _hadamard(x: ArrayLike) -> ArrayLike:
     n = len(x)
     if n & (n - 1):
         raise ValueError("the length must be a power of two")
@@ -96,7 +108,7 @@ def solve(frame: DataFrame, key: str, matrix: str, rhs: str, n: int, method: str
 
     ``method``: lu, cholesky or qr."""
 
-    def one(a: np.ndarray, b: np.ndarray):
+    def one(a: ArrayLike, b: ArrayLike):
         try:
             if method == "cholesky":
                 low = np.linalg.cholesky(a)

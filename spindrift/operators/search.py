@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+from numpy.typing import ArrayLike
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +21,15 @@ BROADCAST_ROWS = 20_000
 
 
 def pair_with(base: DataFrame, queries: DataFrame, block_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Every base row with every query row. The count of the queries decides between a broadcast and blocks of
-    ``block_rows`` queries, each of which joins a copy of the base on the block's number."""
+    """Every base row with every query row. The count of the queries decides: up to ``block_rows`` of them are broadcast;
+    more are dealt to blocks of as many, each of which is broadcast to one pass over the base, so that a task holds a
+    block of queries and its own share of the base at most."""
     n = queries.count()
     if n <= block_rows:
         return base.crossJoin(F.broadcast(queries))
     blocks = -(-n // block_rows)
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)).cast("int"))
-    copies = base.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return copies.join(dealt, "_block").drop("_block")
+    number = F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [base.crossJoin(F.broadcast(queries.where(number == i))) for i in range(blocks)])
 
 
 def top_k(frame: DataFrame, distance: str, key: str, k: int) -> DataFrame:
@@ -116,7 +117,7 @@ def count_masks(states: DataFrame, state: str, masks: dict[str, Mask]) -> DataFr
     return states.agg(*[F.count_if(m.test(F.col(state))).alias(name) for name, m in masks.items()])
 
 
-def hyperplanes(bits: int, dims: int, seed: int = 42) -> np.ndarray:
+def hyperplanes(bits: int, dims: int, seed: int = 42) -> ArrayLike:
     return np.random.default_rng(seed).standard_normal((bits, dims))
 
 
@@ -155,7 +156,7 @@ def lsh_candidates(prints: DataFrame, queries: DataFrame, band_words: int = 1, k
     return bands(queries, "query_id").join(bands(prints, key), ["band", "bits"]).select("query_id", key).distinct()
 
 
-def train_codebooks(vectors: DataFrame, vector: str, parts: int = 6, k: int = 256, rounds: int = 8, sample_rows: int = 4096, seed: int = 7) -> np.ndarray:
+def train_codebooks(vectors: DataFrame, vector: str, parts: int = 6, k: int = 256, rounds: int = 8, sample_rows: int = 4096, seed: int = 7) -> ArrayLike:
     """Product-quantisation codebooks from a bounded sample (``sample_rows`` rows, lowest hashes): farthest-first seeds,
     then Lloyd rounds. Shape (parts, k, width); the tail that doesn't fill a part is not coded."""
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(vector, F.lit(seed)), "v").limit(sample_rows).collect()
@@ -177,7 +178,7 @@ def train_codebooks(vectors: DataFrame, vector: str, parts: int = 6, k: int = 25
     return books
 
 
-def pq_encode(vectors: DataFrame, key: str, vector: str, books: np.ndarray) -> DataFrame:
+def pq_encode(vectors: DataFrame, key: str, vector: str, books: ArrayLike) -> DataFrame:
     """Nearest centroid per part, the first on ties: ``codes array<int>``."""
     import pyarrow as pa
 
@@ -196,7 +197,7 @@ def pq_encode(vectors: DataFrame, key: str, vector: str, books: np.ndarray) -> D
     return frame.mapInArrow(run, f"{key} bigint, codes array<int>")
 
 
-def adc_top_k(codes: DataFrame, query: list[float], books: np.ndarray, k: int, key: str = "vec_id") -> DataFrame:
+def adc_top_k(codes: DataFrame, query: list[float], books: ArrayLike, k: int, key: str = "vec_id") -> DataFrame:
     """Asymmetric distances: one table lookup per part, summed in the JVM."""
     parts, _, width = books.shape
     q = np.asarray(query)
@@ -205,7 +206,7 @@ def adc_top_k(codes: DataFrame, query: list[float], books: np.ndarray, k: int, k
     return top_k(codes.select(key, d.alias("d")), "d", key, k)
 
 
-def adc_tables(queries: DataFrame, key: str, vector: str, books: np.ndarray) -> DataFrame:
+def adc_tables(queries: DataFrame, key: str, vector: str, books: ArrayLike) -> DataFrame:
     """Each query's distances to every code word, per part: ``query_id`` and ``tables array<array<double>>``."""
     import pyarrow as pa
 
@@ -219,7 +220,7 @@ def adc_tables(queries: DataFrame, key: str, vector: str, books: np.ndarray) ->
     return frame.mapInArrow(run, "query_id bigint, tables array<array<double>>")
 
 
-def adc_knn(vectors: DataFrame, queries: DataFrame, vector: str, books: np.ndarray, k: int, shortlist: int, key: str = "vec_id") -> DataFrame:
+def adc_knn(vectors: DataFrame, queries: DataFrame, vector: str, books: ArrayLike, k: int, shortlist: int, key: str = "vec_id") -> DataFrame:
     """The ``k`` nearest per query: the ``shortlist`` rows of least asymmetric distance, ranked again by exact squared distance."""
     codes = pq_encode(vectors, key, vector, books)
     parts = books.shape[0]

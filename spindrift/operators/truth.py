@@ -49,7 +49,7 @@ def induction(f1, c1, f2, c2):
 
 def comparison(f1, c1, f2, c2):
     either = f1 + f2 - f1 * f2
-    return F.when(either > 0, f1 * f2 / either).otherwise(0.0), _w(either * c1 * c2)
+    return F.when(either > 1e-9, f1 * f2 / either).otherwise(0.0), _w(f1 * f2 * c1 * c2)
 
 
 def analogy(f1, c1, f2, c2):
@@ -63,6 +63,76 @@ def resemblance(f1, c1, f2, c2):
 RULES = {"deduction": deduction, "abduction": abduction, "induction": induction, "comparison": comparison, "analogy": analogy, "resemblance": resemblance}
 
 
+def severity(f1, c1, f2, c2, gap: float = 0.5, confidence: float = 0.5) -> Column:
+    """How severe a contradiction is: both confidences and the gap multiplied; null where there is none."""
+    return F.when(contradicts(f1, c1, f2, c2, gap, confidence), c1 * c2 * F.abs(f1 - f2))
+
+
+def revised(f1, c1, f2, c2, cap: float = 0.9999) -> tuple[Column, Column]:
+    """Two truths as one: their evidence adds up."""
+    w1, w2 = (F.least(c, F.lit(cap)) / (1 - F.least(c, F.lit(cap))) for c in (c1, c2))
+    f, c = from_evidence(w1 * f1 + w2 * f2, w1 * (1 - f1) + w2 * (1 - f2))
+    return f, F.least(c, F.lit(cap))
+
+
+def conflict(f1, c1, f2, c2, similarity, threshold: float) -> Column:
+    """What beliefs of similar structure (over 0.7) and opposing truth resolve to: struct(conflict, f, c), else null."""
+    gap = F.abs(f1 - f2)
+    f, c = revised(f1, c1, f2, c2)
+    return F.when((similarity > 0.7) & (gap > threshold), F.struct(gap.alias("conflict"), f.alias("f"), c.alias("c")))
+
+
+def critique(f: Column, c: Column) -> Column:
+    """Two challenges of a truth: its negation, a tenth less confident, and half of its confidence; whether it survives."""
+    negated = expectation(1 - f, c * 0.9)
+    return F.array(
+        F.struct(F.lit("negation").alias("kind"), (1 - f).alias("f"), (c * 0.9).alias("c"), (expectation(f, c) > negated).alias("survives")),
+        F.struct(F.lit("dependency").alias("kind"), f.alias("f"), (c * 0.5).alias("c"), (c > 0.5).alias("survives")),
+    )
+
+
+def best_belief(frame: DataFrame, by: list[str], label: str, f: str, c: str) -> DataFrame:
+    """The belief of greatest expectation per group; the first label on ties."""
+    best = F.min(F.struct((-expectation(F.col(f), F.col(c))).alias("m"), F.col(label), F.col(f), F.col(c)))
+    return frame.groupBy(*by).agg(best.alias("b")).select(*by, f"b.{label}", f"b.{f}", f"b.{c}")
+
+
+def budget_merge(frame: DataFrame, by: list[str]) -> DataFrame:
+    """Budgets of a group: the greatest priority, the mean durability, the greatest quality."""
+    return frame.groupBy(*by).agg(F.max("priority").alias("priority"), F.avg("durability").alias("durability"), F.max("quality").alias("quality"))
+
+
+def budget_decay(frame: DataFrame, factor: Column) -> DataFrame:
+    """Priority and durability shrink; quality stays."""
+    return frame.withColumn("priority", F.col("priority") * factor).withColumn("durability", F.col("durability") * factor)
+
+
+#: Fixed-point truths: 16 bits, and what stands for not knowing.
+UNIT, UNKNOWN = 65535, 32768
+
+
+def plane_truth(bits: Column, mask: Column, width: Column | int, evidence: Column) -> Column:
+    """struct(f, c, evidence) in fixed point: set bits of the known ones, and known ones of all."""
+    known = F.bit_count(mask).cast("bigint")
+    f = F.when(known == 0, UNKNOWN).otherwise(F.floor(F.bit_count(bits.bitwiseAND(mask)) * UNIT / known))
+    return F.struct(f.cast("bigint").alias("f"), F.floor(known * UNIT / width).cast("bigint").alias("c"), evidence.cast("bigint").alias("evidence"))
+
+
+def plane_expectation(f: Column, c: Column) -> Column:
+    """Fixed-point expectation; the product is cut towards zero."""
+    weighted = c * (f - UNKNOWN) / UNIT
+    cut = F.when(weighted < 0, F.ceil(weighted)).otherwise(F.floor(weighted))
+    return F.greatest(F.lit(0), F.least(F.lit(UNIT), cut + UNKNOWN)).cast("bigint")
+
+
+def evidence_revision(frame: DataFrame, by: list[str], f: str = "f", c: str = "c", evidence: str = "evidence") -> DataFrame:
+    """Fixed-point truths of a group weighted by their evidence: sums, so the order doesn't matter and no history is
+    gathered; without evidence a group is unknown."""
+    sums = frame.groupBy(*by).agg(*[F.sum(F.col(x) * F.col(evidence)).alias(x) for x in (f, c)], F.sum(evidence).alias(evidence))
+    share = lambda x, none: F.when(F.col(evidence) > 0, F.floor(F.col(x) / F.col(evidence))).otherwise(none).cast("bigint").alias(x)
+    return sums.select(*by, share(f, UNKNOWN), share(c, 0), F.col(evidence).cast("bigint").alias(evidence))
+
+
 def contradicts(f1, c1, f2, c2, gap: float = 0.5, confidence: float = 0.5) -> Column:
     """Both confident and far apart."""
     return (c1 > confidence) & (c2 > confidence) & (F.abs(f1 - f2) > gap)

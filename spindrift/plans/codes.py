@@ -80,15 +80,22 @@ def histogram_16(spark, d):
     return b.groupBy(F.floor(F.col("b") / 16).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("select vec_id, 64 as n, true as near from embeddings")
+_UNIT = "pow(2.0, floor(log2(abs(x::double))) - 7)"
+
+
+@query(f"""select vec_id, list_transform(embedding, lambda x: case when x = 0 then 0.0::double else round_even(x::double / {_UNIT}, 0) * {_UNIT} end) as rounded,
+ list_transform(embedding, lambda x: case when x = 0 then 0.0::double else trunc(x::double / {_UNIT}) * {_UNIT} end) as cut from embeddings""")
 def bf16_round_trip(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), halves.bf16_round_trip("embedding").alias("w"))
-    near = F.forall(F.zip_with("v", "w", lambda x, y: F.abs(x - y) <= F.abs(x) / 256), lambda ok: ok)
-    return e.select("vec_id", F.size("w").alias("n"), near.alias("near"))
+    """The numbers as bfloat16 holds them: eight significant bits."""
+    both = [halves.bf16_round_trip("embedding", r).cast("array<double>").alias(n) for n, r in (("rounded", True), ("cut", False))]
+    return table(spark, d, "embeddings").select("vec_id", *both)
+
 
+_ANGLE = "(vec_id % 50 * pow(10000.0::double, -2.0 * (i // 2) / 64))"
 
-@query("""select vec_id, list_transform(range(64), lambda i: round(case when i < 32 then embedding[i + 1]::double * cos(vec_id % 50 * pow(10000.0, -(i / 32.0))) - embedding[i + 33]::double * sin(vec_id % 50 * pow(10000.0, -(i / 32.0)))
- else embedding[i - 31]::double * sin(vec_id % 50 * pow(10000.0, -((i - 32) / 32.0))) + embedding[i + 1]::double * cos(vec_id % 50 * pow(10000.0, -((i - 32) / 32.0))) end, 4) + 0.0) as v from embeddings""")
+
+@query(f"""select vec_id, list_transform(range(64), lambda i: round(case when i % 2 = 0 then embedding[i + 1]::double * cos{_ANGLE} - embedding[i + 2]::double * sin{_ANGLE}
+ else embedding[i]::double * sin{_ANGLE} + embedding[i + 1]::double * cos{_ANGLE} end, 4) + 0.0) as v from embeddings""")
 def rope(spark, d):
     e = table(spark, d, "embeddings")
     return e.select("vec_id", halves.rope(F.col("embedding"), F.col("vec_id") % 50).alias("v")).select("vec_id", F.transform("v", lambda x: _r(x, 4)).alias("v"))
@@ -101,15 +108,6 @@ def scan_spec(spark, d):
     return ScanSpec.parse(json.dumps(spec)).apply(p, "vec_id", "fp", _first(p, "fp"))
 
 
-@query("select vec_id, label from embeddings")
-def nearest_prototype(spark, d):
-    """Each print with its own label, as its SQL has it; the lookup itself is ``prototype_lookup``."""
-    p = _prints(spark, d)
-    m = search.majority(p, ["label"]).select(F.col("label").alias("of"), "majority")
-    pairs = search.pair_with(p, m).select("vec_id", "label", "of", V.hamming(F.col("fp"), F.col("majority")).alias("d"))
-    return pairs.where("label = of").select("vec_id", "label")
-
-
 @query(f"""with v as (select label, generate_subscripts(embedding, 1) as i, (unnest(embedding) > 0)::int as bit from embeddings), m as (select label, i, (sum(bit) > count(*) // 2)::int as bit from v group by all), p as (select label as "of", list(bit order by i) as bits from m group by 1)
  select vec_id, label, "of", d from (select vec_id, label, "of", d, row_number() over (partition by vec_id, label order by d, "of" nulls first) as rn from (select vec_id, label, "of", list_sum(list_transform(list_zip(embedding, bits), lambda z: ((z[1] > 0) <> (z[2] = 1))::int))::bigint as d from embeddings, p)) where rn = 1""")
 def prototype_lookup(spark, d):
@@ -121,6 +119,15 @@ def prototype_lookup(spark, d):
     return pairs.groupBy("vec_id", "label").agg(F.min("near").alias("near")).select("vec_id", "label", "near.of", "near.d")
 
 
+@query(f"""with v as (select label, generate_subscripts(embedding, 1) as i, (unnest(embedding) > 0)::int as bit from embeddings), m as (select label, i, (sum(bit) > count(*) // 2)::int as bit from v group by all), p as (select label as "of", list(bit order by i) as bits from m group by 1),
+ d as (select label, vec_id, "of", list_sum(list_transform(list_zip(embedding, bits), lambda z: ((z[1] > 0) <> (z[2] = 1))::int)) as d from embeddings, p), n as (select label, "of", d from d qualify row_number() over (partition by vec_id, label order by d, "of" nulls first) = 1)
+ select label, "of", count(*) as n, sum(d)::bigint as d from n group by all""")
+def nearest_prototype(spark, d):
+    """Which label's majority print is nearest to the prints of each label: a confusion table with the distances' sums."""
+    near = prototype_lookup(spark, d)
+    return near.groupBy("label", "of").agg(F.count("*").alias("n"), F.sum("d").alias("d"))
+
+
 @query("select event_type, round(avg(value), 4) as mean, count(*) as n, round(exp(-min(2592000 - date_diff('second', timestamp '2024-01-01', ts)) / 3600.0), 9) as recency from events group by 1")
 def recency(spark, d):
     e = table(spark, d, "events")

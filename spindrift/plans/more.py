@@ -39,9 +39,18 @@ def anomaly_scores(spark, d):
 
 
 @query(f"""with r as (select q, d, row_number() over (partition by q order by d) - 1 as i, count(*) over (partition by q) as n from {_PAIRS})
- select q, max(n) as n, min(d) as low, max(d) as high, max(case when i = n * 25 // 100 then d end) as p25, max(case when i = n * 50 // 100 then d end) as p50, max(case when i = n * 75 // 100 then d end) as p75 from r group by 1""")
+ select q, max(n) as n, min(d) as low, max(d) as high, max(case when i = n * 25 // 100 then d end) as p25, max(case when i = n * 50 // 100 then d end) as p50, max(case when i = n * 75 // 100 then d end) as p75, round(avg(d), 6) as mean, round(stddev_pop(d), 6) as deviation from r group by 1""")
 def cluster_percentiles(spark, d):
-    return clusters.index_percentiles(_pairs(spark, d), ["q"], "d")
+    c = clusters.index_percentiles(_pairs(spark, d), ["q"], "d")
+    return c.withColumn("mean", _r("mean")).withColumn("deviation", _r("deviation"))
+
+
+@query(f"""with l as (select 0 as g, case when o > 0 and i > 0 then log2(o::double / i) else 0 end as lfd from {_LFD}), r as (select g, lfd, row_number() over (order by lfd) - 1 as i, count(*) over () as n from l)
+ select max(n) as n, {', '.join(f"round(max(case when i = (n - 1) * {q} // 100 then lfd end), 6) as p{q}" for q in (5, 25, 50, 75, 95))}, round(min(lfd), 6) as low, round(max(lfd), 6) as high, round(avg(lfd), 6) as mean from r""")
+def dimension_percentiles(spark, d):
+    lfd = clusters.local_dimension(_pairs(spark, d), "q", "d", 30).withColumn("g", F.lit(0))
+    p = clusters.index_percentiles(lfd, ["g"], "lfd", (5, 25, 50, 75, 95), last=True)
+    return p.select("n", *[_r(c).alias(c) for c in ("p5", "p25", "p50", "p75", "p95", "low", "high", "mean")])
 
 
 @query(f"""select q, round(avg(d), 6) as mean, round(stddev_pop(d), 6) as deviation, min(d) as low, max(d) as high, round(avg((abs(d - 32) <= 4)::int), 6) as within, round(avg((abs(d - 32) > 12)::int), 6) as discriminative from {_PAIRS} group by 1""")
@@ -98,7 +107,7 @@ def json_properties(spark, d):
 @query("""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents), v as (select * from (values ('the', 'DET'), ('a', 'DET'), ('is', 'BE'), ('was', 'BE'), ('and', 'LINK'), ('with', 'LINK'), ('of', 'PART'), ('not', 'NOT'), ('no', 'NOT')) v(w, prime))
  , c as (select doc_id, prime, count(*) as n from w join v on w.w = v.w group by all) select doc_id, prime, n, round(n::double / sum(n) over (partition by doc_id), 6) as weight from c""")
 def prime_weights(spark, d):
-    """Words that a small vocabulary knows, as shares per document."""
+    """Words that a small vocabulary of the caller's knows, as shares per document; ``prime_decompose`` has the whole one."""
     rows = [("the", "DET"), ("a", "DET"), ("is", "BE"), ("was", "BE"), ("and", "LINK"), ("with", "LINK"), ("of", "PART"), ("not", "NOT"), ("no", "NOT")]
     vocabulary = F.broadcast(spark.createDataFrame(rows, "w string, prime string"))  # nine fixed rows
     w = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("w")).join(vocabulary, "w")
@@ -120,13 +129,20 @@ def prime_decompose(spark, d):
     return n.withColumn("weight", _r(F.col("tenths") / F.sum("tenths").over(Window.partitionBy("doc_id"))))
 
 
-@query("select sum(n)::bigint as n, count(*)::bigint as branches from (select o_orderkey % 8 as b, count(*) as n from orders group by 1)")
+_LEAF = "('0x' || substr(sha256(o_orderkey || '|' || {}), 1, 15))::bigint"
+
+
+@query(f"""with a as (select o_orderkey % 8 as branch, sum({_LEAF.format("o_orderstatus")})::varchar as digest, count(*) as n from orders group by 1),
+ b as (select o_orderkey % 8 as branch, sum({_LEAF.format("case when o_orderkey % 40 = 3 then 'X' else o_orderstatus end")})::varchar as digest from orders where o_orderkey % 8 <> 6 group by 1),
+ x as (select * from a union all select -1, (select sum({_LEAF.format("o_orderstatus")})::varchar from orders), (select count(*) from orders)),
+ y as (select * from b union all select -1, (select sum({_LEAF.format("case when o_orderkey % 40 = 3 then 'X' else o_orderstatus end")})::varchar from orders where o_orderkey % 8 <> 6))
+ select branch::int as branch, x.digest, x.n, x.digest is distinct from y.digest as differs from x full join y using (branch)""")
 def hash_tree(spark, d):
+    """The orders' hash tree, and which branches differ from that of a table with changed rows and a branch less."""
     o = table(spark, d, "orders")
-    t = clusters.hash_tree(o, F.col("o_orderkey"), "o_orderkey", F.col("o_totalprice").cast("string"))
-    root, branches = t.where("branch = -1"), t.where("branch >= 0")
-    checked = branches.agg(F.sum(F.col("digest").cast("decimal(38,0)")).alias("s"), F.sum("n").alias("n"), F.count("*").alias("branches"))
-    return checked.crossJoin(root.select("digest")).where(F.col("s") == F.col("digest").cast("decimal(38,0)")).select("n", "branches")
+    changed = o.where("o_orderkey % 8 <> 6").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 40 == 3, "X").otherwise(F.col("o_orderstatus")))
+    one, two = (clusters.hash_tree(t, F.col("o_orderkey"), "o_orderkey", F.col("o_orderstatus")) for t in (o, changed))
+    return one.join(clusters.diff_trees(one, two), "branch")
 
 
 @query(f"select label, round(avg(x) / greatest(stddev_pop(x), 1e-9), 4) as signal, round(min(x), 6) as low, round(max(x), 6) as high from (select label, unnest(list_transform(range(64), lambda i: round((embedding[i + 1]::double - list_min(embedding)) / ((list_max(embedding) - list_min(embedding))::double / 255)) * ((list_max(embedding) - list_min(embedding))::double / 255) + list_min(embedding))) as x from embeddings) group by 1")
@@ -154,17 +170,6 @@ def snapshot_transitions(spark, d):
     return table(spark, d, "events").select("user_id", "event_type", "ts", (F.col("event_type") != F.lag("event_type").over(w)).alias("changed"), _r(v - F.lag(v).over(w), 4).alias("step"), _r(v - F.lag(v, 2).over(w), 4).alias("step2"))
 
 
-@query("select label, code, count(*) as n from (select label, case when embedding[1] > 0.2 then 2 when embedding[1] < -0.2 then 0 else 1 end as code from embeddings) group by all")
-def palette_codes(spark, d):
-    """Nearest of three palette values -0.4, 0, 0.4 by the first dimension; a tie goes to the first, so 0.2 itself is
-    nearer to 0 and -0.2 to -0.4 by equality."""
-    x = F.col("embedding")[0]
-    code = F.when(x > F.lit(0.2).cast("float"), 2).when(x < F.lit(-0.2).cast("float"), 0).otherwise(1)
-    near = clusters.nearest_code([F.abs(x + 0.4), F.abs(x), F.abs(x - 0.4)])
-    e = table(spark, d, "embeddings").select("label", F.when(F.abs(F.abs(x) - 0.2) < 1e-6, code).otherwise(near).alias("code"))
-    return e.groupBy("label", "code").agg(F.count("*").alias("n"))
-
-
 @query("""with x as (select vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), g as (select vec_id, label, i, c, abs(x - p) as gap from x, (values (0, -0.4::double), (1, 0.0::double), (2, 0.4::double)) t(c, p)),
  n as (select vec_id, label, i, c from g qualify row_number() over (partition by vec_id, label, i order by gap, c) = 1) select vec_id, label, list(c order by i) as codes from n group by vec_id, label""")
 def palette_all(spark, d):
@@ -172,3 +177,12 @@ def palette_all(spark, d):
     x = F.col("embedding").cast("array<double>")
     codes = F.transform(x, lambda v: F.array_min(F.array(*[F.struct(F.abs(v - F.lit(p)).alias("gap"), F.lit(i).alias("c")) for i, p in enumerate((-0.4, 0.0, 0.4))]))["c"])
     return table(spark, d, "embeddings").select("vec_id", "label", codes.alias("codes"))
+
+
+@query("""with x as (select vec_id, label, embedding[1]::double as x from embeddings), g as (select vec_id, label, c, abs(x - p) as gap from x, (values (0, -0.4::double), (1, 0.0::double), (2, 0.4::double)) t(c, p)),
+ n as (select label, c from g qualify row_number() over (partition by vec_id, label order by gap, c) = 1) select label, c as code, count(*) as n from n group by all""")
+def palette_codes(spark, d):
+    """How often each palette value is the nearest to the first dimension, by label; a tie goes to the first value."""
+    x = F.get("embedding", 0).cast("double")
+    near = clusters.nearest_code([F.abs(x - F.lit(p)) for p in (-0.4, 0.0, 0.4)])
+    return table(spark, d, "embeddings").select("label", near.alias("code")).groupBy("label", "code").agg(F.count("*").alias("n"))

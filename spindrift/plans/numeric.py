@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as V
@@ -136,10 +139,15 @@ def elementwise(spark, d):
     )
 
 
-@query("""with q as (select vec_id, embedding::double[] as e, least(list_min(embedding), 0)::double as lo, greatest(list_max(embedding), 0)::double as hi from embeddings), p as (select *, (hi - lo) / 255 as scale, greatest(0, least(255, round(-lo / ((hi - lo) / 255)))) as zero from q)
- select vec_id, round(scale, 9) as scale, zero::int as zero, list_transform(e, lambda x: greatest(0, least(255, round(x / scale) + zero))::int) as codes from p""")
+@query("""with v as (select vec_id, embedding::double[] as e from embeddings union all select vec_id + 1000000, list_transform(embedding, lambda x: abs(x::double) + 0.5) from embeddings union all select vec_id + 2000000, list_transform(embedding, lambda x: -abs(x::double) - 0.5) from embeddings),
+ q as (select vec_id, e, list_min(e) as lo, list_max(e) as hi from v), p as (select *, (hi - lo) / 255 as scale, greatest(0, least(255, round(-lo / ((hi - lo) / 255)))) as zero from q)
+ select vec_id, round(scale, 9) as scale, zero::int as zero, list_transform(e, lambda x: greatest(0, least(255, round(x / scale + zero)))::int) as codes from p""")
 def quantize_u8(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", V.quantize_u8(F.col("embedding")).alias("q")).select("vec_id", _r("q.scale", 9).alias("scale"), "q.zero", "q.codes")
+    """The vectors, and copies with positive and with negative numbers only."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    up = e.select(F.col("vec_id") + 1_000_000, F.transform("v", lambda x: F.abs(x) + 0.5))
+    down = e.select(F.col("vec_id") + 2_000_000, F.transform("v", lambda x: -F.abs(x) - 0.5))
+    return e.union(up).union(down).select("vec_id", V.quantize_u8(F.col("v")).alias("q")).select("vec_id", _r("q.scale", 9).alias("scale"), "q.zero", "q.codes")
 
 
 @query("""with q as (select vec_id, embedding::double[] as e, list_max(list_transform(embedding, lambda x: abs(x::double))) / 127 as s from embeddings)
@@ -148,11 +156,14 @@ def quantize_i8(spark, d):
     return table(spark, d, "embeddings").select("vec_id", V.quantize_i8(F.col("embedding")).alias("q")).select("vec_id", _r("q.scale", 9).alias("scale"), "q.codes")
 
 
-@query("select vec_id, list_transform(embedding, lambda x: case when x > 0 then 9 else 4 end) as codes, 8 as words from embeddings")
+@query("""with c as (select vec_id, bits, list_transform(embedding, lambda x: (floor(abs(x) * 1000)::bigint % (1 << bits))::int) as codes from embeddings, (values (2), (4), (8), (16)) t(bits))
+ select vec_id, bits, codes, list_transform(range((2 * bits)::bigint), lambda w: list_sum(list_transform(range((32 // bits)::bigint), lambda j: codes[w * (32 // bits) + j + 1]::bigint << (j * bits)::bigint))::bigint) as words from c""")
 def pack_round_trip(spark, d):
-    codes = F.transform("embedding", lambda x: F.when(x > 0, 9).otherwise(4))
-    packed = table(spark, d, "embeddings").select("vec_id", V.pack_codes(codes, 4).alias("w"))
-    return packed.select("vec_id", V.unpack_codes(F.col("w"), 4, F.lit(64)).alias("codes"), F.size("w").alias("words"))
+    """Codes of every width packed, the words themselves, and the codes unpacked from them."""
+    e = table(spark, d, "embeddings")
+    one = lambda bits: e.select("vec_id", F.lit(bits).alias("bits"), V.pack_codes(F.transform("embedding", lambda x: (F.floor(F.abs(x) * 1000) % (1 << bits)).cast("int")), bits).alias("words"))
+    parts = [one(b).withColumn("codes", V.unpack_codes(F.col("words"), b, F.lit(64))) for b in (2, 4, 8, 16)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"select a.i1 as i0, b.i1 as i1, round(sum(a.v * b.v), 5) as v from {_LONG} a join {_LONG} b on a.i0 = b.i0 group by all")
@@ -217,7 +228,7 @@ def kron(spark, d):
     return linalg.kron(_square(spark, d), small, 2, 2)
 
 
-@query("select n_nationkey as i0, r_regionkey as i1, 0.5 * (n_nationkey + 1) * (r_regionkey + 1) as v from nation, region")
+@query("select n_nationkey as i0, r_regionkey as i1, 0.5::double * (n_nationkey + 1) * (r_regionkey + 1) as v from nation, region")
 def ger(spark, d):
     x = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), (F.col("n_nationkey") + 1).cast("double").alias("x"))
     y = table(spark, d, "region").select(F.col("r_regionkey").alias("i"), (F.col("r_regionkey") + 1).cast("double").alias("x"))
@@ -275,7 +286,7 @@ def zip_map(spark, d):
     return arrays.zip_arrays(a, arrays.invert_axis(a, "i1", 64), ["i0", "i1"], _r(F.col("va") * F.col("vb") + 1))
 
 
-@query("select i, round(1.0 + i * 0.5, 6) as lin, round(pow(2.0, 1.0 + i * 0.5), 6) as log, round(exp(ln(1.0) + i * (ln(1000.0) - ln(1.0)) / 18), 6) as geo from range(19) t(i)")
+@query("select i, round(1.0::double + i * 0.5, 6) as lin, round(pow(2.0, 1.0 + i * 0.5), 6) as log, round(exp(ln(1.0) + i * (ln(1000.0) - ln(1.0)) / 18), 6) as geo from range(19) t(i)")
 def spaces(spark, d):
     lin, log, geo = arrays.linspace(spark, 1.0, 10.0, 19), arrays.logspace(spark, 2.0, 1.0, 10.0, 19), arrays.geomspace(spark, 1.0, 1000.0, 19)
     return lin.select("i", _r("v").alias("lin")).join(log.select("i", _r("v").alias("log")), "i").join(geo.select("i", _r("v").alias("geo")), "i")
@@ -286,13 +297,20 @@ def eye(spark, d):
     return arrays.eye(spark, 8)
 
 
-@query()
+@query("""select vec_id, list_transform(range(33), lambda k: round(pow(list_sum(list_transform(range(64), lambda t: embedding[t + 1]::double * cos(2 * pi() * k * t / 64))), 2) + pow(list_sum(list_transform(range(64), lambda t: embedding[t + 1]::double * sin(2 * pi() * k * t / 64))), 2), 6) + 0.0) as power from embeddings""")
 def fft_energy(spark, d):
     return linalg.spectrum(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.transform("v", lambda x: _r(x)).alias("power"))
 
 
+@query("select vec_id, list_transform(range(64), lambda i: round(list_sum(list_transform(range(64), lambda k: embedding[k + 1]::double * (1 - 2 * (bit_count(i & k) % 2)))) / 8, 4) + 0.0) as v from embeddings")
+def walsh_hadamard(spark, d):
+    w = linalg.walsh_hadamard(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return w.select("vec_id", F.transform("v", lambda x: _r(x, 4)).alias("v"))
+
+
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))), 4) as norm, list_transform(embedding, lambda x: round(x::double, 4) + 0.0) as back from embeddings")
 def walsh_hadamard_twice(spark, d):
+    """Its own inverse; ``walsh_hadamard`` has the transform itself."""
     once = linalg.walsh_hadamard(table(spark, d, "embeddings"), "vec_id", "embedding")
     twice = linalg.walsh_hadamard(once.withColumnRenamed("v", "w"), "vec_id", "w").withColumnRenamed("v", "back")
     return twice.join(once, "vec_id").select("vec_id", _r(V.norm(F.col("v")), 4).alias("norm"), F.transform("back", lambda x: _r(x, 4)).alias("back"))

@@ -234,7 +234,7 @@ def truth_revision(spark, d):
 
 @query(f"""select a.user_id, a.event_type as left_type, b.event_type as right_type, round(a.f * b.f, 6) as deduction_f, round(a.f * b.f * a.c * b.c, 6) as deduction_c, round(a.f, 6) as abduction_f, round(b.f * a.c * b.c / (b.f * a.c * b.c + 1), 6) as abduction_c,
  round(b.f, 6) as induction_f, round(a.f * a.c * b.c / (a.f * a.c * b.c + 1), 6) as induction_c, round(case when a.f + b.f - a.f * b.f > 0 then a.f * b.f / (a.f + b.f - a.f * b.f) else 0 end, 6) as comparison_f,
- round((a.f + b.f - a.f * b.f) * a.c * b.c / ((a.f + b.f - a.f * b.f) * a.c * b.c + 1), 6) as comparison_c, round(a.f * b.f, 6) as analogy_f, round(a.c * b.c * b.f, 6) as analogy_c, round(a.f * b.f, 6) as resemblance_f, round(a.c * b.c * (a.f + b.f - a.f * b.f), 6) as resemblance_c
+ round(a.f * b.f * a.c * b.c / (a.f * b.f * a.c * b.c + 1), 6) as comparison_c, round(a.f * b.f, 6) as analogy_f, round(a.c * b.c * b.f, 6) as analogy_c, round(a.f * b.f, 6) as resemblance_f, round(a.c * b.c * (a.f + b.f - a.f * b.f), 6) as resemblance_c
  from {_T} a join {_T} b on a.user_id = b.user_id and a.event_type < b.event_type""")
 def truth_rules(spark, d):
     t = _truths(spark, d)
@@ -293,11 +293,22 @@ def cross_plane_classes(spark, d):
     return _edges(spark, d).groupBy(spo.plane_class(b.bitwiseAND(F.lit(1)) > 0, b.bitwiseAND(F.lit(2)) > 0, b.bitwiseAND(F.lit(4)) > 0).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(f"select a.vec_id, (select 0) * 0 + {_H} as disagreement, {_H2}::bigint as overlap_hint from embeddings a, embeddings b where b.vec_id = 0".replace("(select 0) * 0 + ", "").replace(f", {_H2}::bigint as overlap_hint", ", 64::bigint as overlap, 0::bigint as penalty"))
+_KNOWN = "((vec_id * 7 + i * i) % 11 < vec_id % 9)"
+_Q = "(abs(e[i + 1]) > 0.05 and i < 48)"
+
+
+@query(f"""with v as (select vec_id, embedding::double[] as e from embeddings), q as (select e from v where vec_id = 0),
+ b as (select vec_id, i, v.e[i + 1] > 0 as a, q.e[i + 1] > 0 as b, {_KNOWN} as ka, {_Q.replace("e[", "q.e[")} as kb from v, q, range(64) t(i)),
+ s as (select vec_id, sum((ka and kb and a <> b)::int)::bigint as disagreement, sum((ka and kb)::int)::bigint as overlap, sum((not ka)::int)::bigint as penalty from b group by 1)
+ select vec_id, case when overlap > 0 then disagreement end as disagreement, case when overlap > 0 then overlap end as overlap, case when overlap > 0 then penalty end as penalty, case when overlap > 0 then round((disagreement + penalty)::double / (overlap + penalty), 6) end as normalized from s""")
 def plane_distance(spark, d):
-    p = _prints(spark, d)
-    known = F.lit(-1).cast("bigint")
-    return p.select("vec_id", spo.plane_distance(F.col("fp"), known, F.lit(_first(p, "fp")), known).alias("x")).select("vec_id", "x.*")
+    """Prints with partly known bits; those that know nothing that the query knows are incomparable."""
+    bit = lambda test: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(test(i), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), V.sign_word(F.col("embedding")).alias("fp"))
+    e = e.withColumn("known", bit(lambda i: (F.col("vec_id") * 7 + i * i) % 11 < F.col("vec_id") % 9)).withColumn("kq", bit(lambda i: (F.abs(F.get("e", i)) > 0.05) & (i < 48)))
+    q = e.where("vec_id = 0").first()
+    x = e.select("vec_id", spo.plane_distance(F.col("fp"), F.col("known"), F.lit(q["fp"]), F.lit(q["kq"])).alias("x"))
+    return x.select("vec_id", "x.*", _r(spo.normalized(F.col("x"))).alias("normalized"))
 
 
 _E2 = "(select vec_id, label, list_transform(embedding, lambda x: round(x::double, 1)) as v from embeddings where vec_id % 7 <> 3)"

@@ -10,6 +10,7 @@ import json
 import struct
 
 import numpy as np
+from numpy.typing import ArrayLike
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -101,7 +102,7 @@ def layer_type(name: str = "name"):
     return out
 
 
-def _numbers(raw: bytes, dtype: str) -> np.ndarray:
+def _numbers(raw: bytes, dtype: str) -> ArrayLike:
     if dtype == "BF16":
         return from_bf16(np.frombuffer(raw, "<u2"))
     if dtype == "Q8_0":
