@@ -9,6 +9,93 @@ _shl = lambda w, n: F.call_function("shiftleft", w, n)
 _shr = lambda w, n: F.call_function("shiftrightunsigned", w, n)
 
 
+def masked_popcount(a: Column, mask: Column) -> Column:
+    """Set bits of all words within one mask."""
+    return F.aggregate(F.transform(a, lambda w: F.bit_count(w.bitwiseAND(mask)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def popcount_words(a: Column) -> Column:
+    return F.transform(a, F.bit_count)
+
+
+def signed_bytes(a: Column) -> Column:
+    """Bytes 0 to 255 as -128 to 127."""
+    return F.transform(a, lambda x: F.when(x > 127, x - 256).otherwise(x))
+
+
+def phase_inverse(a: Column) -> Column:
+    return F.transform(a, lambda x: (256 - x) % 256)
+
+
+def find_pairs(a: Column, pattern: int) -> Column:
+    """Places (from 0) where two bytes in a row hold a 16-bit pattern, the high byte first."""
+    high, low = pattern >> 8, pattern & 255
+    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(a) - 2, F.lit(0))), lambda i: (F.get(a, i) == high) & (F.get(a, i + 1) == low))
+
+
+def find_first(a: Column, byte: int) -> Column:
+    """The first place (from 0) of a byte, null without one."""
+    at = F.array_position(a, byte)
+    return F.when(at > 0, at - 1)
+
+
+def nibbles_less(packed: Column, delta: int) -> Column:
+    """Every nibble less ``delta``, 0 at least."""
+    part = lambda n: F.greatest(n - delta, F.lit(0))
+    return F.transform(packed, lambda b: part(b.bitwiseAND(F.lit(15))) + 16 * part(F.shiftright(b, 4)))
+
+
+def nibbles_above(packed: Column, threshold: int) -> Column:
+    """Places (from 0) of the nibbles above a threshold; the low one of a byte comes first."""
+    each = F.flatten(F.transform(packed, lambda b: F.array(b.bitwiseAND(F.lit(15)), F.shiftright(b, 4))))
+    kept = F.filter(F.transform(each, lambda n, i: F.when(n > threshold, i)), lambda i: i.isNotNull())
+    return kept
+
+
+def bits_for(size: int) -> int:
+    """Bits that tell ``size`` values apart, 8 at most."""
+    return 0 if size <= 1 else min(8, (size - 1).bit_length())
+
+
+def pack_indices(codes: Column, bits: int) -> Column:
+    """Codes of 1 to 8 bits in words of 64, the first lowest; a code never spans two words."""
+    per = 64 // bits
+    word = lambda w: F.aggregate(F.transform(F.slice(codes, w * per + 1, per), lambda c, i: _shl(c.cast("bigint").bitwiseAND(F.lit((1 << bits) - 1)), i * bits)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    count = F.ceil(F.size(codes) / per).cast("int")
+    return F.when(F.size(codes) > 0, F.transform(F.sequence(F.lit(0), count - 1), word)).otherwise(F.array().cast("array<bigint>"))
+
+
+def unpack_indices(words: Column, bits: int, count: Column) -> Column:
+    per = 64 // bits
+    each = F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: _shr(w, i * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")))
+    return F.slice(F.flatten(each), F.lit(1), count)
+
+
+def transcode(words: Column, old_bits: int, new_bits: int, count: Column) -> Column:
+    """The same codes at another width; wider codes lose their high bits."""
+    return pack_indices(unpack_indices(words, old_bits, count), new_bits)
+
+
+def bf16_hamming(a: Column, b: Column, sign: int = 256, exponent: int = 16, mantissa: int = 1) -> Column:
+    """Differing bits of arrays of 16-bit floats, weighted by field."""
+    bits = lambda x: F.bit_count(x).cast("bigint")
+    one = lambda x: bits(x.bitwiseAND(F.lit(0x8000))) * sign + bits(x.bitwiseAND(F.lit(0x7F80))) * exponent + bits(x.bitwiseAND(F.lit(0x7F))) * mantissa
+    return F.aggregate(F.zip_with(a, b, lambda x, y: one(x.bitwiseXOR(y))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def xor_difference(center: Column, point: Column) -> Column:
+    """Where a point differs from a centre, and its values there: array of struct(at, value)."""
+    each = F.zip_with(F.zip_with(center, point, lambda c, p: F.when(c != p, p)), F.sequence(F.lit(0), F.size(center) - 1), lambda v, i: F.struct(i.alias("at"), v.alias("value")))
+    return F.filter(each, lambda x: x["value"].isNotNull())
+
+
+def hamming_to_difference(query: Column, center: Column, difference: Column, to_center: Column) -> Column:
+    """Distance in bits from a query to a point given as its difference from a centre, without decoding it."""
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("bigint")
+    step = F.transform(difference, lambda d: apart(F.get(query, d["at"]), d["value"]) - apart(F.get(query, d["at"]), F.get(center, d["at"])))
+    return F.aggregate(step, to_center, lambda s, x: s + x)
+
+
 def bind(a: Column, b: Column) -> Column:
     """XOR; binding twice gives the first operand back."""
     return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))

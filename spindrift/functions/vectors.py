@@ -68,7 +68,29 @@ def softmax(v: Column) -> Column:
     return F.transform(F.array(e), lambda d: F.transform(d, lambda x: x / total(d)))[0]
 
 
+def log_softmax(v: Column) -> Column:
+    def body(d: Column) -> Column:
+        top = F.array_max(d)
+        rest = F.ln(total(F.transform(d, lambda x: F.exp(x - top)))) + top
+        return F.transform(F.array(rest), lambda r: F.transform(d, lambda x: x - r))[0]
+
+    return F.transform(F.array(doubles(v)), body)[0]
+
+
+def affine(v: Column, weight: Column | None, bias: Column | None = None) -> Column:
+    """v * weight + bias, each of v's length; what is missing is left out."""
+    v = v if weight is None else F.zip_with(v, weight, lambda x, w: x * w)
+    return v if bias is None else F.zip_with(v, bias, lambda x, b: x + b)
+
+
+def group_norm(v: Column, groups: int, weight: Column | None = None, bias: Column | None = None) -> Column:
+    """Each of ``groups`` equal runs of the vector normalised alone."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: layer_norm(F.slice(v, (g * F.size(v) / groups).cast("int") + 1, (F.size(v) / groups).cast("int"))))
+    return affine(F.flatten(each), weight, bias)
+
+
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
+    """Zero mean and unit variance; :func:`affine` applies a layer's weights."""
     d = doubles(v)
 
     def body(x: Column) -> Column:
@@ -131,6 +153,61 @@ def quantize_i8(v: Column) -> Column:
     return F.transform(F.array(d), body)[0]
 
 
+def dequantize(codes: Column, scale: Column, zero: Column | int = 0) -> Column:
+    return F.transform(codes, lambda q: (q - zero) * scale)
+
+
+def quantize_i4(v: Column) -> Column:
+    """Symmetric 4-bit codes (-8 to 7, scale = largest / 7): struct(scale, codes)."""
+    return _symmetric(v, 7.0, -8.0, 7.0)
+
+
+def quantize_i2(v: Column) -> Column:
+    """-1, 0 or 1 after scaling by the largest: struct(scale, codes)."""
+    return _symmetric(v, 1.0, -1.0, 1.0)
+
+
+def _symmetric(v: Column, steps: float, low: float, high: float) -> Column:
+    def body(x: Column) -> Column:
+        top = F.array_max(F.transform(x, F.abs))
+        scale = F.when(top > 0, top / steps).otherwise(1.0)
+        code = lambda e, s: F.greatest(F.lit(low), F.least(F.lit(high), F.round(e / s))).cast("int")
+        return F.transform(F.array(scale), lambda s: F.struct(s.alias("scale"), F.transform(x, lambda e: code(e, s)).alias("codes")))[0]
+
+    return F.transform(F.array(doubles(v)), body)[0]
+
+
+def pack_i4(codes: Column) -> Column:
+    """Bytes of two 4-bit codes in two's complement, the first one low."""
+    return _packed(F.transform(codes, lambda c: c.bitwiseAND(F.lit(15))), 4)
+
+
+def unpack_i4(packed: Column, n: Column | int) -> Column:
+    return F.transform(_unpacked(packed, 4, n), lambda c: F.when(c > 7, c - 16).otherwise(c))
+
+
+def pack_i2(codes: Column) -> Column:
+    """Bytes of four codes -1, 0, 1, stored one higher, the first lowest."""
+    return _packed(F.transform(codes, lambda c: c + 1), 2)
+
+
+def unpack_i2(packed: Column, n: Column | int) -> Column:
+    return F.transform(_unpacked(packed, 2, n), lambda c: c - 1)
+
+
+def _packed(codes: Column, bits: int) -> Column:
+    per = 8 // bits
+    count = F.ceil(F.size(codes) / per).cast("int")
+    byte = lambda w: F.aggregate(F.transform(F.slice(codes, w * per + 1, per), lambda c, i: F.call_function("shiftleft", c, i * bits)), F.lit(0), lambda a, x: a.bitwiseOR(x))
+    return F.when(F.size(codes) > 0, F.transform(F.sequence(F.lit(0), count - 1), byte)).otherwise(F.array().cast("array<int>"))
+
+
+def _unpacked(packed: Column, bits: int, n: Column | int) -> Column:
+    per = 8 // bits
+    each = F.transform(packed, lambda b: F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.call_function("shiftright", b, i * bits).bitwiseAND(F.lit((1 << bits) - 1))))
+    return F.slice(F.flatten(each), F.lit(1), F.lit(n) if isinstance(n, int) else n)
+
+
 def pack_codes(codes: Column, bits: int) -> Column:
     """Packs unsigned codes of ``bits`` bits (a divisor of 32), the first lowest, into words of 32 bits."""
     per = 32 // bits

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir, which all executors share."""
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/spindrift")
-    return frame.checkpoint()
+from .lineage import cut
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -19,14 +13,14 @@ def connected(links: DataFrame) -> DataFrame:
 
     A round takes the least label among a node's neighbours, then that label's own label; rounds grow with the
     logarithm of the longest path in practice and end when no label changes."""
-    both = _checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("low"), F.col("label").alias("before"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         after = low.join(jump, F.col("low") == F.col("via"), "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"), "before")
-        after = _checkpointed(after)
+        after = cut(after)
         if after.where("label <> before").isEmpty():
             return after.select("node", F.col("label").alias("component"))
         labels = after.select("node", "label")

@@ -127,3 +127,139 @@ def solve(frame: DataFrame, key: str, matrix: str, rhs: str, n: int, method: str
 
     picked = frame.select(F.col(key).cast("bigint").alias(key), F.col(matrix).cast("array<double>").alias("a"), F.col(rhs).cast("array<double>").alias("b"))
     return picked.mapInArrow(run, f"{key} bigint, v array<double>")
+
+
+def symm(a: DataFrame, b: DataFrame, upper: bool, alpha: float = 1.0) -> DataFrame:
+    """alpha A B with A symmetric, given by one triangle."""
+    return matmul(symmetric(a, upper), b, alpha)
+
+
+def trmm(a: DataFrame, b: DataFrame, upper: bool, unit: bool = False, alpha: float = 1.0) -> DataFrame:
+    return matmul(triangular(a, upper, unit), b, alpha)
+
+
+def trmv(a: DataFrame, x: DataFrame, upper: bool, unit: bool = False) -> DataFrame:
+    return matvec(triangular(a, upper, unit), x)
+
+
+def sbmv(a: DataFrame, x: DataFrame, upper: bool, width: int, alpha: float = 1.0) -> DataFrame:
+    """Symmetric with ``width`` bands beside the diagonal."""
+    return matvec(banded(symmetric(a, upper), width, width), x, alpha)
+
+
+def syr(a: DataFrame, x: DataFrame, alpha: float, upper: bool, y: DataFrame | None = None) -> DataFrame:
+    """One triangle of A + alpha x x', or with ``y`` of A + alpha (x y' + y x'). x and y are (i, x)."""
+    parts = [outer(x, x, alpha)] if y is None else [outer(x, y, alpha), outer(y, x, alpha)]
+    both = a.select("i0", "i1", "v")
+    for part in parts:
+        both = both.unionByName(part)
+    return triangular(both.groupBy("i0", "i1").agg(F.sum("v").alias("v")), upper)
+
+
+def int8_matmul(a: DataFrame, b: DataFrame, a_zero: int = 0, scale: float | None = None) -> DataFrame:
+    """Products of whole numbers, summed exactly: A's codes less their zero point times B's; scaled if asked for."""
+    codes = a.withColumn("v", F.col("v").cast("bigint") - a_zero)
+    out = matmul(codes, b.withColumn("v", F.col("v").cast("bigint")), 1)
+    return out if scale is None else out.withColumn("v", F.col("v") * scale)
+
+
+def _batches(frame: DataFrame, columns: list[str], schema: str, body) -> DataFrame:
+    """Applies a numpy function of stacked arrays to each Arrow batch: ``columns`` are the key and arrays of one length."""
+    key, *arrays = columns
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = body(*[np.asarray(c.to_pylist(), float) for c in batch.columns[1:]])
+                kinds = pa.list_(pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(x.reshape(len(x), -1)), kinds) for x in found]], [key, *names])
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    picked = frame.select(F.col(key).cast("bigint").alias(key), *[F.col(c).cast("array<double>").alias(c) for c in arrays])
+    return picked.where(" and ".join(f"{c} is not null" for c in arrays)).mapInArrow(run, f"{key} bigint, {schema}")
+
+
+def lu(frame: DataFrame, key: str, matrix: str, n: int) -> DataFrame:
+    """Factors of one n x n matrix per row, all rows of a batch at a time: ``lower`` (unit diagonal), ``upper``, row-major, and
+    ``pivots``, the order of the rows, of which the largest comes first in every step. A singular matrix has a 0 on upper's diagonal."""
+
+    def body(a: ArrayLike):
+        a = a.reshape(-1, n, n).copy()
+        order, rows = np.tile(np.arange(n, dtype=float), (len(a), 1)), np.arange(len(a))
+        low = np.zeros_like(a)
+        for k in range(n):
+            at = np.abs(a[:, k:, k]).argmax(1) + k
+            for x in (a, low, order):
+                x[rows, k], x[rows, at] = x[rows, at].copy(), x[rows, k].copy()
+            top = a[:, k, k]
+            factor = np.divide(a[:, k + 1 :, k], top[:, None], out=np.zeros_like(a[:, k + 1 :, k]), where=top[:, None] != 0)
+            low[:, k, k], low[:, k + 1 :, k] = 1, factor
+            a[:, k + 1 :] -= factor[:, :, None] * a[:, k : k + 1]
+            a[:, k + 1 :, k] = 0
+        return low, a, order
+
+    return _batches(frame, [key, matrix], "lower array<double>, upper array<double>, pivots array<double>", body)
+
+
+def cholesky(frame: DataFrame, key: str, matrix: str, n: int) -> DataFrame:
+    """``lower`` with A = L L' per row; NaN where a matrix isn't positive definite."""
+
+    def body(a: ArrayLike):
+        a, low = a.reshape(-1, n, n), np.zeros((len(a), n, n))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for j in range(n):
+                low[:, j, j] = np.sqrt(a[:, j, j] - (low[:, j, :j] ** 2).sum(1))
+                for i in range(j + 1, n):
+                    low[:, i, j] = (a[:, i, j] - (low[:, i, :j] * low[:, j, :j]).sum(1)) / low[:, j, j]
+        return (low,)
+
+    return _batches(frame, [key, matrix], "lower array<double>", body)
+
+
+def qr(frame: DataFrame, key: str, matrix: str, rows: int, columns: int) -> DataFrame:
+    """``q`` and ``r`` per row, r with a positive diagonal where the matrix has full rank."""
+
+    def body(a: ArrayLike):
+        q, r = np.linalg.qr(a.reshape(-1, rows, columns))
+        sign = np.where(np.diagonal(r, axis1=1, axis2=2) < 0, -1.0, 1.0)
+        return q * sign[:, None, :], r * sign[:, :, None]
+
+    return _batches(frame, [key, matrix], "q array<double>, r array<double>", body)
+
+
+def solve_triangular(frame: DataFrame, key: str, matrix: str, rhs: str, n: int, upper: bool, columns: int = 1, unit: bool = False) -> DataFrame:
+    """``v`` with T v = rhs, T one triangle of the matrix; the right side has ``columns`` columns. A zero on the diagonal
+    gives infinities or NaN."""
+
+    def body(a: ArrayLike, b: ArrayLike):
+        a, b = a.reshape(-1, n, n), b.reshape(-1, n, columns)
+        x = np.zeros_like(b)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for i in reversed(range(n)) if upper else range(n):
+                part = slice(i + 1, n) if upper else slice(0, i)
+                rest = b[:, i] - (a[:, i, part, None] * x[:, part]).sum(1)
+                x[:, i] = rest if unit else rest / a[:, i, i, None]
+        return (x,)
+
+    return _batches(frame, [key, matrix, rhs], "v array<double>", body)
+
+
+def fft(frame: DataFrame, key: str, real: str, imaginary: str | None = None, inverse: bool = False) -> DataFrame:
+    """``re`` and ``im`` of each row's transform; the inverse divides by the length."""
+
+    def body(*parts: ArrayLike):
+        z = parts[0] + 1j * parts[1] if len(parts) > 1 else parts[0]
+        out = np.fft.ifft(z, axis=1) if inverse else np.fft.fft(z, axis=1)
+        return out.real, out.imag
+
+    return _batches(frame, [key, real, *([imaginary] if imaginary else [])], "re array<double>, im array<double>", body)
+
+
+def rfft(frame: DataFrame, key: str, vector: str) -> DataFrame:
+    """The n / 2 + 1 frequencies of real rows."""
+
+    def body(x: ArrayLike):
+        out = np.fft.rfft(x, axis=1)
+        return out.real, out.imag
+
+    return _batches(frame, [key, vector], "re array<double>, im array<double>", body)
