@@ -1,6 +1,6 @@
 """All registered queries of the library's own operators and the SQL that they are checked against."""
 
-from . import codes, more, numeric, search, shapes  # noqa: F401
+from . import codes, dense, more, numeric, search, shapes  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
