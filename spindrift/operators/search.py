@@ -197,6 +197,19 @@ def pq_encode(vectors: DataFrame, key: str, vector: str, books: ArrayLike) -> Da
     return frame.mapInArrow(run, f"{key} bigint, codes array<int>")
 
 
+def pq_decode(codes: DataFrame, key: str, column: str, books: ArrayLike) -> DataFrame:
+    """The code words of every row, one after the other: ``v array<double>``."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            found = [books[np.arange(len(r)), r].reshape(-1) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], [key, "v"])
+
+    return codes.where(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"{key} bigint, v array<double>")
+
+
 def adc_top_k(codes: DataFrame, query: list[float], books: ArrayLike, k: int, key: str = "vec_id") -> DataFrame:
     """Asymmetric distances: one table lookup per part, summed in the JVM."""
     parts, _, width = books.shape
