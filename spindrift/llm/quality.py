@@ -117,20 +117,22 @@ def with_references(frame: DataFrame, refs: DataFrame, docs: DataFrame) -> DataF
 
 
 def references(docs: DataFrame, limits: Limits) -> DataFrame:
-    """One row per language: class_q, common (words), common_q (their shares), other_q."""
+    """One row per language: class_q, marks (hashes of the common words, ascending, their lowest bit set), marks_q (the
+    words' shares, in that order), other_q."""
     base = counts(docs)
-    total = base.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 2)], F.sum(F.size("ws")).alias("n"))
+    total = base.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 2)])
     all_chars = sum((F.col(f"c{i}") for i in range(len(CLASSES) + 2)), F.lit(0))
-    total = total.select("lang", "n", F.array(*[F.col(f"c{i}") / F.greatest(all_chars, F.lit(1)) for i in range(len(CLASSES) + 2)]).alias("class_q"))
+    total = total.select("lang", F.array(*[F.col(f"c{i}") / F.greatest(all_chars, F.lit(1)) for i in range(len(CLASSES) + 2)]).alias("class_q"))
     each = docs.select(language(docs).alias("lang"), F.explode(words(F.lower(text_of()))).alias("w"))
-    seen = each.where(F.length("w") <= limits.common_chars).groupBy("lang", "w").agg(F.count("*").alias("n_w"))
+    seen = each.groupBy("lang", "w").agg(F.count("*").alias("n_w"))
+    n = seen.groupBy("lang").agg(F.sum("n_w").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_w"), "w"))
-    common = seen.withColumn("rank", rank).where(F.col("rank") <= limits.common_words)
-    common = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "w", "n_w"))).alias("top"))
-    joined = total.join(common, "lang", "left")
-    shares = F.transform("top", lambda x: x["n_w"] / F.greatest(F.col("n"), F.lit(1)))
-    joined = joined.select("lang", "class_q", F.coalesce(F.transform("top", lambda x: x["w"]), F.array().cast("array<string>")).alias("common"), F.coalesce(shares, F.array().cast("array<double>")).alias("common_q"))
-    return joined.withColumn("other_q", F.greatest(F.lit(0.0), 1 - F.aggregate("common_q", F.lit(0.0), lambda a, x: a + x)))
+    common = seen.where(F.length("w") <= limits.common_chars).withColumn("rank", rank).where(F.col("rank") <= limits.common_words)
+    common = common.groupBy("lang").agg(F.collect_list(F.struct(F.xxhash64("w").bitwiseOR(F.lit(1)).alias("h"), "n_w")).alias("top"))
+    joined = n.join(common, "lang", "left").withColumn("top", F.array_sort("top"))
+    joined = joined.select("lang", F.transform("top", lambda x: x["h"]).alias("marks"), F.transform("top", lambda x: x["n_w"] / F.col("n")).alias("marks_q"))
+    joined = total.join(joined, "lang", "left").select("lang", "class_q", F.coalesce("marks", F.array().cast("array<bigint>")).alias("marks"), F.coalesce("marks_q", F.array().cast("array<double>")).alias("marks_q"))
+    return joined.withColumn("other_q", F.greatest(F.lit(0.0), 1 - F.aggregate("marks_q", F.lit(0.0), lambda a, x: a + x)))
 
 
 def class_distance(classes: Column, class_q: Column) -> Column:
@@ -139,26 +141,27 @@ def class_distance(classes: Column, class_q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
 
 
-def word_distance(lowered: Column, common: Column, common_q: Column, other_q: Column) -> Column:
-    """Words are numbered by their place among the common ones (0: another word), sorted and counted by runs; bins that
-    the document lacks add half of their share."""
+def word_distance(lowered: Column, marks: Column, marks_q: Column, other_q: Column) -> Column:
+    """The words' hashes, their lowest bit cleared, are sorted together with the marks: each mark then ends the run of its
+    word, whose length is the word's count. Bins that the document lacks add half of their share."""
+    n = F.size(lowered)
+    hashes = F.transform(lowered, lambda w: F.xxhash64(w).bitwiseAND(F.lit(~1)))
 
-    def of_numbers(s: Column) -> Column:
+    def of_sorted(s: Column) -> Column:
         def of_starts(starts: Column) -> Column:
-            n = F.size(s)
-            bins = F.transform(
-                starts,
-                lambda a, r: F.struct(
-                    ((F.coalesce(F.get(starts, r + 1), n) - a) / n).alias("p"),
-                    F.when(F.get(s, a) > 0, F.get(common_q, F.get(s, a).cast("int") - 1)).otherwise(other_q).alias("q"),
-                ),
-            )
-            seen = lambda b: F.aggregate(b, F.lit(0.0), lambda acc, x: acc + _divergence(x["p"], x["q"]) - x["q"] / 2)
-            return F.sqrt(F.greatest(F.lit(0.0), F.lit(0.5) + let(bins, seen)))
+            last = lambda r: F.coalesce(F.get(starts, r + 1), F.size(s)) - 1
+            marked = F.transform(starts, lambda a, r: F.when(F.get(s, last(r)).bitwiseAND(F.lit(1)) == 1, last(r) - a))
+            return let(F.filter(marked, lambda c: c.isNotNull()), of_counts)
 
-        return let(run_starts(s), of_starts)
+        return let(run_starts(s, lambda x: x.bitwiseOR(F.lit(1))), of_starts)
 
-    return let(F.sort_array(F.transform(lowered, lambda w: F.array_position(common, w))), of_numbers)
+    def of_counts(found: Column) -> Column:
+        part = lambda c, q: F.when(c > 0, _divergence(c / n, q) - q / 2).otherwise(0.0)
+        known = F.aggregate(F.zip_with(found, marks_q, part), F.lit(0.0), lambda a, x: a + x)
+        rest = n - F.aggregate(found, F.lit(0), lambda a, x: a + x)
+        return F.sqrt(F.greatest(F.lit(0.0), 0.5 + known + part(rest, other_q)))
+
+    return let(F.sort_array(F.concat(hashes, marks)), of_sorted)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), rows: bool = False) -> DataFrame:
@@ -179,7 +182,7 @@ def judge(docs: DataFrame, limits: Limits = Limits(), rows: bool = False) -> Dat
         "n_dup_lines",
         repeated_words(F.col("ws")).cast("bigint").alias("n_repeat_words"),
         class_distance(F.col("classes"), F.col("class_q")).alias("char_distance"),
-        F.when(n > 0, word_distance(F.transform("ws", lambda w: F.lower(w)), F.col("common"), F.col("common_q"), F.col("other_q"))).otherwise(F.lit(0.0)).alias("word_distance"),
+        F.when(n > 0, word_distance(F.transform("ws", lambda w: F.lower(w)), F.col("marks"), F.col("marks_q"), F.col("other_q"))).otherwise(F.lit(0.0)).alias("word_distance"),
         *(["source_row"] if rows else []),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
