@@ -6,9 +6,9 @@
    ones. What goes are the shingles that stand in the most fronts: common passages.
 2. Each shingle that two or more nodes still share is a region; its pivot is its smallest set. Every member is compared
    with its region's pivots only, which is linear in the regions' sizes, and what lies within the radius is linked.
-3. Members of a region that are not yet in one component are cut into windows of their distance to the pivot, one radius
-   wide: by the triangle inequality linked sets stand in one window or in neighbouring ones, so each member also visits
-   its neighbours.
+3. Members of a region that are not yet in one component are compared with each other. A region with many of them is
+   first cut into windows of their distance to the pivot, one radius wide: by the triangle inequality linked sets stand
+   in one window or in neighbouring ones, so each member also visits its neighbours.
 4. A window with many members is split again: a few of its members become pivots, every member's home is the Voronoi
    cell of its nearest pivot, and members on a border, up to two radii farther from another pivot, visit that cell too.
    Cells split until they are small, or until splitting gains nothing. A pair is compared in a cell that is home to one.
@@ -181,9 +181,8 @@ def similarities(pairs: DataFrame, docs: DataFrame, per_task: int = 64) -> DataF
     return made.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a bigint, b bigint, both bigint, either bigint")
 
 
-#: Members of a cell above which it is split again, pivots of a split, and the share of a cell's rows that its cells may
-#: hold together, visits included, for the split to count as a gain in work.
-CELL_MEMBERS, CELL_PIVOTS, ROUNDS = 512, 8, 6
+#: Members of a region or cell above which it is split again, pivots of a split, and rounds at most.
+CELL_MEMBERS, CELL_PIVOTS, ROUNDS = 4096, 8, 6
 
 
 def _pairs_with_pivot(members: DataFrame) -> DataFrame:
@@ -227,24 +226,33 @@ def _split(cells: DataFrame, docs: DataFrame, radius: float, seed: int) -> DataF
     return joined.select(F.xxhash64("cell", "p.node").alias("cell"), "node", "k", "rep", "n", "small", "component", (F.col("home") & own).alias("home"))
 
 
-def _cells(members: DataFrame, docs: DataFrame, radius: float) -> DataFrame:
-    """cell, node, k, rep, n, small, component, home: windows, and the Voronoi cells of those with many members."""
-    cells, done = stored(_windows(members, radius), "windows"), None
+def _cells(members: DataFrame, docs: DataFrame, measured: DataFrame, radius: float) -> DataFrame:
+    """cell, node, k, rep, n, small, component, home: regions, windows of those with many members, and the Voronoi cells
+    of windows with many. Only the members of large regions need their distance to the pivot, of which ``measured`` has
+    some."""
+    names = ["node", "k", "rep", "n", "small", "component"]
+    done = members.where(F.col("members") <= CELL_MEMBERS).select(F.xxhash64("s").alias("cell"), *names, F.lit(True).alias("home"))
+    large = members.where(F.col("members") > CELL_MEMBERS)
+    if large.isEmpty():
+        return done
+    known = large.join(_distances(measured), (F.col("p.node") == F.col("pivot")) & (F.col("node") == F.col("of")), "left").drop("pivot", "of")
+    known = stored(known, "large-regions")
+    far = _measure(known.where("distance is null").drop("distance"), docs)  # sets far larger than the pivot
+    cells = stored(_windows(known.where("distance is not null").unionByName(far), radius), "windows")
     for seed in range(ROUNDS):
         sizes = cells.groupBy("cell").agg(F.count("*").alias("members"))
         large = sizes.where(F.col("members") > CELL_MEMBERS)
-        before = large.agg(F.sum(F.col("members") * F.col("members").cast("double")).alias("x")).first()["x"]
+        square = lambda f, c: f.agg(F.sum(F.col(c) * F.col(c).cast("double")).alias("x")).first()["x"]
+        before = square(large, "members")
         if before is None:
             break
         finer = stored(_split(cells.join(large.select("cell"), "cell"), docs, radius, seed), "cells")
-        small = cells.join(large.select("cell"), "cell", "left_anti")
-        done = small if done is None else done.union(small)
-        after = finer.groupBy("cell").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * F.col("m").cast("double")).alias("x")).first()["x"]
-        if after > 0.8 * before:  # their members are about as far from each other as from the pivots
+        done = done.union(cells.join(large.select("cell"), "cell", "left_anti"))
+        if square(finer.groupBy("cell").agg(F.count("*").alias("m")), "m") > 0.8 * before:  # as far from each other as from the pivots
             cells = cells.join(large.select("cell"), "cell")
             break
         cells = finer
-    return cells if done is None else done.union(cells)
+    return done.union(cells)
 
 
 def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -269,13 +277,9 @@ def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Open regions: their members aren't in one component yet.
     label = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = label.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_rows"))
-    label = spread_join(label, stored(open_.where("low < high").select("s", "n_rows"), "open-regions"), ["s"], ["node"]).where("node <> p.node")
-    distance = _distances(measured)
-    label = label.join(distance, (F.col("p.node") == F.col("pivot")) & (F.col("node") == F.col("of")), "left").drop("pivot", "of")
-    label = stored(label, "open")
-    # Sets far larger than the pivot weren't measured yet.
-    far = _measure(label.where("distance is null").drop("distance"), docs)
-    cells = _cells(label.where("distance is not null").unionByName(far), docs, radius)
+    open_ = stored(open_.where("low < high").select("s", "n_rows", F.col("n_rows").alias("members")), "open-regions")
+    label = stored(spread_join(label, open_, ["s"], ["node"]).where("node <> p.node"), "open")
+    cells = _cells(label, docs, measured, radius)
     drawn = keys.select(F.col("r1").alias("of"), F.col("k").alias("of_k"), *[f"w{i}" for i in range(SKETCH_WORDS)])
     cells = stored(cells.join(drawn.hint("shuffle_merge"), (F.col("rep") == F.col("of")) & (F.col("k") == F.col("of_k"))).drop("of", "of_k").distinct(), "sketched")
     names = ["node", "k", "rep", "n", "small", "component", "home", *[f"w{i}" for i in range(SKETCH_WORDS)]]
