@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_INF, _NAN = F.lit(float("inf")), F.lit(float("nan"))
+_INF, _NAN = float("inf"), float("nan")
 
 
 def ln(x: Column) -> Column:
     """-inf at 0, NaN below."""
-    return F.when(x > 0, F.ln(x)).when(x == 0, -_INF).when(x.isNotNull(), _NAN)
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(-_INF)).when(x.isNotNull(), F.lit(_NAN))
 
 
 def divide(a: Column, b: Column) -> Column:
     """a / b with infinities, and NaN for 0 / 0."""
-    return F.when(b != 0, F.try_divide(a, b)).when(a > 0, _INF).when(a < 0, -_INF).when(a.isNotNull() & b.isNotNull(), _NAN)
+    return F.when(b != 0, F.try_divide(a, b)).when(a > 0, F.lit(_INF)).when(a < 0, F.lit(-_INF)).when(a.isNotNull() & b.isNotNull(), F.lit(_NAN))
 
 
 def round_half_away(x: Column) -> Column:
@@ -25,7 +25,7 @@ def round_half_away(x: Column) -> Column:
 #: Functions of one number.
 UNARY = {
     "is_nan": F.isnan,
-    "is_infinite": lambda x: F.abs(x) == _INF,
+    "is_infinite": lambda x: F.abs(x) == F.lit(_INF),
     "round": round_half_away,
     "exp": F.exp,
     "exp2": lambda x: F.pow(F.lit(2.0), x),
