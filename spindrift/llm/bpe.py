@@ -13,6 +13,9 @@ import base64
 import codecs
 import gc
 import hashlib
+import re
+import sys
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -189,6 +192,18 @@ class _Pieces(dict):
         return ids
 
 
+def newer_letters() -> str:
+    """The code points that the pattern library's tables have as letters or numbers and the tokenizer library's don't: of
+    those that Python's own tables lack, it is asked about each."""
+    import regex
+    import tiktoken
+
+    unknown = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    single = {bytes([i]): i for i in range(256)}
+    known = tiktoken.Encoding("classes", pat_str=r"[\p{L}\p{N}]", mergeable_ranks=single, special_tokens={})
+    return "".join(c for c in regex.findall(r"[\p{L}\p{N}]", unknown) if not known.encode_ordinary(c))
+
+
 class BytePairCoder:
     """Encodes whole texts by a pretokenising pattern and a rank file, and decodes ids in a stream."""
 
@@ -196,7 +211,10 @@ class BytePairCoder:
         import regex
 
         ranks = load_ranks(path)
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        newer = newer_letters()
+        self.newer = regex.compile("[" + newer + "]") if newer else None
+        self.high = re.compile(f"[{min(newer, default=chr(sys.maxunicode))}-{chr(sys.maxunicode)}]")
         self.pieces = _Pieces(MergeTransducer(ranks))
         size = max(ranks.values()) + 1
         self.table, self.names = [b""] * size, [str(i) for i in range(size)]
@@ -206,8 +224,15 @@ class BytePairCoder:
         gc.freeze()
         gc.set_threshold(1_000_000, 100, 100)
 
+    def split(self, text: str) -> list[str]:
+        """The pattern's matches. A code point that only the pattern library's tables know is matched as the sign that it is
+        to the tokenizer's."""
+        if self.newer is None or not self.high.search(text) or not self.newer.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(self.newer.sub("\u2603", text))]
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
     def decode_stream(self, ids: list[int], chunk: int = 4096):
         """Yields (bytes, text) per chunk of ids; a character cut between chunks comes out whole with the later one."""
@@ -255,7 +280,11 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes every whole text and digests both sides; ids stay in the task that made them."""
+    """Encodes and decodes every whole text and digests both sides; ids stay in the task that made them.
+
+    Null and empty texts have no ids; every row gives its own, equal rows and null doc_ids too; an empty table gives none;
+    very long texts are encoded whole; columns other than doc_id and text aren't read.
+    """
 
     def run(batches):
         c = coder(path, pattern)

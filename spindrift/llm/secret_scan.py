@@ -24,6 +24,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.ASCII | re.DOTALL)
 _HEADER = re.compile(r"[A-Za-z0-9-]+:", re.ASCII)
+#: Runs that may be a key: 24 bytes are fewer than any key with its encoding takes.
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 #: Line ends as such or escaped, and characters of base64, of which JSON can escape some.
 _EOL = r"[ \t]*(?:\\*(?:\r\n?|\n)|(?:\\+r)?\\+n)[ \t]*"
@@ -296,7 +297,11 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """One row per document with counts per pattern kind, a digest of their spans, and all spans as text."""
+    """One row per document with counts per pattern kind, a digest of their spans, and all spans as text.
+
+    Null and empty texts have no spans; every row gives its own, equal rows and null doc_ids too; an empty table gives none;
+    very long texts are scanned whole; columns other than doc_id and text aren't read.
+    """
 
     def run(batches):
         for batch in batches:

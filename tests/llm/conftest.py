@@ -30,7 +30,7 @@ def odd(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     from pyspark.sql import functions as F
 
-    for name in ("pos", "gram", "ids", "n_words", "key", "line", "hash"):
+    for name in ("pos", "gram", "ids", "n_words", "key", "line", "hash", "_uid", "u1", "r1", "_t", "_row", "source_row", "range", "guest", "next", "sig", "h", "removed"):
         frame = frame.withColumn(name, F.lit("clash"))
     return frame
 

@@ -140,6 +140,13 @@ def test_bpe_random_bytes_and_streams():
         whole = [machine.ranks[piece]] if piece in machine.ranks else [machine.ranks[t] for t in bpe.merge_by_rank(piece, machine.ranks)]
         assert machine.encode(piece) == whole
     coder = bpe.coder(path, public_tokenizers.PATTERN)
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    for c in [*map(chr, [0x558, 0x10EE7, 0x16EA7, 0x18DA7, 0x323B0, 0x11DE3, 0x1D7CE, 0x10D4A]), *map(chr, range(0xA0, 0x20000, 37))]:
+        if not 0xD800 <= ord(c) <= 0xDFFF:
+            for text in (f"a{c}b {c}{c} 1{c}2", f" {c}. {c}"):
+                assert coder.encode(text) == library.encode_ordinary(text), hex(ord(c))
     ids = coder.encode("漢字 und Straße \U0001f600" * 20)
     for chunk in (1, 2, 7, 4096):
         assert "".join(t for _, t in coder.decode_stream(ids, chunk)) == "漢字 und Straße \U0001f600" * 20
