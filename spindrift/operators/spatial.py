@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .search import pair_with
+
 AXES = ("x", "y", "z")
 
 
@@ -25,14 +30,18 @@ def radius_join(points: DataFrame, queries: DataFrame, radius: float, key: str =
     return pairs.withColumn("d2", squared()).where(F.col("d2") <= radius * radius).select(query, key, "d2")
 
 
-def knn_join(points: DataFrame, queries: DataFrame, k: int, start: float, key: str = "id", query: str = "query_id", rounds: int = 40) -> DataFrame:
-    """Exact k nearest points per query: the radius doubles for the queries that have fewer than k points within it."""
+def knn_join(points: DataFrame, queries: DataFrame, k: int, start: float, key: str = "id", query: str = "query_id", rounds: int = 12) -> DataFrame:
+    """Exact k nearest points per query: the radius doubles for the queries that have fewer than k points within it; those
+    that are left after ``rounds`` of it, or have a coordinate that is no number, meet all points. Distances that are no
+    number come last."""
     n = points.count()
-    want, left, found, radius = min(k, n), queries, None, start
-    for _ in range(rounds):
-        near = radius_join(points, left, radius, key, query)
-        rank = F.row_number().over(Window.partitionBy(query).orderBy("d2", key))
-        near = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    columns = [query, *[F.col(a).alias(f"q_{a}") for a in AXES]]
+    rank = F.row_number().over(Window.partitionBy(query).orderBy("d2", key))
+    finite = reduce(lambda x, y: x & y, [~F.isnan(F.col(a).cast("double")) & F.col(a).isNotNull() for a in AXES])
+    want, left, found, radius = min(k, n), queries.where(finite), None, start
+    odd = queries.where(~F.coalesce(finite, F.lit(False)))
+    for i in range(rounds):
+        near = radius_join(points, left, radius, key, query).withColumn("rank", rank).where(F.col("rank") <= k)
         full = near.groupBy(query).count().where(F.col("count") >= want).select(query)
         done = near.join(full, query, "left_semi")
         found = done if found is None else found.unionByName(done)
@@ -40,6 +49,13 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, start: float, key: s
         if left.isEmpty():
             break
         radius *= 2
+        if i % 4 == 3:
+            left, found = cut(left), cut(found)
+    else:
+        odd = odd.unionByName(left)
+    if not odd.isEmpty():
+        every = pair_with(points.select(key, *AXES), odd.select(*columns)).select(query, key, squared().alias("d2"))
+        found = found.unionByName(every.withColumn("rank", rank).where(F.col("rank") <= k).select(*found.columns))
     return found
 
 

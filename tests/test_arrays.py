@@ -77,3 +77,19 @@ def test_recall_of_sign_prints_and_of_the_statistical_cascade(spark):
         some = {r["vec_id"] for r in search.cascade(s, lit, 480, [(0, 2), (2, 4), (6, 10)], statistical=True).collect()}
         assert some <= exact and len(some) >= 0.9 * len(exact)
     assert hits >= 0.9 * total
+
+
+def test_nearest_points_of_far_and_undefined_queries(spark):
+    from spindrift.operators import spatial
+
+    rnd = np.random.default_rng(8)
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rnd.random((30, 3)))], "id bigint, x double, y double, z double")
+    asked = [(1, 0.5, 0.5, 0.5), (2, 1e6, 0.0, 0.0), (3, float("nan"), 0.0, 0.0)]
+    queries = spark.createDataFrame(asked, "query_id bigint, x double, y double, z double")
+    found = {}
+    for r in spatial.knn_join(points, queries, 3, 0.1, rounds=4).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["id"])
+    x = {r["id"]: np.asarray([r["x"], r["y"], r["z"]]) for r in points.collect()}
+    for q, *at in asked[:2]:
+        assert found[q] == sorted(x, key=lambda i: (((x[i] - at) ** 2).sum(), i))[:3]
+    assert found[3] == [0, 1, 2]
