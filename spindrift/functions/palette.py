@@ -52,9 +52,9 @@ def build_palette(codes: DataFrame, code: str, k: int, rounds: int = 3, sample_r
     """A palette of up to ``k`` (256 at most) entries: k-means by L1 from farthest-first seeds, means cut to whole numbers,
     fitted on a sample of ``sample_rows`` rows (least hashes), so what reaches the driver is bounded."""
     rows = codes.where(F.col(code).isNotNull()).select(code).orderBy(F.xxhash64(code), code).limit(sample_rows).collect()
-    x = np.asarray([r[0] for r in rows], np.int64).reshape(len(rows), -1)
-    if not len(x):
+    if not rows:
         return []
+    x = np.asarray([r[0] for r in rows], np.int64)
     k, chosen = min(k, 256, len(x)), [0]
     gap = np.abs(x - x[0]).sum(1)
     while len(chosen) < k:

@@ -62,7 +62,7 @@ def calibrate(distances: DataFrame, d: str = "d", sigmas: float = 3.0) -> DataFr
 def cascade(base: DataFrame, query: Column, threshold: int, strokes: list[tuple[int, int]], statistical: bool = False, key: str = "vec_id", words: str = "words") -> DataFrame:
     """Hamming search on arrays of words in strokes (first word, words). Exactly, a row goes once its partial distance
     exceeds the threshold, a true lower bound. Statistically, once the partial distance scaled to the whole print exceeds
-    threshold + 3 sigma, which can lose rows."""
+    the threshold by three of that estimate's standard deviations, which can lose a few rows."""
     whole = sum(n for _, n in strokes)
     frame, so_far, seen = base, F.lit(0).cast("bigint"), 0
     for first, n in strokes:
@@ -70,7 +70,7 @@ def cascade(base: DataFrame, query: Column, threshold: int, strokes: list[tuple[
         seen += n
         frame = frame.withColumn("_d", so_far + part)
         if statistical and seen < whole:
-            sigma = (64 * whole / 4) ** 0.5
+            sigma = (64 * seen / 4) ** 0.5 * whole / seen
             frame = frame.where(F.col("_d") * whole / seen <= threshold + 3 * sigma)
         else:
             frame = frame.where(F.col("_d") <= threshold)
