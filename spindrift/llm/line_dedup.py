@@ -145,7 +145,8 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """h and 16 words of 64 bits: which trigrams a line holds, by hash."""
+    """h, 16 words of 64 bits: which trigrams a line holds, by hash; and 2 words: which characters stand in it an odd number
+    of times, by code modulo 128."""
 
     def run(batches):
         for batch in batches:
@@ -153,11 +154,12 @@ def _sketches(texts: DataFrame) -> DataFrame:
             for line in batch.column(1).to_pylist():
                 c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
                 g = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
-                rows.append(sketch((g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)))
-            columns = list(zip(*rows)) if rows else [[]] * SKETCH_WORDS
+                odd = np.bincount((c & np.uint64(127)).astype(np.int64), minlength=128) & 1
+                rows.append(sketch((g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) + np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist())
+            columns = list(zip(*rows)) if rows else [[]] * (SKETCH_WORDS + 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names)
 
-    names = ["h", *(f"w{i}" for i in range(SKETCH_WORDS))]
+    names = ["h", *(f"w{i}" for i in range(SKETCH_WORDS + 2))]
     return texts.select("h", "line").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
@@ -205,13 +207,15 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     label = met.join(found, F.col("h") == F.col("node"), "left").select("key", "h", "own", F.coalesce("component", "h").alias("component"))
     label = label.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo < hi")
     label = stored(label.drop("lo", "hi"), "open-lines")
-    # An edit takes three trigrams of a line at most: pairs whose sketches differ by more aren't handed on.
+    # An edit takes three trigrams of a line at most, and changes the parity of two characters: pairs whose sketches differ
+    # by more aren't handed on.
     words = _sketches(texts.join(label.select(F.col("h").alias("of")).distinct(), F.col("h") == F.col("of"), "left_semi"))
     label = stored(label.join(words, "h"), "sketched-lines")
-    side = lambda h, c, w: [F.col("h").alias(h), F.col("component").alias(c), *[F.col(f"w{i}").alias(f"{w}{i}") for i in range(SKETCH_WORDS)]]
+    side = lambda h, c, w: [F.col("h").alias(h), F.col("component").alias(c), *[F.col(f"w{i}").alias(f"{w}{i}") for i in range(SKETCH_WORDS + 2)]]
     left = label.where("own").select("key", *side("a", "ca", "x"))
     right = label.select("key", *side("b", "cb", "y"), F.col("own").alias("own_b"))
-    alike = (sketch_lacks("x", "y") <= 3 * tau) & (sketch_lacks("y", "x") <= 3 * tau)
+    odd = sum(F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in (SKETCH_WORDS, SKETCH_WORDS + 1))
+    alike = (odd <= 2 * tau) & (sketch_lacks("x", "y") <= 3 * tau) & (sketch_lacks("y", "x") <= 3 * tau)
     rest = left.join(right.hint("shuffle_merge"), "key").where((F.col("ca") != F.col("cb")) & (~F.col("own_b") | (F.col("a") < F.col("b"))) & alike)
     rest = rest.select("a", "b").distinct().join(links.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
     rest = stored(rest, "line-rest")
@@ -226,7 +230,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
 def repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """u1, u2, removed: the line numbers (from 0) of each document that are not the first of their class."""
     lines = _lines(docs).select("doc_id", "u1", "u2", "line_no", "h", _second(F.col("line")).alias("h2"))
-    classes = line_classes(docs, tau, min_chars).select(F.col("h").alias("of"), F.col("h2").alias("of2"), "component")
+    classes = stored(line_classes(docs, tau, min_chars), "line-classes").select(F.col("h").alias("of"), F.col("h2").alias("of2"), "component")
     joined = lines.join(classes, (F.col("h") == F.col("of")) & (F.col("h2") == F.col("of2")), "left")
     # A line with near copies goes by its component, any other by its own 128 bits.
     placed = joined.select("doc_id", "u1", "u2", "line_no", F.coalesce("component", "h").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), F.col("component").isNull().alias("alone"))
