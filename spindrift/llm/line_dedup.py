@@ -140,8 +140,8 @@ def _keys(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
 
 def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """h, line of the wanted hashes."""
-    some = lines.select("h", "line").join(wanted.select(F.col("h").alias("of")).distinct().hint("shuffle_merge"), F.col("h") == F.col("of"), "left_semi")
-    return some.groupBy("h").agg(F.first("line").alias("line"))
+    once = lines.groupBy("h").agg(F.first("line").alias("line"))  # a task hands a line on once, however common
+    return once.join(wanted.select(F.col("h").alias("of")).distinct().hint("shuffle_merge"), F.col("h") == F.col("of"), "left_semi")
 
 
 def _sketches(texts: DataFrame) -> DataFrame:

@@ -144,22 +144,23 @@ def class_distance(classes: Column, class_q: Column) -> Column:
 def word_distance(lowered: Column, marks: Column, marks_q: Column, other_q: Column) -> Column:
     """The words' hashes, their lowest bit cleared, are sorted together with the marks: each mark then ends the run of its
     word, whose length is the word's count. Bins that the document lacks add half of their share."""
-    n = F.size(lowered)
     hashes = F.transform(lowered, lambda w: F.xxhash64(w).bitwiseAND(F.lit(~1)))
 
     def of_sorted(s: Column) -> Column:
+        n = F.size(s) - F.size(marks)
+        last = lambda starts, r: F.coalesce(F.get(starts, r + 1), F.size(s)) - 1
+        part = lambda c, q: F.when(c > 0, _divergence(c / n, q) - q / 2).otherwise(0.0)
+
         def of_starts(starts: Column) -> Column:
-            last = lambda r: F.coalesce(F.get(starts, r + 1), F.size(s)) - 1
-            marked = F.transform(starts, lambda a, r: F.when(F.get(s, last(r)).bitwiseAND(F.lit(1)) == 1, last(r) - a))
+            marked = F.transform(starts, lambda a, r: F.when(F.get(s, last(starts, r)).bitwiseAND(F.lit(1)) == 1, last(starts, r) - a))
             return let(F.filter(marked, lambda c: c.isNotNull()), of_counts)
 
-        return let(run_starts(s, lambda x: x.bitwiseOR(F.lit(1))), of_starts)
+        def of_counts(found: Column) -> Column:
+            known = F.aggregate(F.zip_with(found, marks_q, part), F.lit(0.0), lambda a, x: a + x)
+            rest = n - F.aggregate(found, F.lit(0), lambda a, x: a + x)
+            return let(rest, lambda x: F.sqrt(F.greatest(F.lit(0.0), 0.5 + known + part(x, other_q))))
 
-    def of_counts(found: Column) -> Column:
-        part = lambda c, q: F.when(c > 0, _divergence(c / n, q) - q / 2).otherwise(0.0)
-        known = F.aggregate(F.zip_with(found, marks_q, part), F.lit(0.0), lambda a, x: a + x)
-        rest = n - F.aggregate(found, F.lit(0), lambda a, x: a + x)
-        return F.sqrt(F.greatest(F.lit(0.0), 0.5 + known + part(rest, other_q)))
+        return let(run_starts(s, lambda x: x.bitwiseOR(F.lit(1))), of_starts)
 
     return let(F.sort_array(F.concat(hashes, marks)), of_sorted)
 
