@@ -53,3 +53,18 @@ o as (select c.doc_id, n, length(r0) as wc, length(r0) - length(regexp_replace(r
 select doc_id, n::bigint as n_words, wc::bigint as word_chars, sy::bigint as n_symbols, dl::bigint as n_dup_lines, rw::bigint as n_repeat_words, (n < 20 or 100 * rw > 30 * n) as base_failed,
  (not (n < 20 or 100 * rw > 30 * n) and (n < 50 or (jc <= 0.30 and jw <= 0.43))) as kept, round(jc, 6)::double as char_distance, round(jw, 6)::double as word_distance from o
 """
+
+_PARTS = "array_to_string(u[{}:{}], '')"
+
+FILL_MIDDLE = rf"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || doc_id) as h from documents),
+h as (select *, len(u) as n, ('0x' || h[1:8])::bigint % (len(u) + 1) as a, ('0x' || h[9:16])::bigint % (len(u) + 1) as b, ('0x' || h[17:24])::bigint % 100 as c, ('0x' || h[25:32])::bigint % 100 as e from d),
+p as (select doc_id, n, text, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or c >= 90 then 'plain' when e < 20 then 'spm' else 'psm' end as form,
+ {_PARTS.format(1, "least(a, b)")} as x, {_PARTS.format("least(a, b) + 1", "greatest(a, b)")} as m, {_PARTS.format("greatest(a, b) + 1", "n")} as s from h),
+o as (select *, case form when 'plain' then text when 'psm' then '<P>' || x || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || x || '<M>' || m end as out from p),
+r as (select *, case form when 'plain' then out
+ when 'psm' then out[4:instr(out, '<S>') - 1] || out[instr(out, '<M>') + 3:] || out[instr(out, '<S>') + 3:instr(out, '<M>') - 1]
+ else out[instr(out, '<P>') + 3:instr(out, '<M>') - 1] || out[instr(out, '<M>') + 3:] || out[4:instr(out, '<P>') - 1] end as again from o)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(x) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
+ sha256(out) as output_sha256, sha256(again) as restored_sha256 from r
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, license_scan, line_dedup, oracle, order_minhash, packing, quality, repeats, secret_scan, token_files
+from . import bpe, fill_middle, jaccard_join, license_scan, line_dedup, oracle, order_minhash, packing, quality, repeats, secret_scan, token_files
 from .common import read, shared_dir, text_of
 
 
@@ -57,6 +57,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir)).drop("kept")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(read(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_order_minhash": op2_order_minhash,
@@ -68,10 +72,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_repeats": op10_repeats,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_divergence": oracle.DIVERGENCE,
     "op7_jaccard_join": oracle.JACCARD,
     "op10_repeats": oracle.REPEATS,
+    "op11_fill_middle": oracle.FILL_MIDDLE,
 }
