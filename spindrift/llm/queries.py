@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_middle, jaccard_join, license_scan, line_dedup, oracle, order_minhash, packing, quality, repeats, secret_scan, token_files
+from . import bpe, fill_middle, hard_negatives, jaccard_join, license_scan, line_dedup, oracle, order_minhash, packing, quality, repeats, secret_scan, token_files
 from .common import read, shared_dir, text_of
 
 
@@ -61,6 +61,13 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(read(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_order_minhash": op2_order_minhash,
@@ -73,6 +80,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_repeats": op10_repeats,
     "op11_fill_middle": op11_fill_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +88,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_jaccard_join": oracle.JACCARD,
     "op10_repeats": oracle.REPEATS,
     "op11_fill_middle": oracle.FILL_MIDDLE,
+    "op13_hard_negatives": oracle.HARD_NEGATIVES,
 }
