@@ -78,3 +78,5 @@ n as (select p.*, s.other as negative_id, s.score as negative_score, row_number(
  from p join s on s.anchor_id = p.anchor_id where not same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
 select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
 """
+
+MINHASH = f"select *, doc_id = component_id as kept from ({JACCARD.replace('80 *', '85 *')})"

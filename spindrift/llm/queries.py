@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_middle, hard_negatives, jaccard_join, license_scan, line_dedup, oracle, order_minhash, packing, quality, repeats, secret_scan, token_files
+from . import bpe, fill_middle, hard_negatives, jaccard_join, license_scan, line_dedup, oracle, order_minhash, packing, quality, repeats, secret_scan, signature_join, token_files
 from .common import read, shared_dir, text_of
 
 
@@ -61,6 +61,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(read(spark, sf_dir))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.near_duplicates(read(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh row has the next label."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -80,6 +84,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_repeats": op10_repeats,
     "op11_fill_middle": op11_fill_middle,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -88,5 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_jaccard_join": oracle.JACCARD,
     "op10_repeats": oracle.REPEATS,
     "op11_fill_middle": oracle.FILL_MIDDLE,
+    "op12_minhash_dedup": oracle.MINHASH,
     "op13_hard_negatives": oracle.HARD_NEGATIVES,
 }
