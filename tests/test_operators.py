@@ -257,3 +257,63 @@ def test_words_of_a_vocabulary(spark):
     assert {tuple(r) for r in words.tag_vocabulary(tagged, "tag").collect()} == {("x", "a", 6), ("x", "b", 3), ("y", "a", 10)}
 
 
+
+
+def test_order_statistic(spark):
+    from spindrift.operators import norms
+
+    x = [3.0, -1.5, 3.0, 0.1, 7.25, 3.0, -1e9, 2.5e8, 0.1]
+    frame = spark.createDataFrame([(v,) for v in [*x, None, float("nan")]], "x double")
+    assert [norms.order_statistic(frame, "x", i, 4) for i in range(len(x))] == sorted(x)
+    assert norms.order_statistic(frame, "x", len(x)) is None and norms.order_statistic(frame.where("x = 4"), "x", 0) is None
+
+
+def test_norm_bounds_read_few_rows(spark):
+    """Rows of norms that fall fast: exact answers from a small part of the rows; nulls, ties and k beyond the table."""
+    from spindrift.operators import norms
+
+    rnd = np.random.default_rng(2)
+    v = np.round(rnd.normal(size=(600, 5)) * np.exp(-np.arange(600) / 60)[:, None] * 1000)
+    v[10] = v[11]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [0.0] * 5), (902, [float("inf")] + [0.0] * 4)]
+    frame = spark.createDataFrame(rows, "id bigint, v array<double>")
+    index = norms.norm_index(frame, "id", "v")
+    queries = frame.where("id in (0, 10, 300, 901)").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    base = {i: np.array(x) for i, x in rows[:600]} | {901: np.zeros(5)}
+    for k in (3, 1000):
+        best, reads = norms.max_product(index, queries, k)
+        found = {}
+        for r in best.collect():
+            found.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["id"]))
+        for q in (0, 10, 300, 901):
+            want = sorted((-float(x @ base[q]), i) for i, x in base.items())[:k]
+            assert [(a, b) for _, a, b in sorted(found[q])] == want
+        read = {r["query_id"]: r["rows_read"] for r in reads.collect()}
+        assert all(read[q] <= (150 if k == 3 else 601) for q in (0, 10, 300)) and read[901] == 601
+    best, reads = norms.max_product(norms.norm_index(frame.where("id < 0"), "id", "v"), queries, 3)
+    assert best.count() == 0 and reads.count() == 0
+
+
+def test_hamming_rings(spark):
+    from spindrift.operators import norms
+
+    rnd = np.random.default_rng(8)
+    rows = [(i, [int(x) - 2**63 for x in rnd.integers(0, 2**64, 4, dtype=np.uint64)]) for i in range(200)] + [(500, [0] * 4), (501, [-1] * 4), (502, None)]
+    frame = spark.createDataFrame(rows, "id bigint, words array<bigint>")
+    queries = frame.where("id in (3, 500, 501)").select(F.col("id").alias("query_id"), F.col("words").alias("q"))
+    best, reads = norms.hamming_candidates(norms.ones_index(frame, "id", "words"), queries, 5)
+    found = sorted((r["query_id"], r["rank"], r["d"], r["id"]) for r in best.collect())
+    count = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b))
+    at = {i: w for i, w in rows if w}
+    want = [(q, n + 1, *x) for q in (3, 500, 501) for n, x in enumerate(sorted((count(w, at[q]), i) for i, w in at.items())[:5])]
+    assert found == want
+    assert {r["query_id"]: r["rows_read"] for r in reads.collect()}[3] <= 202
+
+
+def test_approximate_norms(spark):
+    from spindrift.operators import norms
+
+    frame = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, []), (3, None), (4, [-1e6, 1.0])], "id bigint, v array<double>")
+    found = {r["id"]: r["n"] for r in frame.select("id", norms.approx_norm(F.col("v")).alias("n")).collect()}
+    assert abs(found[0] - 5) < 0.05 and found[1] == found[2] == 0 and found[3] is None and found[4] == pytest.approx(1e6)
+    assert [r["id"] for r in norms.top_by_norm(frame, "id", "v", 2).collect()] == [4, 0]
