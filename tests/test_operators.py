@@ -317,3 +317,59 @@ def test_approximate_norms(spark):
     found = {r["id"]: r["n"] for r in frame.select("id", norms.approx_norm(F.col("v")).alias("n")).collect()}
     assert abs(found[0] - 5) < 0.05 and found[1] == found[2] == 0 and found[3] is None and found[4] == pytest.approx(1e6)
     assert [r["id"] for r in norms.top_by_norm(frame, "id", "v", 2).collect()] == [4, 0]
+
+
+def _prints_of(rnd, centers, n, noise, words=4):
+    """n prints around centres, with a few bits flipped."""
+    at = [[int(x) for x in rnd.integers(0, 2**63, words)] for _ in range(centers)]
+    rows = []
+    for i in range(n):
+        w = list(at[i % centers])
+        for b in rnd.integers(0, 64 * words, rnd.integers(0, noise + 1)):
+            w[b // 64] ^= 1 << int(b % 64)
+        rows.append((i, [x - 2**64 if x >= 2**63 else x for x in w]))
+    return rows
+
+
+@pytest.mark.parametrize("coded", [False, True])
+def test_sieve_of_many_words(spark, monkeypatch, coded):
+    """Equal to brute force, and clusters are left out unseen; leaves in several parts; k beyond the table; a lone row."""
+    from spindrift.operators import descent, trees
+
+    monkeypatch.setattr(descent, "PART_ROWS", 10)
+    rows = _prints_of(np.random.default_rng(5), 12, 480, 6)
+    frame = spark.createDataFrame([*rows, (900, None)], "id bigint, words array<bigint>")
+    tree = trees.build(frame, "id", "words", depth=6, least=10, distance=V.hamming_words)
+    shelf = descent.shelves(tree, coded)
+    queries = frame.where("id in (0, 7, 100, 333)").select(F.col("id").alias("query_id"), F.col("words").alias("q"))
+    apart = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b))
+    at = dict(rows)
+    for k in (5, 1000):
+        found = descent.sieve(tree, queries, k, shelf)
+        got = sorted((r["query_id"], r["rank"], r["d"], r["id"]) for r in found.hits.collect())
+        assert got == [(q, i + 1, *x) for q in (0, 7, 100, 333) for i, x in enumerate(sorted((apart(w, at[q]), i) for i, w in rows)[:k])]
+        stats = found.stats.collect()
+        assert len(stats) == 4 and all(r["rows"] >= min(k, 480) for r in stats)
+        if k == 5:
+            nodes = tree.clusters.count()
+            assert all(r["rows"] <= 160 and r["nodes"] < nodes and r["pruned"] > 0 for r in stats)
+    near = descent.within(tree, queries, 9, shelf)
+    assert sorted((r["query_id"], r["id"], r["d"]) for r in near.hits.collect()) == sorted((q, i, apart(w, at[q])) for q in (0, 7, 100, 333) for i, w in rows if apart(w, at[q]) <= 9)
+    both = descent.within_cascade(tree, queries, 9, 4, 3, shelf)
+    hits = both.hits.collect()
+    assert all(r["d"] <= 4 and r["rank"] <= 3 for r in hits) and {r["band"] for r in hits} <= {"Foveal", "Near", "Good", "Weak"}
+    for r in both.stats.collect():
+        assert r["candidates"] == sum(apart(w, at[r["query_id"]]) <= 9 for _, w in rows) and r["survivors"] == sum(apart(w, at[r["query_id"]]) <= 4 for _, w in rows)
+
+
+def test_trees_of_any_metric(spark):
+    """A tree over arrays of numbers with the sum of absolute differences."""
+    from spindrift.operators import descent, trees
+
+    rnd = np.random.default_rng(6)
+    x = np.round(rnd.normal(size=(5, 3))[rnd.integers(5, size=200)] * 50 + rnd.normal(size=(200, 3)))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, v array<double>")
+    tree = trees.build(frame, "id", "v", depth=4, least=10, distance=V.l1)
+    q = frame.where("id < 3").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    got = sorted((r["query_id"], r["rank"], r["d"], r["id"]) for r in descent.sieve(tree, q, 4).hits.collect())
+    assert got == [(i, n + 1, *t) for i in range(3) for n, t in enumerate(sorted((float(abs(x[j] - x[i]).sum()), j) for j in range(200))[:4])]
