@@ -8,9 +8,11 @@
    first COORDINATES - MATCHES + 1 pairs: these are the prefix, and the others, with the longest lists, are skipped when
    lists are merged. What the merge finds is probed in whole signatures: collisions are counted in all coordinates.
 4. Each list's smallest set is its pivot. Members meet their pivots first, which is linear in the lists' lengths; pairs with
-   MATCHES collisions are confirmed on the full sets, and confirmed links make components.
+   MATCHES collisions are confirmed on the full sets, and confirmed links make components. Members of long lists that are
+   still apart then meet a few more pivots.
 5. Lists whose members aren't in one component yet are merged in full: members of different components meet, and those with
-   MATCHES collisions that the sketches of their sets don't rule out are confirmed too.
+   MATCHES collisions that the sketches of their sets don't rule out are confirmed too. Long lists, whose members often
+   share a passage rather than a text, are merged by their members' rarest shingles, which loses no link.
 
 The chance that a link of similarity 0.85 has fewer than 29 collisions of 64 is 3e-14, so all links are found but for that;
 no list is capped. A component's documents are linked by confirmed links only.
@@ -26,7 +28,7 @@ from numpy.typing import ArrayLike
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SKETCH_WORDS, mix64, sketch, spread_join, stored
+from .common import SKETCH_WORDS, mix64, sketch, sketch_lacks, spread_join, stored
 from .graph import connected
 from .jaccard_join import _second_key, _texts, set_key, shingle_set, similarities
 
@@ -50,19 +52,24 @@ def signature(s: ArrayLike) -> ArrayLike:
     return (value >> np.uint64(32)).astype(np.uint32)
 
 
+_WORDS = [f"w{i}" for i in range(SKETCH_WORDS)]
+
+
 def sets(docs: DataFrame) -> DataFrame:
     """doc_id, r1, r2 (a row's 128 bits), n (size of the shingle set), k, k2 (the set's 128 bits), sig (the signature, two
-    coordinates in one number) and sketch."""
+    coordinates in one number), bits (the last bit of each coordinate) and the set's sketch w0, w1, .."""
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(t) for t in batch.column(3).to_pylist()]
-            numbers = [[len(s) for s in found], [set_key(s) for s in found], [_second_key(s) for s in found]]
-            lists = [[signature(s).view("<i8").tolist() for s in found], [sketch(s) for s in found]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.int64()) for x in numbers), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names)
+            drawn = [signature(s) for s in found]
+            bits = [int(np.packbits((x & 1).astype(np.uint8), bitorder="little").view("<i8")[0]) for x in drawn]
+            numbers = [[len(s) for s in found], [set_key(s) for s in found], [_second_key(s) for s in found], bits, *(list(zip(*map(sketch, found))) if found else [[]] * SKETCH_WORDS)]
+            sig = pa.array([x.view("<i8").tolist() for x in drawn], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.int64()) for x in numbers), sig], names)
 
-    names = ["doc_id", "r1", "r2", "n", "k", "k2", "sig", "sketch"]
-    return _texts(docs).select("doc_id", "r1", "r2", "text").mapInArrow(run, ", ".join(f"{n} {'array<bigint>' if n in ('sig', 'sketch') else 'bigint'}" for n in names))
+    names = ["doc_id", "r1", "r2", "n", "k", "k2", "bits", *_WORDS, "sig"]
+    return _texts(docs).select("doc_id", "r1", "r2", "text").mapInArrow(run, ", ".join(f"{n} {'array<bigint>' if n == 'sig' else 'bigint'}" for n in names))
 
 
 def _total(parts: list[Column]) -> Column:
@@ -71,22 +78,18 @@ def _total(parts: list[Column]) -> Column:
 
 def collisions(a: str, b: str) -> Column:
     """In how many coordinates two signatures agree."""
-    both = [F.get(a, i).bitwiseXOR(F.get(b, i)) for i in range(COORDINATES // 2)]
-    return _total([F.when(x.bitwiseAND(F.lit(0xFFFFFFFF)) == 0, 1).otherwise(0) + F.when(F.shiftrightunsigned(x, 32) == 0, 1).otherwise(0) for x in both])
-
-
-def _lacks(a: str, b: str) -> Column:
-    """How many bits of one sketch the other lacks: at most the members that it lacks."""
-    return _total([F.bit_count(F.get(a, i).bitwiseAND(F.bitwise_not(F.get(b, i)))) for i in range(SKETCH_WORDS)])
+    both = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    one = lambda x: F.when(x.bitwiseAND(F.lit(0xFFFFFFFF)) == 0, 1).otherwise(0) + F.when(F.shiftrightunsigned(x, 32) == 0, 1).otherwise(0)
+    return F.aggregate(both, F.lit(0), lambda n, x: n + one(x))
 
 
 def alike(percent: int) -> Column:
-    """Whether nodes a and b (columns a_n, a_sig, a_sketch, b_n, ..) may be linked: by their sizes, by the collisions of
-    their signatures, and by their sketches, as linked sets have so many members in common."""
+    """Whether nodes a and b (columns a_n, a_bits, a_w0, .., b_n, ..) may be linked, by what is cheap to tell: by their
+    sizes, by their sketches, as linked sets have so many members in common, and by the bits of their coordinates."""
     common = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
     sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    fits = (_lacks("a_sketch", "b_sketch") <= F.col("a_n") - common) & (_lacks("b_sketch", "a_sketch") <= F.col("b_n") - common)
-    return sizes & (collisions("a_sig", "b_sig") >= MATCHES) & fits
+    fits = (sketch_lacks("a_w", "b_w") <= F.col("a_n") - common) & (sketch_lacks("b_w", "a_w") <= F.col("b_n") - common)
+    return sizes & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= COORDINATES - MATCHES) & fits
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def lists(nodes: DataFrame) -> DataFrame:
     return shared.withColumn("from_end", from_end).where(F.col("from_end") >= MATCHES - 1).select("s", "node")
 
 
-_OF_NODE = ["node", "k", "rep", "n", "sig", "sketch"]
+_OF_NODE = ["node", "k", "rep", "n", "sig", "bits", *_WORDS]
 
 
 def _side(frame: DataFrame, side: str, more: list[str] = ()) -> DataFrame:
@@ -114,33 +117,96 @@ def _side(frame: DataFrame, side: str, more: list[str] = ()) -> DataFrame:
 
 
 def _as_pairs(frame: DataFrame) -> DataFrame:
+    """The pairs with MATCHES collisions, as ``similarities`` takes them."""
+    frame = stored(frame.select(*[f"{side}_{c}" for side in "ab" for c in ("node", "k", "rep", "sig")]), "met").where(collisions("a_sig", "b_sig") >= MATCHES)
     names = (("node", ""), ("k", "k"), ("rep", "r"))
     return frame.select(*[F.col(f"{side}_{c}").alias(f"{new}{side}" if new else side) for side in "ab" for c, new in names])
 
 
-def with_pivots(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's pivot and a member, as ``similarities`` takes them, that may be linked."""
-    n = members.join(nodes.select("node", "n"), "node")
-    pivots = n.groupBy("s").agg(F.min(F.struct("n", "node")).alias("p"), F.count("*").alias("n_rows"))
-    pivots = stored(pivots.select("s", F.col("p.node").alias("pivot"), "n_rows"), "pivots")
-    pairs = stored(spread_join(members, pivots, ["s"], ["node"]).where("node <> pivot").select("pivot", "node").distinct(), "pivot-pairs")
+def _met(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (pivot, node; distinct) that may be linked, as ``similarities`` takes them."""
+    pairs = stored(pairs, "pivot-pairs")
     hubs = pairs.groupBy("pivot").agg(F.count("*").alias("n_rows"))
     hubs = stored(hubs.join(_side(nodes, "a"), F.col("pivot") == F.col("a_node")), "hubs")
     met = spread_join(pairs.join(_side(nodes, "b"), F.col("node") == F.col("b_node")), hubs, ["pivot"], ["b_node"])
     return _as_pairs(met.where(alike(percent)))
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a list that may be linked and aren't in one component, as ``similarities`` takes them."""
+def with_pivots(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's pivot, its smallest set, and a member."""
+    n = members.join(nodes.select("node", "n"), "node")
+    pivots = n.groupBy("s").agg(F.min(F.struct("n", "node")).alias("p"), F.count("*").alias("n_rows"))
+    pivots = stored(pivots.select("s", F.col("p.node").alias("pivot"), "n_rows"), "pivots")
+    return _met(spread_join(members, pivots, ["s"], ["node"]).where("node <> pivot").select("pivot", "node").distinct(), nodes, percent)
+
+
+def open_lists(members: DataFrame, found: DataFrame) -> DataFrame:
+    """s, node, component, length (of the list): lists whose members aren't in one component."""
     label = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = stored(label, "labelled")
     per_list = label.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_rows"))
-    per_list = stored(per_list.where("low < high").select("s", "n_rows"), "open-lists")
-    left = spread_join(label, per_list, ["s"], ["node"])
-    left = stored(left.join(nodes.select(*_OF_NODE), "node"), "open")
-    one, two = _side(left, "a", ["s", F.col("component").alias("a_component")]), _side(left, "b", ["s", F.col("component").alias("b_component")])
-    apart = (F.col("a_component") != F.col("b_component")) & (F.struct("a_n", "a_node") < F.struct("b_n", "b_node"))
-    return _as_pairs(one.join(two.hint("shuffle_merge"), "s").where(apart & alike(percent))).distinct()
+    per_list = stored(per_list.where("low < high").select("s", "n_rows", F.col("n_rows").alias("length")), "open-lists")
+    return stored(spread_join(label, per_list, ["s"], ["node"]), "open")
+
+
+def with_more_pivots(left: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of long lists and some more pivots. Each node does this in the longest of its open lists alone, so
+    that a group of near copies, whose lists are many and much the same, is paired once. A list of m nodes that do so has
+    log2(m / 8) pivots, those of the least hashes; lists of fewer than 16 have none, they are merged in full anyway."""
+    longest = left.groupBy("node", "component").agg(F.max(F.struct("length", "s")).alias("x")).select("node", "component", F.col("x.s").alias("s"))
+    longest = stored(longest, "longest")
+    sizes = longest.groupBy("s").agg(F.count("*").alias("n_rows")).withColumn("wanted", F.floor(F.log2(F.col("n_rows") / 8)).cast("int")).where("wanted > 0")
+    sizes = stored(sizes, "long-lists")
+    inside = stored(spread_join(longest, sizes, ["s"], ["node"]), "in-long-lists")
+    turn = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("node"), "node"))
+    few = inside.withColumn("turn", turn).where(F.col("turn") <= 60).where(F.col("turn") <= F.col("wanted"))  # log2 of any count is below 60
+    few = few.groupBy("s").agg(F.collect_list(F.struct(F.col("node").alias("pivot"), F.col("component").alias("of"))).alias("ps")).join(sizes.select("s", "n_rows"), "s")
+    met = spread_join(inside.select("s", "node", "component"), stored(few, "more-pivots"), ["s"], ["node"]).withColumn("p", F.explode("ps"))
+    return _met(met.where("p.of <> component").select("p.pivot", "node").distinct(), nodes, percent)
+
+
+#: Lists of more members than that are merged by the members' rarest shingles too.
+LONG = 256
+
+
+def rare_fronts(left: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """s, node for the members of long lists: lists by shingle, of those members that have the shingle in their front.
+
+    Members of a long list often share a passage that makes up most of them, and collide in its coordinates. Linked sets
+    have ``percent`` of the larger one in common, so of the smaller set's and of the larger set's shingles, the commonest
+    last, the first that they share stands in both fronts, which are all but ``percent`` of a set."""
+    long = left.where(F.col("length") > LONG).select("node").distinct().join(nodes.select("node", "k", "rep", "n"), "node")
+    texts = _texts(docs).select("r1", "text").join(long.hint("shuffle_merge"), F.col("r1") == F.col("rep")).select("node", "k", "n", "text")
+
+    def run(batches):
+        for batch in batches:
+            node, k, n = (c.to_pylist() for c in batch.columns[:3])
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                s = shingle_set(text)
+                if set_key(s) == k[i]:
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), node[i])), pa.array(np.full(len(s), n[i]))], ["s", "node", "n"])
+
+    rows = stored(texts.mapInArrow(run, "s bigint, node bigint, n bigint").distinct(), "shingles")
+    counts = stored(rows.groupBy("s").agg(F.count("*").alias("n_rows")).where("n_rows > 1").withColumn("c", F.col("n_rows")), "shingle-counts")
+    in_node = Window.partitionBy("node")
+    after = F.count("*").over(in_node) - F.row_number().over(in_node.orderBy("c", "s"))
+    kept = spread_join(rows, counts, ["s"], ["node"]).withColumn("after", after).where(F.col("after") >= F.ceil(F.col("n") * percent / 100) - 1)
+    return kept.select(F.col("s").bitwiseOR(F.lit(-(2**63))).alias("s"), "node")  # below all coordinates' lists
+
+
+def open_pairs(left: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a list that may be linked and aren't in one component, as ``similarities`` takes them. A pair
+    that shares several lists is made in the first of them."""
+    component = left.select("node", "component").distinct()
+    short = left.where(F.col("length") <= LONG).select("s", "node")
+    merged = stored(short.unionByName(rare_fronts(left, nodes, docs, percent)), "merged-lists")
+    items = merged.groupBy("node").agg(F.collect_list("s").alias("lists"))  # a node's prefix and front at most
+    every = stored(merged.join(items, "node").join(component, "node").join(nodes.select(*_OF_NODE), "node"), "merged")
+    one, two = (_side(every, side, ["s", F.col("component").alias(f"{side}_component"), F.col("lists").alias(f"{side}_lists")]) for side in "ab")
+    apart = (F.col("a_component") != F.col("b_component")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node"))))
+    first = F.array_min(F.array_intersect("a_lists", "b_lists"))
+    two = two.withColumnRenamed("s", "s2").hint("shuffle_merge")
+    return _as_pairs(one.join(two, (F.col("s") == F.col("s2")) & apart & alike(percent) & (first == F.col("s"))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -156,16 +222,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if percent < 85:
         raise ValueError("percent must be at least 85")
     every = stored(sets(docs), "sets")
-    by_set = every.where("n > 0").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("low"), F.min("r1").alias("rep"), F.count("*").alias("n_rows"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    by_set = every.where("n > 0").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("low"), F.min("r1").alias("rep"), F.count("*").alias("n_rows"), *[F.min(c).alias(c) for c in ("sig", "bits", *_WORDS)])
     nodes = stored(by_set.withColumn("node", F.monotonically_increasing_id()), "nodes")  # stored, for the numbers must stay
     members = stored(lists(nodes), "lists")
     near = F.col("both") * 100 >= F.col("either") * percent
     links = stored(similarities(with_pivots(members, nodes, percent), docs).where(near).select("a", "b"), "links")
     found = stored(connected(links), "components")
-    rest = stored(open_pairs(members, nodes, found, percent), "rest")
-    if not rest.isEmpty():
+    for pairs in (with_more_pivots, open_pairs):
+        rest = stored(pairs(open_lists(members, found), nodes, docs, percent), "rest")
         more = stored(similarities(rest, docs).where(near).select("a", "b"), "more-links")
-        found = stored(connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+        if not more.isEmpty():
+            found = stored(connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("low").alias("least"))
     of_set = stored(labelled.join(least, "component").select("k", "k2", "n", "n_rows", "least"), "classes")

@@ -38,8 +38,10 @@ def edits(words, rnd, n):
     return words
 
 
-def test_groups_around_the_threshold(spark):
+@pytest.mark.parametrize("long", [3, 256])
+def test_groups_around_the_threshold(spark, monkeypatch, long):
     """Chains of edits, a template that many texts share to 0.7, copies, and pairs on both sides of 0.85."""
+    monkeypatch.setattr(sj, "LONG", long)
     rnd, rows = random.Random(2), []
     for g in range(12):
         words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([8, 60, 200]))]
