@@ -1,6 +1,6 @@
 """All registered queries of the library's own operators and the SQL that they are checked against."""
 
-from . import bounds, cascades, codes, dense, more, numeric, palettes, search, shapes  # noqa: F401
+from . import bounds, cascades, causality, codes, dense, more, numeric, palettes, search, shapes, streams  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -373,3 +373,44 @@ def test_trees_of_any_metric(spark):
     q = frame.where("id < 3").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     got = sorted((r["query_id"], r["rank"], r["d"], r["id"]) for r in descent.sieve(tree, q, 4).hits.collect())
     assert got == [(i, n + 1, *t) for i in range(3) for n, t in enumerate(sorted((float(abs(x[j] - x[i]).sum()), j) for j in range(200))[:4])]
+
+
+def test_compositions_reach_the_fixpoint(spark):
+    """Longer ways that are cheaper, planes that can't meet twice, and cycles."""
+    from spindrift.operators import inference
+
+    facts = [(1, 2, 1, 5), (2, 3, 2, 5), (3, 4, 4, 5), (1, 3, 3, 50), (2, 1, 2, 1), (1, 2, 1, 9), (1, 9, 2, 1), (9, 4, 5, 1)]
+    found = {(r["a"], r["b"], r["mask"]): r["cost"] for r in inference.compose(spark.createDataFrame(facts, "a bigint, b bigint, mask int, cost bigint")).collect()}
+    want = {}
+    for a, b, m, c in facts:
+        want[a, b, m] = min(c, want.get((a, b, m), c))
+    while True:
+        more = {}
+        for (a, b, m), c in want.items():
+            for (x, y, n), e in want.items():
+                if b == x and not m & n and c + e < want.get((a, y, m | n), 10**9):
+                    more[a, y, m | n] = min(c + e, more.get((a, y, m | n), 10**9))
+        if not more:
+            break
+        want |= more
+    assert found == want and found[1, 4, 7] == 2
+    cheap = inference.compose(spark.createDataFrame(facts, "a bigint, b bigint, mask int, cost bigint"), limit=9)
+    assert all(r["cost"] <= 9 or (r["a"], r["b"], r["mask"], r["cost"]) in facts for r in cheap.collect())
+
+
+def test_asof_takes_the_last_mark(spark):
+    from spindrift.operators import inference
+
+    events = spark.createDataFrame([(1, "u", 5), (2, "u", 9), (3, "w", 1), (4, None, 3), (5, "u", 5)], "id bigint, who string, t bigint")
+    marks = spark.createDataFrame([("u", 5, "a"), ("u", 7, "b"), ("w", 2, "c"), ("v", 0, "d")], "who string, t bigint, mark string")
+    found = {r["id"]: r["mark"] for r in inference.asof(events, marks, ["who"], ["t"], ["mark"]).collect()}
+    assert found == {1: "a", 5: "a", 2: "b", 3: None, 4: None}
+
+
+def test_snapshots_with_gaps(spark):
+    from spindrift.operators import snapshots
+
+    s = lambda rows: spark.createDataFrame(rows, "k bigint, v array<double>")
+    merged = snapshots.merged([s([(1, [0.0]), (2, [1.0])]), s([(2, [3.0])]), s([(1, [2.0]), (3, [1.0])])], ["k"], "v")
+    found = {(r["k"], r["snapshot"]): (r["since"], r["d"], r["shifted"]) for r in snapshots.moved(merged, V.l1, 1.5).collect()}
+    assert found == {(2, 1): (0, 2.0, True), (1, 2): (0, 2.0, True)}
