@@ -4,14 +4,14 @@
    N >= n shingles and similarity 0.8 share more than 3/10 N, and more than 3/8 n, shingles of their fronts. So of the
    larger set's front the last 3/10 N, and of the smaller one's the last 3/8 n, can go without losing all of the common
    ones. What goes are the shingles that stand in the most fronts: common passages.
-2. Each shingle that two or more nodes still share is a region; its pivot is its smallest set. Every member is compared
-   with its region's pivots only, which is linear in the regions' sizes, and what lies within the radius is linked.
+2. Each shingle that two or more nodes still share is a region; its pivot is its smallest set, and long regions have a few
+   more. Every member is compared with its region's pivots only, and what lies within the radius is linked.
 3. Members of a region that are not yet in one component are compared with each other. A region with many of them is
    first cut into windows of their distance to the pivot, one radius wide: by the triangle inequality linked sets stand
    in one window or in neighbouring ones, so each member also visits its neighbours.
 4. A window with many members is split again: a few of its members become pivots, every member's home is the Voronoi
    cell of its nearest pivot, and members on a border, up to two radii farther from another pivot, visit that cell too.
-   Cells split until they are small, or until splitting gains nothing. A pair is compared in a cell that is home to one.
+   Cells split until they are small, or until splitting gains nothing. A pair is compared in the smaller set's home.
 
 Regions come first because pivots alone can't separate unrelated texts, all of which are at distance 1 from each other.
 """
@@ -185,12 +185,54 @@ def similarities(pairs: DataFrame, docs: DataFrame, per_task: int = 64) -> DataF
 CELL_MEMBERS, CELL_PIVOTS, ROUNDS = 4096, 8, 6
 
 
+def more_pivots(left: DataFrame) -> DataFrame:
+    """pivot, node: pairs of members of long lists (s, node, length) and some pivots.
+
+    Each node does this in the longest of its lists alone, so that a group of near copies, whose lists are many and much
+    the same, is paired once. A list of m nodes that do so has log2(m / 8) pivots, those of the least hashes; lists of fewer
+    than 16 have none, they are compared in full anyway."""
+    longest = left.groupBy("node").agg(F.max(F.struct("length", "s")).alias("x")).select("node", F.col("x.s").alias("s"))
+    longest = stored(longest, "longest")
+    sizes = longest.groupBy("s").agg(F.count("*").alias("n_rows")).withColumn("wanted", F.floor(F.log2(F.col("n_rows") / 8)).cast("int")).where("wanted > 0")
+    sizes = stored(sizes, "long-lists")
+    inside = stored(spread_join(longest, sizes, ["s"], ["node"]), "in-long-lists")
+    turn = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("node"), "node"))
+    few = inside.withColumn("turn", turn).where(F.col("turn") <= 60).where(F.col("turn") <= F.col("wanted"))  # log2 of any count is below 60
+    few = few.groupBy("s").agg(F.collect_list("node").alias("pivots")).join(sizes.select("s", "n_rows"), "s")
+    met = spread_join(inside.select("s", "node"), stored(few, "more-pivots"), ["s"], ["node"])
+    return met.select(F.explode("pivots").alias("pivot"), "node").where("pivot <> node")
+
+
+#: Lists of a node, the first ones, by which a pair is made once.
+FIRST_LISTS = 16
+
+
+def first_lists(lists: DataFrame) -> DataFrame:
+    """node, lists: the FIRST_LISTS smallest of a node's lists (s, node)."""
+    return lists.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("s")), 1, FIRST_LISTS).alias("lists"))
+
+
+def is_first(a: str, b: str, s: str) -> Column:
+    """Whether ``s`` is the smallest list that two nodes share. Where their first lists have none in common this can't be
+    told, and any list will do; a common one among them is the smallest of all."""
+    return F.coalesce(F.array_min(F.array_intersect(a, b)), F.col(s)) == F.col(s)
+
+
 def _pairs_with_pivot(members: DataFrame) -> DataFrame:
     """members (.., node, k, rep, p: struct<node, k, rep>) -> pairs as ``similarities`` takes them."""
     apart = members.where(F.col("p.node") != F.col("node"))
     return apart.select(F.col("p.node").alias("a"), F.col("p.k").alias("ka"), F.col("p.rep").alias("ra"), F.col("node").alias("b"), F.col("k").alias("kb"), F.col("rep").alias("rb")).distinct()
 
 
+def _pairs_of_nodes(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (pivot, node) whose sizes fit, as ``similarities`` takes them."""
+    pairs = stored(pairs, "node-pairs")
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("k").alias(f"k{x}"), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    hubs = stored(pairs.groupBy(F.col("pivot").alias("a")).agg(F.count("*").alias("n_rows")).join(of("a"), "a"), "hubs")
+    met = spread_join(pairs.withColumnsRenamed({"pivot": "a", "node": "b"}).join(of("b"), "b"), hubs, ["a"], ["b"])
+    return met.where(_sizes_fit(F.col("na"), F.col("nb"), percent)).select("a", "ka", "ra", "b", "kb", "rb")
+
+
 def _distances(measured: DataFrame) -> DataFrame:
     return measured.select(F.col("a").alias("pivot"), F.col("b").alias("of"), (1 - F.col("both") / F.col("either")).alias("distance")).distinct()
 
@@ -268,9 +310,11 @@ def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     member = stored(regions(docs).join(nodes.select("k", "n", "node", "rep"), ["k", "n"]), "regions")
 
     pivots = member.groupBy("s").agg(F.min(F.when(F.col("small"), F.struct("n", "node", "k", "rep"))).alias("p"), F.count("*").alias("n_rows"))
-    member = stored(spread_join(member, stored(pivots.where("n_rows > 1 and p is not null"), "pivots"), ["s"], ["node"]), "members")
+    pivots = stored(pivots.where("n_rows > 1 and p is not null").withColumn("length", F.col("n_rows")), "pivots")
+    member = stored(spread_join(member, pivots, ["s"], ["node"]), "members")
     around = member.where((F.col("p.node") != F.col("node")) & _sizes_fit(F.col("p.n"), F.col("n"), percent))
-    measured = stored(similarities(_pairs_with_pivot(around), docs), "measured")
+    further = _pairs_of_nodes(more_pivots(member.select("s", "node", F.col("length"))), nodes, percent)
+    measured = stored(similarities(_pairs_with_pivot(around).unionByName(further).distinct(), docs), "measured")
     near = F.col("both") * 100 >= F.col("either") * percent
     found = stored(connected(measured.where(near).select("a", "b")), "components")
 
@@ -278,17 +322,24 @@ def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     label = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = label.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_rows"))
     open_ = stored(open_.where("low < high").select("s", "n_rows", F.col("n_rows").alias("members")), "open-regions")
-    label = stored(spread_join(label, open_, ["s"], ["node"]).where("node <> p.node"), "open")
+    label = stored(spread_join(label.drop("length"), open_, ["s"], ["node"]).where("node <> p.node"), "open")
     cells = _cells(label, docs, measured, radius)
     drawn = keys.select(F.col("r1").alias("of"), F.col("k").alias("of_k"), *[f"w{i}" for i in range(SKETCH_WORDS)])
-    cells = stored(cells.join(drawn.hint("shuffle_merge"), (F.col("rep") == F.col("of")) & (F.col("k") == F.col("of_k"))).drop("of", "of_k").distinct(), "sketched")
-    names = ["node", "k", "rep", "n", "small", "component", "home", *[f"w{i}" for i in range(SKETCH_WORDS)]]
+    cells = cells.join(drawn.hint("shuffle_merge"), (F.col("rep") == F.col("of")) & (F.col("k") == F.col("of_k"))).drop("of", "of_k").distinct()
+    # A pair is made where the smaller set is at home and its row is marked: linked sets visit each other's homes. Of several
+    # such cells the first one makes it.
+    every = cells.select(F.col("cell").alias("s"), "node")
+    own = first_lists(cells.where("home and small").select(F.col("cell").alias("s"), "node")).withColumnRenamed("lists", "own")
+    cells = cells.join(first_lists(every).hint("shuffle_merge"), "node").join(own.hint("shuffle_merge"), "node", "left")
+    cells = stored(cells, "sketched")
+    names = ["node", "k", "rep", "n", "small", "component", "home", "lists", "own", *[f"w{i}" for i in range(SKETCH_WORDS)]]
     left, right = (cells.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
     # Linked sets have this many shingles in common; what one of them lacks shows in the sketches.
     common = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
     alike = (sketch_lacks("a_w", "b_w") <= F.col("a_n") - common) & (sketch_lacks("b_w", "a_w") <= F.col("b_n") - common)
-    open_pairs = (F.col("a_n") <= F.col("b_n")) & (F.col("a_component") != F.col("b_component")) & (F.col("a_home") | F.col("b_home"))
-    rest = left.where("a_small").join(right.hint("shuffle_merge"), "cell").where(open_pairs & _sizes_fit(F.col("a_n"), F.col("b_n"), percent) & alike)
+    open_pairs = (F.col("a_n") <= F.col("b_n")) & (F.col("a_component") != F.col("b_component"))
+    once = is_first("a_own", "b_lists", "cell")
+    rest = left.where("a_small and a_home").join(right.hint("shuffle_merge"), "cell").where(open_pairs & _sizes_fit(F.col("a_n"), F.col("b_n"), percent) & alike & once)
     rest = rest.select(*[F.col(f"{side}_{c}").alias(new) for side in "ab" for c, new in (("node", side), ("k", f"k{side}"), ("rep", f"r{side}"))]).distinct()
     rest = stored(rest.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():

@@ -7,9 +7,8 @@
 3. A link must have MATCHES collisions. So if each node's pairs are ordered by frequency, linked nodes share one of their
    first COORDINATES - MATCHES + 1 pairs: these are the prefix, and the others, with the longest lists, are skipped when
    lists are merged. What the merge finds is probed in whole signatures: collisions are counted in all coordinates.
-4. Each list's smallest set is its pivot. Members meet their pivots first, which is linear in the lists' lengths; pairs with
-   MATCHES collisions are confirmed on the full sets, and confirmed links make components. Members of long lists that are
-   still apart then meet a few more pivots.
+4. Each list's smallest set is its pivot, and long lists have a few more. Members meet their pivots first, which is linear
+   in the lists' lengths; pairs with MATCHES collisions are confirmed on the full sets, and confirmed links make components.
 5. Lists whose members aren't in one component yet are merged in full: members of different components meet, and those with
    MATCHES collisions that the sketches of their sets don't rule out are confirmed too. Long lists, whose members often
    share a passage rather than a text, are merged by their members' rarest shingles, which loses no link.
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import SKETCH_WORDS, mix64, sketch, sketch_lacks, spread_join, stored
 from .graph import connected
-from .jaccard_join import _second_key, _texts, set_key, shingle_set, similarities
+from .jaccard_join import _second_key, _texts, first_lists, is_first, more_pivots, set_key, shingle_set, similarities
 
 COORDINATES, MATCHES = 64, 29
 _ODD = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -133,11 +132,13 @@ def _met(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def with_pivots(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's pivot, its smallest set, and a member."""
+    """Pairs of a list's pivots and its members: its smallest set and, in long lists, some more."""
     n = members.join(nodes.select("node", "n"), "node")
     pivots = n.groupBy("s").agg(F.min(F.struct("n", "node")).alias("p"), F.count("*").alias("n_rows"))
-    pivots = stored(pivots.select("s", F.col("p.node").alias("pivot"), "n_rows"), "pivots")
-    return _met(spread_join(members, pivots, ["s"], ["node"]).where("node <> pivot").select("pivot", "node").distinct(), nodes, percent)
+    pivots = stored(pivots.select("s", F.col("p.node").alias("pivot"), "n_rows", F.col("n_rows").alias("length")), "pivots")
+    met = stored(spread_join(members, pivots, ["s"], ["node"]), "members")
+    pairs = met.where("node <> pivot").select("pivot", "node").unionByName(more_pivots(met.select("s", "node", "length")))
+    return _met(pairs.distinct(), nodes, percent)
 
 
 def open_lists(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -149,22 +150,6 @@ def open_lists(members: DataFrame, found: DataFrame) -> DataFrame:
     return stored(spread_join(label, per_list, ["s"], ["node"]), "open")
 
 
-def with_more_pivots(left: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of long lists and some more pivots. Each node does this in the longest of its open lists alone, so
-    that a group of near copies, whose lists are many and much the same, is paired once. A list of m nodes that do so has
-    log2(m / 8) pivots, those of the least hashes; lists of fewer than 16 have none, they are merged in full anyway."""
-    longest = left.groupBy("node", "component").agg(F.max(F.struct("length", "s")).alias("x")).select("node", "component", F.col("x.s").alias("s"))
-    longest = stored(longest, "longest")
-    sizes = longest.groupBy("s").agg(F.count("*").alias("n_rows")).withColumn("wanted", F.floor(F.log2(F.col("n_rows") / 8)).cast("int")).where("wanted > 0")
-    sizes = stored(sizes, "long-lists")
-    inside = stored(spread_join(longest, sizes, ["s"], ["node"]), "in-long-lists")
-    turn = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("node"), "node"))
-    few = inside.withColumn("turn", turn).where(F.col("turn") <= 60).where(F.col("turn") <= F.col("wanted"))  # log2 of any count is below 60
-    few = few.groupBy("s").agg(F.collect_list(F.struct(F.col("node").alias("pivot"), F.col("component").alias("of"))).alias("ps")).join(sizes.select("s", "n_rows"), "s")
-    met = spread_join(inside.select("s", "node", "component"), stored(few, "more-pivots"), ["s"], ["node"]).withColumn("p", F.explode("ps"))
-    return _met(met.where("p.of <> component").select("p.pivot", "node").distinct(), nodes, percent)
-
-
 #: Lists of more members than that are merged by the members' rarest shingles too.
 LONG = 256
 
@@ -200,13 +185,11 @@ def open_pairs(left: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     component = left.select("node", "component").distinct()
     short = left.where(F.col("length") <= LONG).select("s", "node")
     merged = stored(short.unionByName(rare_fronts(left, nodes, docs, percent)), "merged-lists")
-    items = merged.groupBy("node").agg(F.collect_list("s").alias("lists"))  # a node's prefix and front at most
-    every = stored(merged.join(items, "node").join(component, "node").join(nodes.select(*_OF_NODE), "node"), "merged")
+    every = stored(merged.join(first_lists(merged), "node").join(component, "node").join(nodes.select(*_OF_NODE), "node"), "merged")
     one, two = (_side(every, side, ["s", F.col("component").alias(f"{side}_component"), F.col("lists").alias(f"{side}_lists")]) for side in "ab")
     apart = (F.col("a_component") != F.col("b_component")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node"))))
-    first = F.array_min(F.array_intersect("a_lists", "b_lists"))
     two = two.withColumnRenamed("s", "s2").hint("shuffle_merge")
-    return _as_pairs(one.join(two, (F.col("s") == F.col("s2")) & apart & alike(percent) & (first == F.col("s"))))
+    return _as_pairs(one.join(two, (F.col("s") == F.col("s2")) & apart & alike(percent) & is_first("a_lists", "b_lists", "s"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -228,11 +211,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     near = F.col("both") * 100 >= F.col("either") * percent
     links = stored(similarities(with_pivots(members, nodes, percent), docs).where(near).select("a", "b"), "links")
     found = stored(connected(links), "components")
-    for pairs in (with_more_pivots, open_pairs):
-        rest = stored(pairs(open_lists(members, found), nodes, docs, percent), "rest")
-        more = stored(similarities(rest, docs).where(near).select("a", "b"), "more-links")
-        if not more.isEmpty():
-            found = stored(connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    rest = stored(open_pairs(open_lists(members, found), nodes, docs, percent), "rest")
+    more = stored(similarities(rest, docs).where(near).select("a", "b"), "more-links")
+    if not more.isEmpty():
+        found = stored(connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("low").alias("least"))
     of_set = stored(labelled.join(least, "component").select("k", "k2", "n", "n_rows", "least"), "classes")
