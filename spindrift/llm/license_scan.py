@@ -1,8 +1,8 @@
 """Licence scan by diagonal voting, in DataFrame functions alone.
 
 All rolling word k-grams of the documents are joined with the positions of the templates' k-grams. A hit votes for the
-diagonal (text position minus template position); votes of a template on neighbouring diagonals of a document are merged
-and the merged span is verified by the share of the template's k-grams that it holds.
+diagonal (text position minus template position); votes of a template on neighbouring diagonals of a document are merged, from
+each diagonal on that has any, and merged spans are verified by the share of the template's k-grams that they hold.
 """
 
 from __future__ import annotations
@@ -59,12 +59,12 @@ def templates(spark: SparkSession) -> DataFrame:
     return frame.select("template", "label", "is_phrase", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("tpos", "gram"))
 
 
-def licence_spans(docs: DataFrame, min_share: float = 0.6, slack: int = 4) -> DataFrame:
+def licence_spans(docs: DataFrame, min_share: float = 0.6) -> DataFrame:
     """One row per verified span: doc_id, row (a hash of the text), label, is_phrase, start, end (words), share.
 
-    A phrase needs all of its k-grams on one diagonal; a passage ``min_share`` of them on diagonals that follow each
-    other at most ``slack`` apart, within twice its length. Null and empty texts have no spans; a text that occurs twice
-    under one doc_id has its spans once.
+    A phrase needs all of its k-grams on one diagonal; a passage ``min_share`` of them on diagonals that lie within its
+    length of each other, and its span is at most twice its length. Null and empty texts have no spans; a text that occurs
+    twice under one doc_id has its spans once.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
@@ -73,21 +73,32 @@ def licence_spans(docs: DataFrame, min_share: float = 0.6, slack: int = 4) -> Da
     votes = hits.groupBy("doc_id", "row", "template", "label", "is_phrase", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.collect_set("tpos").alias("found"), F.min("pos").alias("low"), F.max("pos").alias("high")
     )
-    by = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
-    fresh = F.col("is_phrase") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > slack, F.lit(True))
-    votes = votes.withColumn("island", F.sum(fresh.cast("int")).over(by))
-    spans = votes.groupBy("doc_id", "row", "template", "label", "is_phrase", "n_grams", "island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_found"), F.min("low").alias("start"), F.max("high").alias("high")
-    )
-    share = F.col("n_found") / F.col("n_grams")
-    verified = F.when(F.col("is_phrase"), F.col("n_found") == F.col("n_grams")).otherwise(
-        (share >= min_share) & (F.col("high") - F.col("start") <= 2 * F.col("n_grams"))
-    )
-    return spans.where(verified).select("doc_id", "row", "label", "is_phrase", F.col("start").cast("bigint").alias("start"), (F.col("high") + K).cast("bigint").alias("end"), share.alias("share"))
+    phrases = votes.where(F.col("is_phrase") & (F.size("found") == F.col("n_grams")))
+    phrases = phrases.select("doc_id", "row", "label", "is_phrase", F.col("low").alias("start"), "high", F.lit(1.0).alias("share"))
+    # A passage may begin at any diagonal: what follows within the template's length belongs to it, so that hits before it
+    # can't stretch its span. Of the windows that begin near each other the fullest stays, of these the shortest, first one.
+    by, unit = Window.partitionBy("doc_id", "row", "template"), 1_000
+    scaled = lambda c: F.floor(c * unit / F.col("n_grams"))
+    ahead = by.orderBy(scaled(F.col("diagonal"))).rangeBetween(0, unit)
+    windows = votes.where(~F.col("is_phrase")).select(
+        "doc_id", "row", "template", "label", "is_phrase", "n_grams",
+        F.min("low").over(ahead).alias("start"), F.max("high").over(ahead).alias("high"),
+        (F.size(F.array_distinct(F.flatten(F.collect_list("found").over(ahead)))) / F.col("n_grams")).alias("share"),
+    ).where((F.col("share") >= min_share) & (F.col("high") - F.col("start") <= 2 * F.col("n_grams"))).distinct()
+    rank = F.struct("share", (F.col("start") - F.col("high")).alias("short"), (-F.col("start")).alias("first"))
+    near = by.orderBy(scaled(F.col("start"))).rangeBetween(-unit, unit)
+    best = windows.withColumn("rank", rank).withColumn("best", F.max("rank").over(near)).where(F.col("rank") == F.col("best"))
+    spans = phrases.unionByName(best.select("doc_id", "row", "label", "is_phrase", "start", "high", "share"))
+    return spans.select("doc_id", "row", "label", "is_phrase", F.col("start").cast("bigint").alias("start"), (F.col("high") + K).cast("bigint").alias("end"), "share")
 
 
 def licence_labels(docs: DataFrame, min_share: float = 0.6) -> DataFrame:
-    """One row per document: its words, places of phrases and labels; ``score`` is the best span's share, 0 without one."""
+    """One row per document: its words, places of phrases and labels; ``score`` is the best span's share, 0 without one.
+
+    Null and empty texts have no words and no labels; rows that repeat a doc_id, or have none, each get a row by their own
+    text; very long texts are arrays of words in one row; an empty table gives no rows; columns other than doc_id and text
+    aren't read.
+    """
     spans = licence_spans(docs, min_share)
     phrase = F.col("is_phrase")
     found = spans.groupBy("doc_id", "row").agg(
