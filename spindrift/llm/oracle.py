@@ -35,16 +35,19 @@ DIVERGENCE = rf"""
 with d as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t from documents),
 b as (select *, regexp_extract_all(t, '[^ \t\n\x0B\f\r]+') as ws, regexp_replace(t, '{_WS}+', '', 'g') as r0 from d),
 c as (select *, list_value({_COUNTS}, length(t) - length(r0)) as cl, len(ws) as n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) as ls from b),
-lc as (select lang, i, sum(cl[i])::double as s from (select lang, cl, unnest(range(1, 8)) as i from c) group by all),
-cq as (select lang, i, s / greatest(sum(s) over (partition by lang), 1) as q from lc),
 ln as (select lang, sum(n) as n from c group by 1),
-sw as (select lang, w, count(*) as k from (select lang, unnest(regexp_extract_all(lower(t), '[^ \t\n\x0B\f\r]+')) as w from d) where length(w) <= 64 group by all),
-tw as (select lang, w, k from sw qualify row_number() over (partition by lang order by k desc, w) <= 40),
-wq as (select tw.lang, w, k::double / ln.n as q from tw join ln on tw.lang = ln.lang),
-oq as (select ln.lang, greatest(0, 1 - coalesce(sum(q), 0)) as q from ln left join wq on wq.lang = ln.lang group by all),
-dc as (select doc_id, sqrt(greatest(0, sum({_DIV}))) as jc from (select doc_id, cl[cq.i]::double / greatest(list_sum(cl), 1) as p, cq.q from c join cq on c.lang = cq.lang) group by 1),
-dw as (select doc_id, lang, unnest(list_transform(ws, lambda x: lower(x))) as w, n from c),
-bins as (select dw.doc_id, wq.w is null as other, wq.w, any_value(coalesce(wq.q, oq.q)) as q, count(*)::double / any_value(n) as p from dw left join wq on wq.lang = dw.lang and wq.w = dw.w join oq on oq.lang = dw.lang group by dw.doc_id, other, wq.w),
+kl as (select lang, case when n >= 200 then 'l' || lang else '*' end as key from ln),
+lc as (select key, i, sum(cl[i])::double as s from (select 'l' || lang as key, cl, unnest(range(1, 8)) as i from c union all select '*', cl, unnest(range(1, 8)) from c) group by all),
+cq as (select key, i, s / greatest(sum(s) over (partition by key), 1) as q from lc),
+kn as (select 'l' || lang as key, n from ln union all select '*', sum(n) from ln),
+sl as (select lang, w, count(*) as k from (select lang, unnest(regexp_extract_all(lower(t), '[^ \t\n\x0B\f\r]+')) as w from d) where length(w) <= 64 group by all),
+sw as (select 'l' || lang as key, w, k from sl union all select '*', w, sum(k) from sl group by w),
+tw as (select key, w, k from sw qualify row_number() over (partition by key order by k desc, w) <= 40),
+wq as (select tw.key, w, k::double / kn.n as q from tw join kn on tw.key = kn.key),
+oq as (select kn.key, greatest(0, 1 - coalesce(sum(q), 0)) as q from kn left join wq on wq.key = kn.key group by all),
+dc as (select doc_id, sqrt(greatest(0, sum({_DIV}))) as jc from (select doc_id, cl[cq.i]::double / greatest(list_sum(cl), 1) as p, cq.q from c join kl on kl.lang = c.lang join cq on kl.key = cq.key) group by 1),
+dw as (select doc_id, key, unnest(list_transform(ws, lambda x: lower(x))) as w, n from c join kl on kl.lang = c.lang),
+bins as (select dw.doc_id, wq.w is null as other, wq.w, any_value(coalesce(wq.q, oq.q)) as q, count(*)::double / any_value(n) as p from dw left join wq on wq.key = dw.key and wq.w = dw.w join oq on oq.key = dw.key group by dw.doc_id, other, wq.w),
 jw as (select doc_id, sqrt(greatest(0, 0.5 + sum({_DIV} - q / 2))) as jw from bins group by 1),
 g as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as x from (select doc_id, ws, unnest(range(1, n - 6)) as i from c where n >= 8)),
 rep as (select doc_id, count(distinct i + o) as r from (select doc_id, i, count(*) over (partition by doc_id, x) as k from g), (select unnest(range(8)) as o) where k > 1 group by 1),

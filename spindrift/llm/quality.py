@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, run_starts, text_of, words
+from .common import SPACE, let, run_starts, stored, text_of, words
 
 #: Character classes in the order in which they are counted; each pattern applies to what the earlier ones left.
 CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("point", r"[.,;:!?'\"()-]+"), ("symbol", r"[\x21-\x7E]+"))
@@ -24,9 +24,11 @@ SYMBOLS = "#*$%&|<>"
 class Limits:
     """``min_words``: shorter documents are not judged by distance; the distances are at most ``chars`` and ``words``; a
     language's common words are its ``common_words`` most frequent ones of up to ``common_chars`` characters, so that a
-    reference has a size."""
+    reference has a size; a language of fewer than ``reference_words`` words in all is judged by the reference of all
+    languages together, as its own would be little more than the document."""
 
     min_words: int = 50
+    reference_words: int = 200
     chars: float = 0.30
     words: float = 0.43
     common_words: int = 40
@@ -119,12 +121,27 @@ def with_references(frame: DataFrame, refs: DataFrame, docs: DataFrame) -> DataF
 def references(docs: DataFrame, limits: Limits) -> DataFrame:
     """One row per language: class_q, marks (hashes of the common words, ascending, their lowest bit set), marks_q (the
     words' shares, in that order), other_q."""
-    base = counts(docs)
-    total = base.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 2)])
-    all_chars = sum((F.col(f"c{i}") for i in range(len(CLASSES) + 2)), F.lit(0))
-    total = total.select("lang", F.array(*[F.col(f"c{i}") / F.greatest(all_chars, F.lit(1)) for i in range(len(CLASSES) + 2)]).alias("class_q"))
+    slots = len(CLASSES) + 2
+    sums = counts(docs).groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(slots)])
+    sums = stored(sums, "class-sums")
     each = docs.select(language(docs).alias("lang"), F.explode(words(F.lower(text_of()))).alias("w"))
-    seen = each.groupBy("lang", "w").agg(F.count("*").alias("n_w"))
+    seen = stored(each.groupBy("lang", "w").agg(F.count("*").alias("n_w")), "word-counts")
+    n = seen.groupBy("lang").agg(F.sum("n_w").alias("n"))
+    own = _references(sums, seen, limits)
+    enough = n.where(F.col("n") >= limits.reference_words).select("lang")
+    few = sums.select("lang").join(enough, "lang", "left_anti")
+    if few.isEmpty():
+        return own
+    together = sums.groupBy(F.lit("").alias("lang")).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(slots)])
+    all_words = seen.groupBy(F.lit("").alias("lang"), "w").agg(F.sum("n_w").alias("n_w"))
+    whole = _references(together, all_words, limits).drop("lang")
+    return own.join(enough, "lang").unionByName(few.crossJoin(F.broadcast(whole)))  # one row
+
+
+def _references(sums: DataFrame, seen: DataFrame, limits: Limits) -> DataFrame:
+    slots = len(CLASSES) + 2
+    all_chars = sum((F.col(f"c{i}") for i in range(slots)), F.lit(0))
+    total = sums.select("lang", F.array(*[F.col(f"c{i}") / F.greatest(all_chars, F.lit(1)) for i in range(slots)]).alias("class_q"))
     n = seen.groupBy("lang").agg(F.sum("n_w").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_w"), "w"))
     common = seen.where(F.length("w") <= limits.common_chars).withColumn("rank", rank).where(F.col("rank") <= limits.common_words)
