@@ -78,7 +78,7 @@ def with_next(docs: DataFrame, columns: list[str], size: Column) -> DataFrame:
     Rows are dealt to ranges of doc_id whose lower bounds are doc_ids themselves, found as quantiles: one for every
     RANGE_BYTES of ``size``. Each range's first row also visits the range before it, so one shuffle and a window per range
     suffice. Rows of equal doc_id follow each other by their columns; a null doc_id stands before all others and is
-    nobody's successor at the end.
+    nobody's successor at the end, unless all are null.
     """
     whole = docs.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
     ranges = min(MOST_RANGES, max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole // RANGE_BYTES))
@@ -96,7 +96,10 @@ def with_next(docs: DataFrame, columns: list[str], size: Column) -> DataFrame:
     frame = frame.withColumn("_visit", F.explode(F.when(F.col("_first"), F.array(home, guest)).otherwise(F.array(home))))
     frame = frame.select("*", "_visit.range", "_visit.guest").drop("_visit", "_own", "_first")
     order = Window.partitionBy("range").orderBy("guest", "doc_id", *columns)
-    return frame.withColumn("next", F.lead(F.struct(*columns)).over(order)).where(F.col("guest") == 0).drop("range", "guest")
+    after = F.lead(F.struct(*columns)).over(order)
+    if marks["low"] is None:  # no row has a doc_id: all are in one range, whose first row follows its last
+        after = F.coalesce(after, F.first(F.struct(*columns)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return frame.withColumn("next", after).where(F.col("guest") == 0).drop("range", "guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
