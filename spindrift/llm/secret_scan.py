@@ -188,6 +188,8 @@ def wrapped_spans(text: str, taken: list[tuple[str, int, int]] = ()) -> list[tup
                 continue
             size = 2 + extra + (int.from_bytes(head[2 : 2 + extra], "big") if extra else head[1])
             wanted = 2 * size if each else -(-4 * size // 3)
+            if wanted > len(text) - start:  # longer than what is left: no walk
+                continue
         pieces = [joined]
         have, ends = len(joined), {len(joined): at}
         while (wanted is None or have < wanted) and (n := _NEXT.match(text, at)):
@@ -253,7 +255,8 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per span: ``key``, kind, start, end (code points, end exclusive), secret.
 
-    Null and empty texts have no spans, repeated rows each give theirs, other columns aren't read.
+    Null and empty texts have no spans, repeated rows and rows without a key each give theirs, an empty table gives no
+    rows, very long texts are scanned whole, other columns aren't read.
     """
 
     def run(batches):

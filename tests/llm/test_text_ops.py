@@ -112,6 +112,36 @@ def test_licence_passages(spark):
     assert found[3]["labels"] == "" and found[3]["score"] == 0
 
 
+def test_licence_behind_its_own_opening_words(spark):
+    """Hits before a passage don't hide it; two copies are two spans; a long text without a licence has none."""
+    passage = license_scan.PASSAGES[0][0]
+    table = "permission is hereby x " * 10
+    rows = [(1, table + passage), (2, passage), (3, table), (4, passage + " word" * 200 + " " + passage), (5, "granted free of charge " * 20_000), (None, passage), (2, "x")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((r["doc_id"] or 0, r["labels"], r["score"]) for r in license_scan.licence_labels(frame).collect())
+    assert found == [(0, "mit", 1.0), (1, "mit", 1.0), (2, "", 0.0), (2, "mit", 1.0), (3, "", 0.0), (4, "mit", 1.0), (5, "", 0.0)]
+    spans = sorted((r["doc_id"], r["start"], r["end"]) for r in license_scan.licence_spans(frame.where("doc_id in (2, 4)")).collect())
+    n = len(passage.split())
+    assert spans == [(2, 0, n), (4, 0, n), (4, n + 200, 2 * n + 200)]
+
+
+def test_order_minhash_without_any_id(spark):
+    rows = [(None, "one two three four five six"), (None, "zeta eta theta iota kappa lambda"), (None, "b c d")]
+    out = order_minhash.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    texts = sorted(t for _, t in rows)
+    want = {hashlib.sha256((t[: len(t) - len(t) // 2] + texts[(i + 1) % 3][: len(t) // 2]).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert len(out) == 3 and {r["edited_sha256"] for r in out} == want and all(r["edited_fingerprint"] for r in out)
+
+
+def test_quality_of_a_language_of_one_document(spark):
+    """A lone document isn't its own reference."""
+    good = "the cat and the dog went to the house of the man in the town and it was good "
+    rows = [(i, good * 8 + str(i), "en") for i in range(30)] + [(99, " ".join(f"#%{i}$$& xq{i}z" for i in range(40)), "xx"), (100, "", "yy"), (101, None, None)]
+    found = by_id(quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
+    assert found[99]["char_distance"] > 0.3 and found[99]["kept"] is False and not found[99]["base_failed"]
+    assert all(found[i]["kept"] == found[0]["kept"] for i in range(30)) and found[100]["kept"] is False
+
+
 def test_bpe_equals_the_library(docs, odd, rows, odd_rows):
     import tiktoken
 
