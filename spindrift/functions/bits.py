@@ -174,3 +174,20 @@ def nibble_pack(codes: Column) -> Column:
 
 def nibble_unpack(packed: Column, count: Column) -> Column:
     return F.slice(F.flatten(F.transform(packed, lambda b: F.array(b % 16, F.floor(b / 16).cast("int")))), F.lit(1), count)
+
+
+def majority(a: Column, b: Column, c: Column) -> Column:
+    """Bit by bit what two of three arrays of words have."""
+    two = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseAND(q))
+    either = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseOR(q))
+    return either(either(two(a, b), two(a, c)), two(b, c))
+
+
+def superpose(s: Column, p: Column, o: Column, words: int, shift: int) -> Column:
+    """Three prints in one: the majority of the first, the second turned by ``shift`` bits and the third by twice as many."""
+    return majority(s, rotate(p, words, shift), rotate(o, words, 2 * shift))
+
+
+def recover(bundle: Column, place: int, words: int, shift: int) -> Column:
+    """The print at a place (0, 1, 2) of a superposition, but for the bits in which the other two outvoted it."""
+    return rotate(bundle, words, -place * shift)

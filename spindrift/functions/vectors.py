@@ -64,8 +64,15 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 def softmax(v: Column) -> Column:
     """Shifted by the maximum, so large values don't overflow."""
-    e = F.transform(F.array(doubles(v)), lambda d: F.transform(d, lambda x: F.exp(x - F.array_max(d))))[0]
-    return F.transform(F.array(e), lambda d: F.transform(d, lambda x: x / total(d)))[0]
+
+    def scaled(e: Column) -> Column:
+        return F.transform(F.array(total(e)), lambda s: F.transform(e, lambda x: x / s))[0]
+
+    def body(d: Column) -> Column:
+        e = F.transform(F.array(F.array_max(d)), lambda top: F.transform(d, lambda x: F.exp(x - top)))[0]
+        return F.transform(F.array(e), scaled)[0]
+
+    return F.transform(F.array(doubles(v)), body)[0]
 
 
 def log_softmax(v: Column) -> Column:

@@ -32,6 +32,24 @@ def pair_with(base: DataFrame, queries: DataFrame, block_rows: int = BROADCAST_R
     return reduce(DataFrame.unionByName, [base.crossJoin(F.broadcast(queries.where(number == i))) for i in range(blocks)])
 
 
+def close_pairs(frame: DataFrame, by: list[str], key: str, word: str, radius: int, bands: int = 6) -> DataFrame:
+    """a, b (a < b): rows of one group ``by`` whose words differ in at most ``radius`` bits.
+
+    By the pigeonhole principle one of ``bands`` bands of the words differs in radius / bands bits at most. Where
+    that is one bit, each band is probed with each of its bits flipped, so that bands can be long and few unlike rows share
+    one: with 6 bands and a radius of 10 one pair in 23 is compared. ``radius`` must be less than twice ``bands``."""
+    if radius >= 2 * bands:
+        raise ValueError("radius must be less than twice the number of bands")
+    edges = [64 * i // bands for i in range(bands + 1)]
+    band = lambda a, b: F.shiftrightunsigned(word, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+    own = [F.struct(F.lit(i).alias("i"), band(a, b).alias("v")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    near = [F.struct(F.lit(i).alias("i"), band(a, b).bitwiseXOR(F.lit(flip)).alias("v")) for i, (a, b) in enumerate(zip(edges, edges[1:])) for flip in (0, *(1 << j for j in range(b - a)))]
+    left = frame.select(*by, F.col(key).alias("a"), F.col(word).alias("wa"), F.explode(F.array(*own)).alias("band"))
+    right = frame.select(*by, F.col(key).alias("b"), F.col(word).alias("wb"), F.explode(F.array(*near)).alias("band"))
+    met = left.join(right, [*by, "band"]).where((F.col("a") < F.col("b")) & (hamming(F.col("wa"), F.col("wb")) <= radius))
+    return met.select("a", "b").distinct()
+
+
 def top_k(frame: DataFrame, distance: str, key: str, k: int) -> DataFrame:
     """The ``k`` rows of least distance, ties by key; k beyond the table gives all of it."""
     return frame.orderBy(distance, key).limit(k)

@@ -148,3 +148,51 @@ def text_print(text: Column, words: int = 16) -> Column:
 
 def density(words: Column, bits: int) -> Column:
     return popcount(words) / bits
+
+
+def mel_filters(rate: int, size: int, channels: int) -> ArrayLike:
+    """channels x (size / 2 + 1): triangles whose corners are even steps on the mel scale from 0 to half the rate, each
+    rising from its left corner to 1 at its centre."""
+    top = 2595 * np.log10(1 + rate / 2 / 700)
+    corners = 700 * (10 ** (np.linspace(0, top, channels + 2) / 2595) - 1)
+    at = corners * size / rate
+    left, centre, right = (x[:, None] for x in (at[:-2], at[1:-1], at[2:]))
+    bins = np.arange(size // 2 + 1)[None]
+    up, down = (bins - left) / np.maximum(centre - left, 1e-10), (right - bins) / np.maximum(right - centre, 1e-10)
+    return np.where((bins >= left) & (bins < centre), up, np.where((bins >= centre) & (bins < right), down, 0.0))
+
+
+def log_mel(frame: DataFrame, key: str, signal: str, rate: int, size: int, hop: int, channels: int, least: float = 1e-10) -> DataFrame:
+    """key, frame, v: natural logarithms of the filters' sums over each frame's magnitudes, ``least`` at least. The filters
+    are a small fixed matrix; frames of one batch are multiplied together, and only the filters' columns that aren't 0."""
+    filters = mel_filters(rate, size, channels)
+    used = np.flatnonzero(filters.any(0))
+    kernel = filters[:, used].T
+
+    def run(batches):
+        for batch in batches:
+            magnitudes = np.asarray(batch.column(2).to_pylist(), np.float64).reshape(-1, size // 2 + 1)
+            v = np.log(np.maximum(magnitudes[:, used] @ kernel, least))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(v), pa.list_(pa.float64()))], [key, "frame", "v"])
+
+    return stft_magnitude(frame, key, signal, size, hop).mapInArrow(run, f"{key} bigint, frame bigint, v array<double>")
+
+
+def pulses(v: Column, k: int) -> Column:
+    """A vector on the lattice of ``k`` pulses: each goes to the element whose magnitude is farthest from the pulses that it
+    has, the larger magnitude on ties, then the first, and has the element's sign. Of nothing, nothing."""
+
+    def place(state: Column) -> Column:
+        benefit = F.transform(state, lambda e: F.struct(F.abs(e["m"] - e["n"]).alias("b"), e["m"].alias("m"), (-e["i"]).alias("i")))
+        best = F.transform(F.array(F.array_max(benefit)), lambda x: -x["i"])[0]
+        return F.transform(F.array(best), lambda at: F.transform(state, lambda e: F.struct(e["m"].alias("m"), (e["n"] + F.when(e["i"] == at, 1).otherwise(0)).alias("n"), e["i"].alias("i"))))[0]
+
+    start = F.transform(v.cast("array<double>"), lambda x, i: F.struct(F.abs(x).alias("m"), F.lit(0).alias("n"), i.alias("i")))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, lambda s, _: place(s)) if k else start
+    return F.when(F.size(v) > 0, F.zip_with(done, v, lambda e, x: F.when(x >= 0, e["n"]).otherwise(-e["n"]))).otherwise(F.array().cast("array<int>"))
+
+
+def from_pulses(p: Column) -> Column:
+    """The unit vector of a vector of pulses."""
+    squares = F.aggregate(p, F.lit(0.0), lambda s, x: s + x * x)
+    return F.transform(F.array(F.greatest(F.sqrt(squares), F.lit(1e-10))), lambda n: F.transform(p, lambda x: x / n))[0]

@@ -387,14 +387,10 @@ def sliding_counts(spark, d):
 @query(f"""with recursive l as (select a.vec_id as x, b.vec_id as y from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id and {_H} <= 10), e as (select x, y from l union all select y, x from l),
  r as (select vec_id as x, vec_id as y from embeddings union select r.x, e.y from r join e on r.y = e.x) select x as vec_id, min(y) as component from r group by 1""")
 def redundancy_components(spark, d):
-    """Prints of one label within 10 bits, linked. By the pigeonhole principle two such prints agree on one of 11 bands,
-    so an equi-join finds all candidates."""
+    """Prints of one label within 10 bits, linked."""
     from spindrift.operators.graph import connected
 
     p = _prints(spark, d)
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", 6 * i).bitwiseAND(F.lit(63 if i < 10 else 15)).alias("b")) for i in range(11)])
-    each = p.select("vec_id", "label", "fp", F.explode(bands).alias("band"))
-    other = each.select(F.col("vec_id").alias("b"), "label", F.col("fp").alias("fb"), "band")
-    links = each.join(other, ["label", "band"]).where((F.col("vec_id") < F.col("b")) & (V.hamming(F.col("fp"), F.col("fb")) <= 10)).select(F.col("vec_id").alias("a"), "b").distinct()
+    links = search.close_pairs(p, ["label"], "vec_id", "fp", 10)
     found = connected(links)
     return p.select("vec_id").join(found, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("component", "vec_id").alias("component"))

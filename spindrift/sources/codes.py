@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from numpy.typing import ArrayLike
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -233,3 +234,26 @@ def layers_of(raw: bytes) -> tuple[ArrayLike, int]:
     if raw[:4] != LAYERS or len(raw) != 5 + 8 * 64 * 8:
         raise ValueError("not palette layers")
     return np.frombuffer(raw, "<u8", 512, 5).reshape(8, 64), raw[4]
+
+
+def index_tensors(spark: SparkSession, source: str, target: str, tasks: int = 8) -> DataFrame:
+    """Projects every row of the tensors of a folder's model files to a code and writes containers; returns the tensors'
+    name, n_rows, n_cols, and the bytes before (as 32-bit floats) and after.
+
+    Rows are read in blocks at their offsets, by as many tasks as there are blocks: no tensor is ever whole in one task."""
+    from spindrift.functions.palette import project
+    from spindrift.sources import tensors
+
+    directory = tensors.list_tensors(spark, source)
+    kinds = directory.select(F.col("name").alias("tensor"), layer_of(F.col("name")).alias("layer"))
+    rows = tensors.tensor_rows(directory).select(F.col("name").alias("tensor"), "row", F.size("v").alias("n_cols"), project(F.col("v")).alias("code"))
+    write_codes(rows.join(kinds, "tensor"), target, tasks=tasks)
+    found = read_codes(spark, target).groupBy("tensor", "layer", "n_cols").agg(F.count("*").alias("n_rows"))
+    return found.select("tensor", "layer", "n_rows", "n_cols", (F.col("n_rows") * F.col("n_cols") * 4).alias("bytes_before"), (F.col("n_rows") * WIDTH).alias("bytes_after"))
+
+
+def layer_of(name: Column) -> Column:
+    """A tensor's layer type by its name."""
+    low = F.lower(name)
+    has = lambda *parts: low.rlike("|".join(parts))
+    return F.when(has("norm", "ln_"), "norm").when(has("embd", "embed", "wte"), "embedding").when(has("attn", "attention", "[qkvo]_proj"), "attention").when(has("ffn", "mlp", "gate", "up_proj", "down_proj"), "feed_forward").when(has("conv"), "conv2d").otherwise("skip")

@@ -65,3 +65,18 @@ def test_palettes_and_layers():
             codes.layers_of(bad)
     with pytest.raises(ValueError):
         codes.palette_of(codes.palette_bytes(c, a)[:-1])
+
+
+def test_tensors_indexed_in_blocks(spark, tmp_path):
+    from spindrift.sources import tensors
+
+    rnd = np.random.default_rng(3)
+    rows = [(n, i, [float(x) for x in rnd.normal(size=40)]) for n, k in (("blk.0.attn_q.weight", 9), ("blk.0.ffn_up.weight", 5), ("token_embd.weight", 3)) for i in range(k)]
+    tensors.write_safetensors(spark.createDataFrame(rows, "name string, row bigint, v array<double>"), f"file://{tmp_path}/m")
+    found = {r["tensor"]: (r["layer"], r["n_rows"], r["n_cols"], r["bytes_before"], r["bytes_after"]) for r in codes.index_tensors(spark, f"file://{tmp_path}/m", f"file://{tmp_path}/c").collect()}
+    assert found == {"blk.0.attn_q.weight": ("attention", 9, 40, 1440, 306), "blk.0.ffn_up.weight": ("feed_forward", 5, 40, 800, 170), "token_embd.weight": ("embedding", 3, 40, 480, 102)}
+    got = {(r["tensor"], r["row"]): r["code"] for r in codes.read_codes(spark, f"file://{tmp_path}/c").collect()}
+    for name, i, v in rows:
+        x = np.asarray(v, np.float32).astype(float)
+        want = [x[[j for j in range(40) if j % 17 == b * 11 % 17]].mean() * 256 for b in range(17)]
+        assert all(abs(a - b) <= 0.5001 for a, b in zip(got[name, i], want))

@@ -414,3 +414,51 @@ def test_snapshots_with_gaps(spark):
     merged = snapshots.merged([s([(1, [0.0]), (2, [1.0])]), s([(2, [3.0])]), s([(1, [2.0]), (3, [1.0])])], ["k"], "v")
     found = {(r["k"], r["snapshot"]): (r["since"], r["d"], r["shifted"]) for r in snapshots.moved(merged, V.l1, 1.5).collect()}
     assert found == {(2, 1): (0, 2.0, True), (1, 2): (0, 2.0, True)}
+
+
+def test_close_pairs_equal_all_pairs(spark):
+    rnd = np.random.default_rng(11)
+    rows = [(i, i % 2, int(rnd.integers(-(2**62), 2**62))) for i in range(20)]
+    for i in range(20, 160):
+        k, w = int(rnd.integers(0, 20)), None
+        w = rows[k][2]
+        for b in rnd.integers(0, 64, rnd.integers(0, 14)):
+            w ^= 1 << int(b)
+        rows.append((i, i % 2, w if w < 2**63 else w - 2**64))
+    rows = [(i, g, (w + 2**63) % 2**64 - 2**63) for i, g, w in rows]
+    frame = spark.createDataFrame(rows, "id bigint, g int, fp bigint")
+    want = {(a, b) for a, g, x in rows for b, h, y in rows if a < b and g == h and bin((x ^ y) & (2**64 - 1)).count("1") <= 10}
+    assert {tuple(r) for r in search.close_pairs(frame, ["g"], "id", "fp", 10).collect()} == want and len(want) > 100
+    with pytest.raises(ValueError):
+        search.close_pairs(frame, ["g"], "id", "fp", 12)
+
+
+def test_pulses_are_placed_greedily(spark):
+    from spindrift.operators import signals
+
+    def plain(v, k):
+        p = [0] * len(v)
+        for _ in range(k if v else 0):
+            at = max(range(len(v)), key=lambda d: (abs(abs(v[d]) - p[d]), abs(v[d]), -d))
+            p[at] += 1
+        return [n if x >= 0 else -n for n, x in zip(p, v)]
+
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rnd.normal(size=5)]) for i in range(30)] + [(50, []), (51, [0.0, 0.0]), (52, [-1.0, 1.0, -1.0])]
+    frame = spark.createDataFrame(rows, "id bigint, v array<double>")
+    for k in (0, 1, 7):
+        found = {r["id"]: r["p"] for r in frame.select("id", signals.pulses(F.col("v"), k).alias("p")).collect()}
+        assert found == {i: plain(v, k) for i, v in rows}
+
+
+def test_superposition_gives_its_parts_back(spark):
+    from spindrift.functions import bits
+
+    rnd = np.random.default_rng(9)
+    rows = [(i, *([int(x) for x in rnd.integers(-(2**63), 2**63, 256)] for _ in range(3))) for i in range(5)]
+    frame = spark.createDataFrame(rows, "id bigint, s array<bigint>, p array<bigint>, o array<bigint>").withColumn("b", bits.superpose(F.col("s"), F.col("p"), F.col("o"), 256, 5003))
+    for i, c in enumerate("spo"):
+        for r in frame.select((V.hamming_words(F.col(c), bits.recover(F.col("b"), i, 256, 5003)) / 16384).alias("x")).collect():
+            assert abs(r["x"] - 0.25) < 0.02  # three random prints: each has three bits of four right
+    same = frame.select(V.hamming_words(bits.superpose(F.col("s"), F.col("s"), F.col("s"), 256, 0), F.col("s")).alias("x"))
+    assert {r["x"] for r in same.collect()} == {0}
