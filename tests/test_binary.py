@@ -60,3 +60,33 @@ def test_tiles_times_vectors(spark):
     assert (a["a"]["best"], a["a"]["distance"]) == (scores.index(max(scores)), 64 - max(scores))
     assert a["a"]["fires"] & (2**64 - 1) == sum(1 << i for i, v in enumerate(scores) if v >= 12)
     assert a["cols"] == [4 * c + k for c in range(64) if (int(words[0][5]) >> c) & 1 for k in range(4)]
+
+
+def test_sections_synapses_and_levels(spark):
+    from spindrift.operators import nets
+    from spindrift.operators.search import Mask
+
+    states = spark.createDataFrame([(0, 0, 1), (0, 63, 1), (0, 64, 3), (0, 65, 1), (1, 200, 2), (1, 5, None)], "s int, at bigint, state bigint")
+    found = {(r["s"], r["word"]): (r["bits"] & (2**64 - 1), r["n"]) for r in nets.section_bitmaps(states, ["s"], "at", "state", Mask(require=1, forbid=2)).collect()}
+    assert found == {(0, 0): (1 | 1 << 63, 2), (0, 1): (2, 1), (1, 3): (0, 0), (1, 0): (0, 0)}
+    rows = [(0, 10, 9), (5, 10, 9), (6, 10, 9), (-6, 10, 9), (11, 10, 7), (11, 10, 8), (-128, 127, 8), (10, 10, 9)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, efficacy int, theta int, maturity int")
+    got = [r["x"] for r in frame.orderBy("i").select(nets.synapse_state(F.col("efficacy"), F.col("theta"), F.col("maturity")).alias("x")).collect()]
+    assert got == ["Silent", "Silent", "WeakPos", "WeakNeg", "WeakPos", "StrongPos", "StrongNeg", "WeakPos"]
+    levels = nets.level_fractions(spark.createDataFrame([("none", 1), ("SP", 2), ("SPO", 1)], "class string, n bigint"))
+    assert {r["level"]: r["share"] for r in levels.collect()} == {"noise": 0.25, "free": 0.0, "pair": 0.5, "core": 0.25}
+    none = nets.level_fractions(spark.createDataFrame([], "class string, n bigint"))
+    assert {r["share"] for r in none.collect()} == {0.0} and none.count() == 4
+
+
+def test_layered_searches_lose_nothing(spark):
+    from spindrift.operators import nets, search
+
+    rnd = np.random.default_rng(6)
+    rows = [(i, [int(x) for x in rnd.integers(0, 256, 40)]) for i in range(60)] + [(60, [0] * 40), (61, [255] * 40)]
+    frame = spark.createDataFrame(rows, "id bigint, c array<int>")
+    q = frame.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("c").alias("q"))
+    at = dict(rows)
+    gap = lambda a, b: sum(abs(x - y) for x, y in zip(a, b))
+    found = {(r["query_id"], r["id"]): r["d"] for r in nets.work_search(search.pair_with(frame, q), "c", "q", 3400).collect()}
+    assert found == {(i, j): gap(at[i], at[j]) for i in (0, 20, 40, 60) for j in at if gap(at[i], at[j]) <= 3400} and len(found) > 20
