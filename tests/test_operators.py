@@ -462,3 +462,16 @@ def test_superposition_gives_its_parts_back(spark):
             assert abs(r["x"] - 0.25) < 0.02  # three random prints: each has three bits of four right
     same = frame.select(V.hamming_words(bits.superpose(F.col("s"), F.col("s"), F.col("s"), 256, 0), F.col("s")).alias("x"))
     assert {r["x"] for r in same.collect()} == {0}
+
+
+def test_code_bounds_lose_nothing(spark):
+    """Coarse codes of clustered vectors: exact answers; k beyond the table; a query set with a null."""
+    rnd = np.random.default_rng(12)
+    x = rnd.normal(size=(6, 13))[rnd.integers(6, size=300)] * 3 + rnd.normal(size=(300, 13)) * 0.3
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None)], "vec_id bigint, v array<double>")
+    books = search.train_codebooks(frame, "v", parts=3, k=5)
+    for k in (4, 400):
+        found = search.bounded_code_knn(frame, frame.where("vec_id in (0, 7, 900)"), "v", books, k, 6).collect()
+        got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found)
+        want = [(q, n + 1, i) for q in (0, 7) for n, (_, i) in enumerate(sorted((float(((x[i] - x[q]) ** 2).sum()), i) for i in range(300))[:k])]
+        assert got == want
