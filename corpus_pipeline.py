@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before it kept."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before it kept.
+
+All stages take null texts as empty ones, keep rows that repeat a doc_id or have none as rows of their own (the Jaccard join
+takes rows with equal doc_id and text as one), read very long texts whole, give no rows for an empty table, and return the
+columns of documents, in the order and with the names that they have there; extra columns are dropped. Ties are broken by
+doc_id and text hashes, so that results don't depend on the order of rows. Stored stages stay in the shared folder until
+``drop_stored`` deletes them, for the returned frame reads the last.
+"""
 
 from __future__ import annotations
 
@@ -17,12 +24,13 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: also those without text, which have too few words."""
     return quality.judge(docs, rows=True).where("kept").select("source_row.*").select(*COLUMNS)
 
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, but for two edits, go; documents of which no line is left go with them."""
+    """Lines that repeat an earlier line, but for two edits, go; documents of which no line is left go with them. A text
+    without lines is left as it is."""
     kept = line_dedup.without_repeats(docs).where("not (n_removed > 0 and n_removed = n_lines)")
     return _measured(kept.select("source_row.*"))
 
@@ -33,12 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; all documents stay."""
+    """Secrets are masked; all documents stay, and n_chars is counted anew."""
     return _measured(secret_scan.redact(docs.select(*COLUMNS)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4,096 tokens: one row per piece."""
+    """Sequences of 4,096 tokens: one row per piece. An empty text is its separator alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=4096, separator=2)
 
 
