@@ -13,21 +13,33 @@ import numpy as np
 from numpy.typing import ArrayLike
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
 from spindrift.functions.vectors import hamming, squared_l2
 
-#: Queries that may be broadcast, in rows; larger sets go block by block.
-BROADCAST_ROWS = 20_000
+#: Queries that may be broadcast, in rows and in bytes; larger sets go block by block.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
+
+
+def _bytes(field: StructField) -> Column:
+    """About the size of a column's value."""
+    kind, at_least = field.dataType, lambda c: F.coalesce(F.greatest(c, F.lit(0)), F.lit(0)).cast("bigint")
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType):
+        return 8 * at_least(F.aggregate(field.name, F.lit(0), lambda n, x: n + F.coalesce(F.size(x), F.lit(0))))
+    if isinstance(kind, ArrayType):
+        return 8 * at_least(F.size(field.name))
+    return at_least(F.octet_length(field.name)) if isinstance(kind, (StringType, BinaryType)) else F.lit(8).cast("bigint")
 
 
 def pair_with(base: DataFrame, queries: DataFrame, block_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Every base row with every query row. The count of the queries decides: up to ``block_rows`` of them are broadcast;
-    more are dealt to blocks of as many, each of which is broadcast to one pass over the base, so that a task holds a
-    block of queries and its own share of the base at most."""
-    n = queries.count()
-    if n <= block_rows:
+    """Every base row with every query row. The count and the size of the queries decide: up to ``block_rows`` of them, of
+    up to BROADCAST_BYTES, are broadcast; more are dealt to blocks of as many, each of which is broadcast to one pass over
+    the base, so that a task holds a block of queries and its own share of the base at most."""
+    size = sum((_bytes(f) for f in queries.schema.fields), F.lit(0).cast("bigint"))
+    facts = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-facts["n"] // block_rows), -(-facts["bytes"] // BROADCAST_BYTES))
+    if blocks <= 1:
         return base.crossJoin(F.broadcast(queries))
-    blocks = -(-n // block_rows)
     number = F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))
     return reduce(DataFrame.unionByName, [base.crossJoin(F.broadcast(queries.where(number == i))) for i in range(blocks)])
 

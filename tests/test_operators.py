@@ -15,6 +15,18 @@ from spindrift.sources import tensors
 from spindrift.streaming import drift
 
 
+def test_pair_with_goes_by_bytes(spark, monkeypatch):
+    """Few but large queries are dealt to blocks too; nulls and nested arrays are measured."""
+    base = spark.range(5).toDF("a")
+    rows = [(i, [[float(i)] * 40] * 3, "x" * i, None) for i in range(6)] + [(9, None, None, [1])]
+    queries = spark.createDataFrame(rows, "q bigint, t array<array<double>>, s string, w array<int>")
+    want = sorted((r["a"], r["q"]) for r in search.pair_with(base, queries).collect())
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 2_000)
+    pairs = search.pair_with(base, queries)
+    assert sorted((r["a"], r["q"]) for r in pairs.collect()) == want and len(want) == 35
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join Cross") >= 3
+
+
 def test_pair_with_blocks_equals_broadcast(spark):
     base, queries = spark.range(40).toDF("a"), spark.range(7).toDF("q")
     assert sorted(map(tuple, search.pair_with(base, queries, block_rows=2).collect())) == sorted(map(tuple, search.pair_with(base, queries).collect()))
