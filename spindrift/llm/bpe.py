@@ -2,9 +2,11 @@
 
 A piece of text is read byte by byte. For every prefix exactly one last token belongs to its encoding: the token that
 ends there, may follow the last token at its own start, and is made by merges itself. The transducer's configuration
-holds the starts that a longer token can still begin at, each with the tokens since the part on which all agree; what
-all agree on is emitted, so that the lookahead stays under the longest token's length. Configurations are numbered as
-they turn up and their transitions kept, which determinises only the part of the machine that the corpus visits.
+holds the starts that a longer token can still begin at, each with its place in the vocabulary's trie and the last token
+there; the last of them is the prefix's own end, so the configuration tells the prefix's last token. Reading these back
+from the piece's end gives its tokens. What was decided before a start is not part of a configuration, so pieces that
+differ in it share theirs. Configurations are numbered as they turn up and their transitions kept, which determinises
+only the part of the machine that the corpus visits.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
 
 
-def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Plain BPE: merges the lowest-ranked neighbours, leftmost first, until none is left. Used for short strings."""
+def merge_by_rank(piece: bytes, ranks: dict[bytes, int], until: int = 1) -> list[bytes]:
+    """Plain BPE: merges the lowest-ranked neighbours, leftmost first, until ``until`` parts or no merges are left. Used for
+    short strings."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > until:
         best, at = None, -1
         for i in range(len(parts) - 1):
             rank = ranks.get(parts[i] + parts[i + 1])
@@ -47,9 +50,6 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-_EMPTY = ((0, ()),)
-
-
 class MergeTransducer:
     """``encode(piece)`` gives a piece's token ids; ``states`` bounds the determinised part kept in memory."""
 
@@ -59,6 +59,8 @@ class MergeTransducer:
         #: The vocabulary's trie: node * 256 + byte -> node; the token that ends at a node, if merges lead to it.
         self.trie: dict[int, int] = {}
         self.token_at: list[int | None] = [None]
+        #: Where a token's last merge joins its two parts.
+        self._splits: dict[bytes, int] = {}
         for token, number in ranks.items():
             node = 0
             for byte in token:
@@ -67,17 +69,21 @@ class MergeTransducer:
                     child = self.trie[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(None)
                 node = child
-            if len(merge_by_rank(token, ranks)) == 1:
+            parts = merge_by_rank(token, ranks, 2)
+            if len(parts) <= 2:  # two parts of a token merge into it
                 self.token_at[node] = number
-        self.inner = {key >> 8 for key in self.trie}
-        self._pairs: dict[tuple[int, int], bool] = {}
+                self._splits[token] = len(parts[0])
+        inner = {key >> 8 for key in self.trie}
+        #: What a trie edge leads to: the node, if longer tokens go through it (else -1), and the token that ends there.
+        self.moves = {key: (node if node in inner else -1, self.token_at[node]) for key, node in self.trie.items()}
+        self._pairs: dict[int, bool] = {}
         self._edges: dict[tuple[bytes, bool], list[tuple[bytes, float]]] = {}
-        self._splits: dict[bytes, int] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = (-1, _EMPTY)
-        self.number, self.configs, self.next = {start: 0}, [start], [{}]
+        #: A configuration: trie node * 2**24 + last token + 1 of each start, the earliest first; a prefix's last token by its
+        #: state; state * 256 + byte -> state.
+        self.number, self.configs, self.last, self.next = {(0,): 0}, [(0,)], [-1], {}
 
     def _edge(self, token: bytes, right: bool) -> list[tuple[bytes, float]]:
         """The pieces that stand at one edge of a token while it is being made, last first, each with the rank of the
@@ -90,23 +96,15 @@ class MergeTransducer:
                 if len(token) == 1:
                     break
                 until = self.ranks[token]
-                left = self._split(token)
+                left = self._splits[token]
                 token = token[left:] if right else token[:left]
             self._edges[found[0][0], right] = found
         return found
 
-    def _split(self, token: bytes) -> int:
-        """Where the token's last merge joins its two parts."""
-        at = self._splits.get(token)
-        if at is None:
-            lower = {t: r for n in range(len(token)) for m in range(n + 1, len(token) + 1) if (r := self.ranks.get(t := token[n:m])) is not None and t != token}
-            at = self._splits[token] = len(merge_by_rank(token, lower)[0])
-        return at
-
     def may_follow(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border: a pair of edge pieces that stand there together would merge before
         either is taken in (on equal ranks the leftmost merge goes first)."""
-        found = self._pairs.get((left, right))
+        found = self._pairs.get(left << 24 | right)
         if found is None:
             if len(self._pairs) > 2_000_000:
                 self._pairs.clear()
@@ -122,44 +120,33 @@ class MergeTransducer:
                     i -= 1
                 else:
                     j -= 1
-            self._pairs[left, right] = found
+            self._pairs[left << 24 | right] = found
         return found
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        base, live = self.configs[state]
-        trie, token_at, inner = self.trie, self.token_at, self.inner
-        path, grown, paths = None, [], []
-        for node, tokens in live:
-            child = trie.get(node << 8 | byte)
-            if child is None:
+    def _step(self, state: int, byte: int) -> int:
+        moves, pairs = self.moves, self._pairs
+        ends, grown = -1, []
+        for start in self.configs[state]:
+            move = moves.get(start >> 24 << 8 | byte)
+            if move is None:
                 continue
-            if path is None and (token := token_at[child]) is not None:
-                last = tokens[-1] if tokens else base
-                if last < 0 or self.may_follow(last, token):
-                    path = (*tokens, token)
-            if child in inner:
-                grown.append((child, tokens))
-                paths.append(tokens)
-        if not grown:
-            out, config = path, (path[-1], _EMPTY)
-        else:
-            low, high = min(*paths, path), max(*paths, path)
-            agreed = 0
-            for x, y in zip(low, high):
-                if x != y:
-                    break
-                agreed += 1
-            out = path[:agreed]
-            if out:
-                base = out[-1]
-            config = (base, (*[(t, p[agreed:]) for t, p in grown], (0, path[agreed:])))
+            child, token = move
+            last = start & 0xFFFFFF
+            if ends < 0 and token is not None:
+                fits = not last or pairs.get(last - 1 << 24 | token)
+                if self.may_follow(last - 1, token) if fits is None else fits:
+                    ends = token
+            if child >= 0:
+                grown.append(child << 24 | last)
+        grown.append(ends + 1)
+        config = tuple(grown)
         to = self.number.get(config)
         if to is None:
             to = self.number[config] = len(self.configs)
             self.configs.append(config)
-            self.next.append({})
-        self.next[state][byte] = found = (to, out)
-        return found
+            self.last.append(ends)
+        self.next[state << 8 | byte] = to
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -167,14 +154,18 @@ class MergeTransducer:
             return [whole]
         if len(self.configs) > self.limit:
             self._reset()
-        ids: list[int] = []
-        state, following = 0, self.next
+        state, following, last, bytes_of = 0, self.next, self.last, self.bytes_of
+        ends: list[int] = []
         for byte in piece:
-            found = following[state].get(byte) or self._step(state, byte)
-            state = found[0]
-            if found[1]:
-                ids += found[1]
-        ids += self.configs[state][1][-1][1]
+            state = following.get(state << 8 | byte) or self._step(state, byte)
+            ends.append(last[state])
+        ids: list[int] = []
+        at = len(piece)
+        while at:
+            token = ends[at - 1]
+            ids.append(token)
+            at -= len(bytes_of[token])
+        ids.reverse()
         return ids
 
 

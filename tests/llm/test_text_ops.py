@@ -182,6 +182,19 @@ def test_bpe_random_bytes_and_streams():
         assert "".join(t for _, t in coder.decode_stream(ids, chunk)) == "漢字 und Straße \U0001f600" * 20
 
 
+def test_bpe_configurations_are_shared():
+    """Words that begin differently share the configurations of what they have in common."""
+    import random
+
+    machine = bpe.MergeTransducer(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    rnd, parts = random.Random(3), ["th", "er", "en", "tion", "ea", "nd", "ge", "lich", "ción", "ö", "bl", "ou", "st"]
+    words = {" " + "".join(rnd.choices(parts, k=rnd.randint(3, 6))) for _ in range(20_000)}
+    for word in sorted(words):
+        whole = machine.encode(word.encode())
+        assert b"".join(map(machine.bytes_of.__getitem__, whole)) == word.encode()
+    assert len(machine.configs) < len(words) / 2
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_packing(request, which):
     import zlib
