@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by large-star and small-star rounds."""
+"""Connected components of a table of links, by randomised contraction."""
 
 from __future__ import annotations
 
@@ -11,24 +11,37 @@ from .common import stored
 def connected(links: DataFrame) -> DataFrame:
     """links (a, b: bigint) -> one row per linked node: node, component (its smallest reachable node).
 
-    Each round points every node's larger neighbours at its smallest neighbour, then does the same for the smaller ones;
-    rounds end when the links are stars. Each round's links are written to the shared folder, never to the driver.
+    Each round every node goes to that one of its neighbours and itself which comes first in an order drawn for the round,
+    and links are carried on between the nodes gone to. A quarter of the nodes at least can be expected to go each time, and
+    groups of many links become single nodes in the first rounds, so later rounds see few links. When none is left, the
+    rounds are followed back. Each round's links are written to the shared folder, never to the driver.
     """
-    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    mark = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    links = stored(links, "links")
-    before = mark(links)
-    while True:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-        now = mark(after)
-        links, done, before = after, now == before, now
-        if done:
-            break
-    stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    links = stored(_once(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+    rounds: list[DataFrame] = []
+    low = None  # per node of this round the smallest node that has come to it
+    while not links.isEmpty():
+        rank = lambda x: F.struct(F.xxhash64(F.lit(len(rounds)), x).alias("rank"), F.col(x).alias("node"))
+        ends = links.select(F.explode(F.array("u", "v")).alias("node"), F.least(rank("u"), rank("v")).alias("first"))
+        to = ends.groupBy("node").agg(F.min("first").getField("node").alias("to"))
+        if low is None:
+            to = to.withColumn("low", F.col("node"))
+        else:  # a node without links stays
+            to = low.join(to.hint("shuffle_merge"), "node", "left").select("node", F.coalesce("to", "node").alias("to"), "low")
+        to = stored(to, "round")
+        rounds.append(to)
+        low = to.groupBy(F.col("to").alias("node")).agg(F.min("low").alias("low"))
+        for end in "uv":
+            gone = to.select(F.col("node").alias(end), F.col("to").alias("x"))
+            links = links.join(gone.hint("shuffle_merge"), end).drop(end).withColumnRenamed("x", end)
+        links = stored(_once(links), "links")
+    if low is None:
+        return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = low.withColumnRenamed("low", "component")
+    for to in reversed(rounds):
+        found = to.select("node", "to").join(found.withColumnRenamed("node", "to").hint("shuffle_merge"), "to").select("node", "component")
+    return found
+
+
+def _once(links: DataFrame) -> DataFrame:
+    """The distinct links of different nodes, the smaller one first."""
+    return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()

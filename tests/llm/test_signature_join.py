@@ -92,3 +92,26 @@ def test_collisions_and_lists(spark):
         by_list.setdefault(r["s"], set()).add(r["node"])
     for (i, j), c in got.items():
         assert i == j or c < sj.MATCHES or any({i, j} <= m for m in by_list.values())
+
+
+def test_components_carry_few_links(spark, monkeypatch):
+    """Many links to the same few nodes are gone after a round or two; all rounds together see few more than there are."""
+    from spindrift.llm import graph
+
+    carried, write = [], graph.stored
+
+    def counted(frame, name):
+        out = write(frame, name)
+        if name == "links":
+            carried.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", counted)
+    rnd = random.Random(5)
+    links = [(100 + i, rnd.randrange(12)) for i in range(1000) for _ in range(9)] + [(2000 + i, 2001 + i) for i in range(50)]
+    links += [(5000 + rnd.randrange(400), 5000 + rnd.randrange(400)) for _ in range(300)] + [(7000, 7000)]
+    rnd.shuffle(links)
+    got = {r["node"]: r["component"] for r in graph.connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    assert got == brute.components(sorted(nodes), [(a, b) for a, b in links if a != b])
+    assert sum(carried) < 1.5 * carried[0]
