@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from numpy.typing import ArrayLike
 from pyspark.sql import Column, DataFrame, Window
@@ -60,7 +61,42 @@ def shingle_set(text: str) -> ArrayLike:
     total = np.full(n - k + 1, np.uint64(k), np.uint64)
     for j in range(k):
         total += h[j : n - k + 1 + j] * _FACTORS[j]
-    return np.unique(mix64(total))
+    return _distinct(mix64(total))
+
+
+def _distinct(x: ArrayLike) -> ArrayLike:
+    """Sorted distinct values; short arrays are sorted faster than they are hashed."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
+#: Texts that are split into words at once: so few that their distinct words stay in a core's cache.
+_AT_ONCE = 512
+
+
+def shingle_sets(texts: pa.Array) -> list[ArrayLike]:
+    """``shingle_set`` of each text. Words are split and told apart by Arrow, and a distinct one is hashed once."""
+    out = []
+    for at in range(0, len(texts), _AT_ONCE):
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, _AT_ONCE).fill_null("")))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        which = coded.indices.to_numpy()
+        full = np.fromiter(map(len, distinct), np.int64, len(distinct))[which] > 0  # white space at a text's ends leaves empty words
+        ends = np.concatenate(([0], np.cumsum(full)))[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[which[full]]
+        every = np.full(max(len(h) - SHINGLE + 1, 0), np.uint64(SHINGLE), np.uint64)
+        for j in range(SHINGLE):
+            every += h[j : len(every) + j] * _FACTORS[j]
+        every = mix64(every)
+        for start, end in zip(ends, ends[1:]):
+            n = end - start
+            if n >= SHINGLE:
+                out.append(_distinct(every[start : end - SHINGLE + 1]))
+            else:
+                few = h[start:end] * _FACTORS[:n]
+                out.append(mix64(few.sum(keepdims=True, dtype=np.uint64) + np.uint64(n)) if n else np.zeros(0, np.uint64))
+    return out
 
 
 def set_key(s: ArrayLike) -> int:
@@ -87,7 +123,7 @@ def set_keys(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(3).to_pylist()]
+            sets = shingle_sets(batch.column(3))
             words = list(zip(*map(sketch, sets))) if sets else [[]] * SKETCH_WORDS
             found = [[len(s) for s in sets], [set_key(s) for s in sets], [_second_key(s) for s in sets], *words]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.int64()) for x in found)], names)
@@ -104,8 +140,7 @@ def fronts(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             parts, keys, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text)
+            for s in shingle_sets(batch.column(0)):
                 key = set_key(s)
                 if len(s) == 0 or key in seen:
                     continue
@@ -113,7 +148,7 @@ def fronts(docs: DataFrame) -> DataFrame:
                     seen.clear()
                 seen.add(key)
                 front = s[: front_length(len(s))] >> np.uint64(64 - _REGION_BITS)
-                parts.append(np.unique(front))
+                parts.append(_distinct(front))
                 keys.append(key)
                 sizes.append(len(s))
             if parts:
@@ -158,7 +193,7 @@ def similarities(pairs: DataFrame, docs: DataFrame, per_task: int = 64) -> DataF
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_set(t) for t in batch.column(5).to_pylist()]
+            found = shingle_sets(batch.column(5))
             right = pa.array([set_key(s) == k for s, k in zip(found, batch.column(4).to_pylist())])
             out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((s.tobytes() for s in found), pa.binary())], ["a", "salt", "role", "node", "shingles"])
             yield out.filter(right)

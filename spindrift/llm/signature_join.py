@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import SKETCH_WORDS, mix64, sketch, sketch_lacks, spread_join, stored
 from .graph import connected
-from .jaccard_join import _second_key, _texts, first_lists, is_first, more_pivots, set_key, shingle_set, similarities
+from .jaccard_join import _second_key, _texts, first_lists, is_first, more_pivots, set_key, shingle_sets, similarities
 
 COORDINATES, MATCHES = 64, 29
 _ODD = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -60,7 +60,7 @@ def sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [shingle_set(t) for t in batch.column(3).to_pylist()]
+            found = shingle_sets(batch.column(3))
             drawn = [signature(s) for s in found]
             bits = [int(np.packbits((x & 1).astype(np.uint8), bitorder="little").view("<i8")[0]) for x in drawn]
             numbers = [[len(s) for s in found], [set_key(s) for s in found], [_second_key(s) for s in found], bits, *(list(zip(*map(sketch, found))) if found else [[]] * SKETCH_WORDS)]
@@ -166,8 +166,7 @@ def rare_fronts(left: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     def run(batches):
         for batch in batches:
             node, k, n = (c.to_pylist() for c in batch.columns[:3])
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                s = shingle_set(text)
+            for i, s in enumerate(shingle_sets(batch.column(3))):
                 if set_key(s) == k[i]:
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), node[i])), pa.array(np.full(len(s), n[i]))], ["s", "node", "n"])
 

@@ -190,3 +190,18 @@ def test_line_dedup(request, which):
     found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.without_repeats(frame).select("source_row.*", "n_removed").collect()}
     assert found == _deduped(rows)
     assert line_dedup.without_repeats(frame.where("doc_id < 0")).count() == 0
+
+
+def test_shingle_sets_of_a_batch(monkeypatch, rows):
+    """A batch's sets are those of its texts; of its words each distinct one is hashed once."""
+    import pyarrow as pa
+
+    texts = ["", " ", " a", "A ", "a\x0bb\x1cc d\x85 e f", "A B c d", "\ta b c d e\n", "É é À", "\0 a\0b c", *(t or "" for _, t in rows)]
+    for skip in range(9):
+        found = jaccard_join.shingle_sets(pa.array(texts[:12] + texts).slice(skip))
+        assert [s.tolist() for s in found] == [jaccard_join.shingle_set(t).tolist() for t in (texts[:12] + texts)[skip:]]
+    assert jaccard_join.shingle_sets(pa.array([], pa.string())) == []
+    hashed, digest = [], jaccard_join.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard_join.xxhash, "xxh3_64_intdigest", lambda w: hashed.append(w) or digest(w))
+    jaccard_join.shingle_sets(pa.array(["one two One three", " two\none "]))
+    assert sorted(hashed) in ([b"", b"one", b"three", b"two"], [b"one", b"three", b"two"])
