@@ -9,9 +9,12 @@ verified by a banded bit-parallel edit distance.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.typing import ArrayLike
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,16 +91,32 @@ def segments(length: int, tau: int) -> list[tuple[int, int]]:
 def signatures(line: str, tau: int) -> list[tuple[int, bool]]:
     """Keys of a line: its own segments (True), and the other substrings that can match one of a line as long or up to
     ``tau`` shorter. A key is a hash of length, segment number and substring."""
-    n, out = len(line), []
+    return list(zip(keys(line, tau).tolist(), layout(len(line), tau)[1].tolist()))
+
+
+@lru_cache(maxsize=4096)
+def layout(n: int, tau: int) -> tuple[list[tuple[int, int, int]], ArrayLike]:
+    """Start, end and seed of the substrings that give the keys of a line of ``n`` characters; which are its own segments."""
+    out, own = [], []
     for delta in range(tau + 1):
         for i, (p, size) in enumerate(segments(n - delta, tau)):
             low = max(0, p - i, p + delta - (tau - i))
             high = min(n - size, p + i, p + delta + (tau - i))
             seed = (n - delta) * 64 + i
             for q in range(low, high + 1):
-                key = xxhash.xxh3_64_intdigest(line[q : q + size].encode("utf-8", "surrogatepass"), seed)
-                out.append((key - (1 << 64) if key >> 63 else key, delta == 0 and q == p))
-    return out
+                out.append((q, q + size, seed))
+                own.append(delta == 0 and q == p)
+    return out, np.array(own, bool)
+
+
+def keys(line: str, tau: int) -> ArrayLike:
+    """The keys of ``signatures`` alone. A line is encoded once; where bytes are not characters, each substring is."""
+    digest, raw = xxhash.xxh3_64_intdigest, line.encode("utf-8", "surrogatepass")
+    if len(raw) == len(line):
+        found = [digest(raw[p:q], seed) for p, q, seed in layout(len(line), tau)[0]]
+    else:
+        found = [digest(line[p:q].encode("utf-8", "surrogatepass"), seed) for p, q, seed in layout(len(line), tau)[0]]
+    return np.array(found, np.uint64).view(np.int64)
 
 
 def _row_key(doc_id: Column, text: Column) -> list[Column]:
@@ -122,18 +141,18 @@ def _keys(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            hs, keys, own = [], [], []
+            hs, found, own = [], [], []
             for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if h in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(h)
-                for key, mine in signatures(line, tau):
-                    hs.append(h)
-                    keys.append(key)
-                    own.append(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hs, pa.int64()), pa.array(own, pa.bool_())], ["key", "h", "own"])
+                hs.append(h)
+                found.append(keys(line, tau))
+                own.append(layout(len(line), tau)[1])
+            times = [len(k) for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(hs, np.int64), times)), pa.array(np.concatenate(own) if own else np.zeros(0, bool))], ["key", "h", "own"])
 
     return lines.where(F.char_length("line") >= min_chars).select("h", "line").mapInArrow(run, "key bigint, h bigint, own boolean")
 

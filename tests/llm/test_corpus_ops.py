@@ -205,3 +205,16 @@ def test_shingle_sets_of_a_batch(monkeypatch, rows):
     monkeypatch.setattr(jaccard_join.xxhash, "xxh3_64_intdigest", lambda w: hashed.append(w) or digest(w))
     jaccard_join.shingle_sets(pa.array(["one two One three", " two\none "]))
     assert sorted(hashed) in ([b"", b"one", b"three", b"two"], [b"one", b"three", b"two"])
+
+
+def test_line_keys_share_a_layout():
+    """Lines of one length have their substrings laid out once; the keys are those of each substring alone."""
+    line_dedup.layout.cache_clear()
+    lines = ["the quick brown fox jumps over it", "the quick brown fox jumps over us", "Ünï quick brown fox jumps over it", "\udc80he quick brown fox jumps over it"[:33]]
+    for line in lines:
+        pairs = line_dedup.signatures(line, 2)
+        assert [k for k, _ in pairs] == line_dedup.keys(line, 2).tolist() and sum(own for _, own in pairs) == 3
+        places = {(line[p:q].encode("utf-8", "surrogatepass"), seed) for p, q, seed in line_dedup.layout(len(line), 2)[0]}
+        wanted = {line_dedup.xxhash.xxh3_64_intdigest(piece, seed) for piece, seed in places}
+        assert {k % 2**64 for k, _ in pairs} == wanted
+    assert line_dedup.layout.cache_info().misses == 1
