@@ -12,6 +12,10 @@
 5. Lists whose members aren't in one component yet are merged in full: members of different components meet, and those with
    MATCHES collisions that the sketches of their sets don't rule out are confirmed too. Long lists, whose members often
    share a passage rather than a text, are merged by their members' rarest shingles, which loses no link.
+6. A loose group of m near copies, of which most are linked but few by a pivot, has links in proportion to m squared.
+   So in long lists one pair of SAMPLE ** i is tried first, then one of SAMPLE ** (i - 1), at last every one. What a round
+   confirms puts most of the group in one component, and its pairs meet no more: a node has SAMPLE links to other components
+   left for the next round at most, as can be expected. The last round leaves out nothing but pairs in one component.
 
 The chance that a link of similarity 0.85 has fewer than 29 collisions of 64 is 3e-14, so all links are found but for that;
 no list is capped. A component's documents are linked by confirmed links only.
@@ -142,11 +146,12 @@ def with_pivots(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
 
 def open_lists(members: DataFrame, found: DataFrame) -> DataFrame:
-    """s, node, component, length (of the list): lists whose members aren't in one component."""
+    """s, node, component, length and low (of the list: its members and least component): lists whose members aren't in
+    one component."""
     label = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = stored(label, "labelled")
     per_list = label.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_rows"))
-    per_list = stored(per_list.where("low < high").select("s", "n_rows", F.col("n_rows").alias("length")), "open-lists")
+    per_list = stored(per_list.where("low < high").select("s", "n_rows", F.col("n_rows").alias("length"), "low"), "open-lists")
     return stored(spread_join(label, per_list, ["s"], ["node"]), "open")
 
 
@@ -178,17 +183,49 @@ def rare_fronts(left: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     return kept.select(F.col("s").bitwiseOR(F.lit(-(2**63))).alias("s"), "node")  # below all coordinates' lists
 
 
-def open_pairs(left: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a list that may be linked and aren't in one component, as ``similarities`` takes them. A pair
-    that shares several lists is made in the first of them."""
-    component = left.select("node", "component").distinct()
+#: Each round compares so many times more of the pairs of long lists than the one before.
+SAMPLE = 16
+
+
+def shares(merged: DataFrame) -> list[int]:
+    """For each round, of how many pairs of a list (s, node) one is tried: the last round is 1, others are for long lists."""
+    longest = merged.groupBy("s").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    out = [1]
+    while longest > SAMPLE**2 * out[0]:
+        out.insert(0, SAMPLE * out[0])
+    return out
+
+
+def open_pairs(left: DataFrame, known: DataFrame, percent: int, share: int) -> DataFrame:
+    """Pairs of members of open lists (as of :func:`open_lists`) that may be linked and aren't in one component, as
+    ``similarities`` takes them. A pair that shares several lists is made in the first of them. With a ``share`` above 1,
+    the members of a list are dealt into so many parts, members of one part meet, and short lists wait.
+
+    A component's number is its least node's, so the largest one mostly has the list's least number; its members only meet
+    the others, never each other."""
+    if share > 1:
+        left = left.where(F.col("length") > 4 * share)
+    part = F.pmod(F.xxhash64("s", "node"), F.lit(share)).alias("part")
+    every = stored(left.select("s", "node", "component", (F.col("component") == F.col("low")).alias("lowest"), part).join(known, "node"), "merged")
+    one, two = (_side(every, side, ["s", "part", *[F.col(c).alias(f"{side}_{c}") for c in ("component", "lowest", "lists")]]) for side in "ab")
+    ordered = F.col("b_lowest") | (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
+    two = two.withColumnsRenamed({"s": "s2", "part": "part2"}).hint("shuffle_merge")
+    same = (F.col("s") == F.col("s2")) & (F.col("part") == F.col("part2")) & (F.col("a_component") != F.col("b_component"))
+    return _as_pairs(one.where("not a_lowest").join(two, same & ordered & alike(percent) & is_first("a_lists", "b_lists", "s"))).distinct()
+
+
+def join_open(left: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The components ``found`` (node, component) joined by the links between members of open lists (s, node, component,
+    length) in different ones."""
     short = left.where(F.col("length") <= LONG).select("s", "node")
     merged = stored(short.unionByName(rare_fronts(left, nodes, docs, percent)), "merged-lists")
-    every = stored(merged.join(first_lists(merged), "node").join(component, "node").join(nodes.select(*_OF_NODE), "node"), "merged")
-    one, two = (_side(every, side, ["s", F.col("component").alias(f"{side}_component"), F.col("lists").alias(f"{side}_lists")]) for side in "ab")
-    apart = (F.col("a_component") != F.col("b_component")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node"))))
-    two = two.withColumnRenamed("s", "s2").hint("shuffle_merge")
-    return _as_pairs(one.join(two, (F.col("s") == F.col("s2")) & apart & alike(percent) & is_first("a_lists", "b_lists", "s"))).distinct()
+    known = stored(first_lists(merged).join(nodes.select(*_OF_NODE), "node"), "known")
+    for share in shares(merged):
+        rest = stored(open_pairs(open_lists(merged, found), known, percent, share), "rest")
+        more = stored(similarities(rest, docs).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"), "more-links")
+        if not more.isEmpty():
+            found = stored(connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -210,10 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     near = F.col("both") * 100 >= F.col("either") * percent
     links = stored(similarities(with_pivots(members, nodes, percent), docs).where(near).select("a", "b"), "links")
     found = stored(connected(links), "components")
-    rest = stored(open_pairs(open_lists(members, found), nodes, docs, percent), "rest")
-    more = stored(similarities(rest, docs).where(near).select("a", "b"), "more-links")
-    if not more.isEmpty():
-        found = stored(connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    found = join_open(open_lists(members, found), found, nodes, docs, percent)
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("low").alias("least"))
     of_set = stored(labelled.join(least, "component").select("k", "k2", "n", "n_rows", "least"), "classes")

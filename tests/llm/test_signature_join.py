@@ -115,3 +115,27 @@ def test_components_carry_few_links(spark, monkeypatch):
     nodes = {x for a, b in links if a != b for x in (a, b)}
     assert got == brute.components(sorted(nodes), [(a, b) for a, b in links if a != b])
     assert sum(carried) < 1.5 * carried[0]
+
+
+def test_loose_group_makes_few_links(spark, monkeypatch):
+    """Of 495 texts each is linked to some thirty others, few by a pivot: most links are left out, the components are whole."""
+    import itertools
+
+    measured, measure = [], sj.similarities
+
+    def counted(pairs, docs):
+        measured.append(pairs.count())
+        return measure(pairs, docs)
+
+    monkeypatch.setattr(sj, "similarities", counted)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for edited in itertools.combinations(range(12), 4):  # linked if they share three
+        words = list(base)
+        for i in edited:
+            words[10 + 15 * i] = f"e{i}"
+        rows.append((len(rows), " ".join(words)))
+    rows += [(1000 + i, " ".join([*base[:100], *(f"x{i}-{j}" for j in range(12))])) for i in range(20)]
+    want = expected(rows)
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)) == want
+    links = 495 * 32 // 2
+    assert len({r[2] for r in want}) == 21 and sum(measured[1:]) < links / 2
