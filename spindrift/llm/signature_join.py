@@ -135,6 +135,29 @@ def _met(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return _as_pairs(met.where(alike(percent)))
 
 
+#: Bits of the filter of texts for each row that is asked for, and at most.
+FILTER_BITS, MOST_BITS = 8, 2**25
+
+
+def asked_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose r1 is in ``rows`` (r1), and of few others, which a join tells apart later.
+
+    Texts are most of what a join by r1 would shuffle, and few of them are asked for. So the asked rows' bits are broadcast,
+    64 to a number, and the other texts go before they travel. Beyond MOST_BITS more of the others pass, never fewer of the
+    asked ones."""
+    rows = stored(rows.distinct(), "asked")
+    numbers = 1 << max(0, (min(rows.count() * FILTER_BITS, MOST_BITS) - 1).bit_length() - 6)
+    number, bit = F.col("r1").bitwiseAND(F.lit(numbers - 1)).alias("number"), F.shiftrightunsigned("r1", 58).cast("int")
+    bits = rows.groupBy(number).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    return _texts(docs).select("doc_id", "text", "r1", number).join(F.broadcast(bits), "number").where(F.getbit("bits", bit) == 1).select("doc_id", "text")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """a, b: of the pairs (as ``similarities`` takes them) those that the full sets confirm."""
+    rows = pairs.select(F.explode(F.array("ra", "rb")).alias("r1"))
+    return similarities(pairs, asked_texts(docs, rows)).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
+
+
 def with_pivots(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list's pivots and its members: its smallest set and, in long lists, some more."""
     n = members.join(nodes.select("node", "n"), "node")
@@ -166,7 +189,8 @@ def rare_fronts(left: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     have ``percent`` of the larger one in common, so of the smaller set's and of the larger set's shingles, the commonest
     last, the first that they share stands in both fronts, which are all but ``percent`` of a set."""
     long = left.where(F.col("length") > LONG).select("node").distinct().join(nodes.select("node", "k", "rep", "n"), "node")
-    texts = _texts(docs).select("r1", "text").join(long.hint("shuffle_merge"), F.col("r1") == F.col("rep")).select("node", "k", "n", "text")
+    long = stored(long, "long-members")
+    texts = _texts(asked_texts(docs, long.select(F.col("rep").alias("r1")))).select("r1", "text").join(long.hint("shuffle_merge"), F.col("r1") == F.col("rep")).select("node", "k", "n", "text")
 
     def run(batches):
         for batch in batches:
@@ -222,7 +246,7 @@ def join_open(left: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFra
     known = stored(first_lists(merged).join(nodes.select(*_OF_NODE), "node"), "known")
     for share in shares(merged):
         rest = stored(open_pairs(open_lists(merged, found), known, percent, share), "rest")
-        more = stored(similarities(rest, docs).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"), "more-links")
+        more = stored(linked(rest, docs, percent), "more-links")
         if not more.isEmpty():
             found = stored(connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
     return found
@@ -244,8 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     by_set = every.where("n > 0").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("low"), F.min("r1").alias("rep"), F.count("*").alias("n_rows"), *[F.min(c).alias(c) for c in ("sig", "bits", *_WORDS)])
     nodes = stored(by_set.withColumn("node", F.monotonically_increasing_id()), "nodes")  # stored, for the numbers must stay
     members = stored(lists(nodes), "lists")
-    near = F.col("both") * 100 >= F.col("either") * percent
-    links = stored(similarities(with_pivots(members, nodes, percent), docs).where(near).select("a", "b"), "links")
+    links = stored(linked(with_pivots(members, nodes, percent), docs, percent), "links")
     found = stored(connected(links), "components")
     found = join_open(open_lists(members, found), found, nodes, docs, percent)
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -139,3 +139,35 @@ def test_loose_group_makes_few_links(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)) == want
     links = 495 * 32 // 2
     assert len({r[2] for r in want}) == 21 and sum(measured[1:]) < links / 2
+
+
+def test_texts_that_no_pair_asks_for_stay(spark, monkeypatch):
+    """Of 600 texts 20 are in pairs: few of the others are handed to the joins that shuffle texts."""
+    handed, measure = [], sj.similarities
+
+    def counted(pairs, docs):
+        handed.append(docs.count())
+        return measure(pairs, docs)
+
+    monkeypatch.setattr(sj, "similarities", counted)
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(40))) for i in range(590)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(10)]
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == expected(rows)
+    assert handed and max(handed) < 300
+
+
+@pytest.mark.parametrize("most", [2**25, 64])
+def test_asked_texts_are_all_there(spark, monkeypatch, most):
+    monkeypatch.setattr(sj, "MOST_BITS", most)
+    rows = [(None if i % 50 == 0 else i // 2, None if i % 70 == 0 else f"text {i}") for i in range(800)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id bigint, text string").withColumn("r1", F.lit("clash"))
+    keyed = sj._texts(docs).select("doc_id", "text", "r1")
+    every = [(r["r1"], (r["doc_id"], r["text"])) for r in keyed.collect()]
+    asked = dict(every[:200])
+    got = sj.asked_texts(docs, spark.createDataFrame([(r,) for r in asked], "r1 bigint"))
+    assert got.columns == ["doc_id", "text"]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(repr(x) for r, x in every if r in asked) == sorted(repr(x) for x in rows if x in asked.values())
+    assert len(rows) < 400 or most == 64
+    assert sj.asked_texts(docs, spark.createDataFrame([], "r1 bigint")).isEmpty()
