@@ -206,17 +206,19 @@ def fold_while(values: Column, start: Column, step, go_on) -> Column:
     return F.aggregate(values, state, one, lambda s: s["value"])
 
 
-def partition(a: DataFrame, axis: int, kth: int) -> DataFrame:
-    """Marks each lane's elements: ``side`` -1 below the element of rank ``kth``, 0 it, 1 above; ties by place."""
+def _lane_rank(a: DataFrame, axis: int) -> Column:
+    """An element's rank in its lane, from 0; ties by place, nulls last."""
     by = [c for c in axes(a) if c != f"i{axis}"]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("v", f"i{axis}")) - 1
-    return a.withColumn("side", F.signum(rank - kth).cast("int"))
+    return F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("v"), f"i{axis}")) - 1
+
+
+def partition(a: DataFrame, axis: int, kth: int) -> DataFrame:
+    """Marks each lane's elements: ``rank``, and ``side`` -1 below the element of rank ``kth``, 0 it, 1 above."""
+    return a.withColumn("rank", _lane_rank(a, axis).cast("bigint")).withColumn("side", F.signum(F.col("rank") - kth).cast("int"))
 
 
 def sorted_lanes(a: DataFrame, axis: int) -> DataFrame:
-    by = [c for c in axes(a) if c != f"i{axis}"]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("v", f"i{axis}")) - 1
-    return a.withColumn(f"i{axis}", rank.cast("bigint"))
+    return a.withColumn(f"i{axis}", _lane_rank(a, axis).cast("bigint"))
 
 
 def push(a: DataFrame, axis: int, length: int, part: DataFrame) -> DataFrame:

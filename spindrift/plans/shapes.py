@@ -144,8 +144,7 @@ def lane_maps(spark, d):
 def partition_sort(spark, d):
     a = _long(spark, d)
     ranked = shapes.sorted_lanes(a, 1).select("i0", F.col("i1").alias("rank"), "v")
-    both = shapes.partition(a, 1, 10)
-    return both.join(ranked, ["i0", "v"]).select("i0", "i1", "rank", "side", "v").where("sign(rank - 10) = side")
+    return shapes.partition(a, 1, 10).drop("v").join(ranked, ["i0", "rank"]).select("i0", "i1", "rank", "side", "v")
 
 
 @query(f"select i0, i1, v from {_LONG} union all select (select count(*) from embeddings), i1, -v from {_LONG} where i0 = 0 union all select i0, 64, i0 * 0.5::double from (select distinct i0 from {_LONG})")

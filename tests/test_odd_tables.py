@@ -45,3 +45,15 @@ def test_codes_next_to_whole_numbers(spark, tmp_path):
     embeddings(tmp_path, v.tolist())
     got, want = both(spark, tmp_path, "pack_round_trip")
     assert got == want
+
+
+def test_ranks_of_equal_elements(spark, tmp_path):
+    """Equal elements of a lane are one row each; nulls come last."""
+    v = [[float(x) for x in r] for r in vectors(4)]
+    v[0][20] = v[0][3] = v[0][50]
+    v[1] = [0.5] * 64
+    v[2][7] = v[2][9] = None
+    v[3] = [0.25, -1.0, 0.25]
+    embeddings(tmp_path, v)
+    got, want = both(spark, tmp_path, "partition_sort")
+    assert got == want
