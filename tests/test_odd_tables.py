@@ -57,3 +57,18 @@ def test_ranks_of_equal_elements(spark, tmp_path):
     embeddings(tmp_path, v)
     got, want = both(spark, tmp_path, "partition_sort")
     assert got == want
+
+
+def test_cosines_of_primes_without_a_shuffle_of_pairs(spark, monkeypatch):
+    from spindrift.operators import words
+
+    rows = [(i, p, (7 * i + 3 * j) % 5 + 1) for i in range(40) for j, p in enumerate("abc") if (i + j) % 4]
+    w = spark.createDataFrame(rows, "doc_id bigint, prime string, weight bigint")
+    found = words.similarity(w, w.where("doc_id % 10 = 1"), "doc_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" in plan and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(words, "COLUMNS", 2)
+    by_prime = words.similarity(w, w.where("doc_id % 10 = 1"), "doc_id")
+    key = lambda r: (r["query"], r["doc_id"])
+    a, b = ({key(r): r["similarity"] for r in f.collect()} for f in (found, by_prime))
+    assert a == pytest.approx(b) and len(a) > 100
