@@ -18,9 +18,10 @@ def project(v: Column) -> Column:
     from zero, within 16 bits; 0 where the vector has none."""
 
     def one(b: Column) -> Column:
-        mine = F.filter(v, lambda x, i: i % DIMENSIONS == b * STEP % DIMENSIONS)
-        mean = F.aggregate(mine, F.lit(0.0), lambda s, x: s + x) / F.size(mine)
-        return F.when(F.size(mine) > 0, F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.round(mean * SCALE)))).otherwise(0.0).cast("int")
+        start, last = b * STEP % DIMENSIONS, F.size(v) - 1
+        places = F.sequence(start, last, F.lit(DIMENSIONS))
+        mean = F.aggregate(places, F.lit(0.0), lambda s, i: s + F.get(v, i)) / (F.floor((last - start) / DIMENSIONS) + 1)
+        return F.when(start <= last, F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.round(mean * SCALE)))).otherwise(0.0).cast("int")
 
     return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), one)
 

@@ -1,7 +1,7 @@
 """Files of 17-number codes as a Spark data source: containers of tensors, plain code caches, palettes and palette layers.
 
-``spark.read.format("codes").option("kind", "container").load(folder)`` plans one task for each block of rows of each file;
-planning reads headers only. Writers put each task's rows into files of their own under ``_temporary`` and the driver
+``spark.read.format("codes").option("kind", "container").load(folder)`` plans one task for each block of rows of each file,
+whose small pieces share blocks; planning reads headers only. Writers put each task's rows into files of their own under ``_temporary`` and the driver
 moves those of the attempts that count into place when all tasks are done, so a failed or repeated task leaves no file.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,48 +27,102 @@ from spindrift.sources.tensors import open_uri
 #: Fixed values of the formats: magic words, and the numbers of a container's layer types.
 CONTAINER, LAYERS = b"BGZ7", b"PAL8"
 LAYER_TYPES = ("attention", "feed_forward", "conv2d", "norm", "embedding", "skip")
-#: Bytes of a code, and rows that a task reads.
-WIDTH, BLOCK = 2 * DIMENSIONS, 262_144
+#: Bytes of a code, rows that a task reads at most, and bytes that planning reads at once.
+WIDTH, BLOCK, BUFFER = 2 * DIMENSIONS, 262_144, 1 << 16
 SCHEMAS = {"container": "tensor string, layer string, n_cols int, row bigint, code array<int>", "cache": "row bigint, code array<int>"}
 
 
 @dataclass
 class Block(InputPartition):
+    """``count`` rows of a file in ``size`` bytes from ``offset`` on, which is in the first piece's codes: of that one the
+    block has ``rows``, from row ``first`` on. Pieces that follow are read with their headers."""
+
     path: str
     offset: int
-    first: int
+    size: int
     count: int
+    first: int = 0
+    rows: int = 0
     tensor: str | None = None
     layer: str | None = None
     n_cols: int = 0
 
 
-def _piece(name: str) -> tuple[str, int]:
+@dataclass
+class Piece:
+    """Consecutive rows of a tensor; ``offset`` is that of their codes."""
+
+    offset: int
+    first: int
+    n_rows: int
+    tensor: str | None = None
+    layer: str | None = None
+    n_cols: int = 0
+
+
+def _name(name: str) -> tuple[str, int]:
     """A tensor in several files is written in pieces, whose names end with # and their first row."""
     head, mark, first = name.rpartition("#")
     return (head, int(first)) if mark and first.isdigit() else (name, 0)
 
 
-def _container_blocks(path: str, source) -> Iterator[Block]:
-    take = lambda kind, at: struct.unpack("<" + kind, source.read_at(struct.calcsize("<" + kind), at))
-    if source.read_at(4, 0) != CONTAINER:
+def _piece(take: Callable[[int, int], bytes], at: int) -> Piece:
+    """The piece whose header is at an offset; ``take`` gives a number of bytes from an offset on."""
+    length = struct.unpack("<I", take(4, at))[0]
+    raw = take(length + 9, at + 4)
+    (name, first), (kind, n_rows, n_cols) = _name(raw[:length].decode()), struct.unpack_from("<BII", raw, length)
+    return Piece(at + 13 + length, first, n_rows, name, LAYER_TYPES[min(kind, 5)], n_cols)
+
+
+def _buffered(source) -> Callable[[int, int], bytes]:
+    """Reads of a few bytes, in order, out of larger ones."""
+    start, held = 0, b""
+
+    def take(n: int, at: int) -> bytes:
+        nonlocal start, held
+        if not start <= at <= at + n <= start + len(held):
+            start, held = at, source.read_at(max(n, BUFFER), at)
+        return held[at - start : at - start + n]
+
+    return take
+
+
+def _container_pieces(path: str, source) -> Iterator[Piece]:
+    take = _buffered(source)
+    if take(4, 0) != CONTAINER:
         raise ValueError(f"{path} is not a container of codes")
-    n, at = take("I", 4)[0], 8
+    n, at = struct.unpack("<I", take(4, 4))[0], 8
     for _ in range(n):
-        length = take("I", at)[0]
-        name, first = _piece(source.read_at(length, at + 4).decode())
-        kind, n_rows, n_cols = take("BII", at + 4 + length)
-        at += 4 + length + 9
-        yield Block(path, at, first, n_rows, name, LAYER_TYPES[min(kind, 5)], n_cols)
-        at += n_rows * WIDTH
+        piece = _piece(take, at)
+        yield piece
+        at = piece.offset + piece.n_rows * WIDTH
 
 
-def _cache_blocks(path: str, source) -> Iterator[Block]:
+def _cache_pieces(path: str, source) -> Iterator[Piece]:
     n, width = struct.unpack("<II", source.read_at(8, 0))
     if width != DIMENSIONS:
         raise ValueError(f"{path} has codes of {width} numbers, not of {DIMENSIONS}")
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0].rsplit("-", 1)[-1]
-    yield Block(path, 8, int(stem) if stem.isdigit() else 0, n)
+    yield Piece(8, int(stem) if stem.isdigit() else 0, n)
+
+
+def _blocks(path: str, pieces: Iterator[Piece], most: int) -> Iterator[Block]:
+    """Blocks of up to ``most`` rows: a large piece is cut, small ones that follow each other share a block."""
+    block = None
+    for p in pieces:
+        done = 0
+        while done < p.n_rows:
+            if block is None:
+                block = Block(path, p.offset + done * WIDTH, 0, 0, p.first + done, min(most, p.n_rows - done), p.tensor, p.layer, p.n_cols)
+            n = min(most - block.count, p.n_rows - done)
+            done += n
+            block.count += n
+            block.size = p.offset + done * WIDTH - block.offset
+            if block.count == most:
+                yield block
+                block = None
+    if block is not None:
+        yield block
 
 
 def _lists(raw: bytes) -> pa.Array:
@@ -88,10 +142,8 @@ class CodesReader(DataSourceReader):
         out = []
         for x in sorted(every, key=lambda x: x.path):
             with system.open_input_file(x.path) as source:
-                found = list((_container_blocks if self.kind == "container" else _cache_blocks)(x.path, source))
-            for b in found:
-                for k in range(0, b.count, self.block):
-                    out.append(Block(b.path, b.offset + k * WIDTH, b.first + k, min(self.block, b.count - k), b.tensor, b.layer, b.n_cols))
+                pieces = (_container_pieces if self.kind == "container" else _cache_pieces)(x.path, source)
+                out += _blocks(x.path, pieces, self.block)
         return out or [Block("", 0, 0, 0)]
 
     def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
@@ -99,11 +151,23 @@ class CodesReader(DataSourceReader):
         raw = b""
         if partition.count:
             with open_uri(self.path)[0].open_input_file(partition.path) as source:
-                raw = source.read_at(partition.count * WIDTH, partition.offset)
-        n = partition.count
-        columns = [pa.array(np.arange(partition.first, partition.first + n)), _lists(raw)]
+                raw = source.read_at(partition.size, partition.offset)
+        take, left, codes = lambda n, at: raw[at : at + n], partition.count, []
+        pieces = [Piece(0, partition.first, partition.rows, partition.tensor, partition.layer, partition.n_cols)]
+        while True:
+            last = pieces[-1]
+            last.n_rows = min(last.n_rows, left)
+            end = last.offset + last.n_rows * WIDTH
+            codes.append(raw[last.offset : end])
+            left -= last.n_rows
+            if not left:
+                break
+            pieces.append(_piece(take, end))
+        ns = [p.n_rows for p in pieces]
+        columns = [pa.array(np.concatenate([np.arange(p.first, p.first + p.n_rows) for p in pieces])), _lists(b"".join(codes))]
         if self.kind == "container":
-            columns = [pa.array([partition.tensor] * n, pa.string()), pa.array([partition.layer] * n, pa.string()), pa.array([partition.n_cols] * n, pa.int32()), *columns]
+            each = lambda values, t: pa.array(np.repeat(np.asarray(values, object), ns), t)
+            columns = [each([p.tensor for p in pieces], pa.string()), each([p.layer for p in pieces], pa.string()), each([p.n_cols for p in pieces], pa.int32()), *columns]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -147,7 +211,7 @@ class CodesWriter(DataSourceWriter):
 
     @staticmethod
     def _tensor(tensor: str, layer: str, n_cols: int, first: int, codes: list[bytes]) -> list[bytes]:
-        name = (f"{tensor}#{first}" if first or _piece(tensor)[0] != tensor else tensor).encode()
+        name = (f"{tensor}#{first}" if first or _name(tensor)[0] != tensor else tensor).encode()
         kind = LAYER_TYPES.index(layer) if layer in LAYER_TYPES else 5
         return [struct.pack("<I", len(name)), name, struct.pack("<BII", kind, len(codes), n_cols), *codes]
 

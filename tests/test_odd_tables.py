@@ -72,3 +72,15 @@ def test_cosines_of_primes_without_a_shuffle_of_pairs(spark, monkeypatch):
     key = lambda r: (r["query"], r["doc_id"])
     a, b = ({key(r): r["similarity"] for r in f.collect()} for f in (found, by_prime))
     assert a == pytest.approx(b) and len(a) > 100
+
+
+def test_small_pieces_share_blocks(spark, tmp_path):
+    """Every other row of a tensor: as many pieces as rows, but tasks by the block."""
+    from spindrift.sources import codes
+
+    rows = [(t, "norm", 64, i, [i % 100] * 17) for t in ("a", "b#3") for i in range(0, 400, 2)] + [("c", "skip", 8, i, [i] * 17) for i in range(130)]
+    folder = f"file://{tmp_path}/c"
+    codes.write_codes(spark.createDataFrame(rows, codes.SCHEMAS["container"]), folder, tasks=2)
+    back = codes.read_codes(spark, folder, block=50)
+    assert back.rdd.getNumPartitions() <= 530 / 50 + 2
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
