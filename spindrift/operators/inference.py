@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators import blockwise
 from spindrift.operators.lineage import kept
-from spindrift.operators.search import pair_with
+from spindrift.operators.search import top_k_per
 
 LEVELS = ("Noise", "Free", "Pair", "Core")
 
@@ -44,17 +45,21 @@ def compose(facts: DataFrame, planes: int = 3, limit: int | None = None) -> Data
     return known
 
 
-def infer(queries: DataFrame, codebook: DataFrame, distance) -> DataFrame:
-    """query_id, mode, entry, d: the codebook entry (entry, fp) nearest to what unbinding gives; the smaller entry on ties.
+def infer(queries: DataFrame, codebook: DataFrame) -> DataFrame:
+    """query_id, mode, entry, d: the codebook entry (entry, fp) in which the fewest bits differ from what unbinding gives; the
+    smaller entry on ties.
 
     ``queries``: query_id, mode and the prints that the mode needs: Forward takes ``po`` and ``p`` (what is the object?),
     Backward ``sp`` and ``p`` (the subject?), Abduction ``sp`` and ``s`` (the predicate?). A binding is an exclusive or, so
-    the bound print and the known one give the third. Queries without the prints that they need have no row."""
+    the bound print and the known one give the third. Queries without the prints that they need have no row. Estimates meet
+    the codebook block by block, and a task hands on one entry for each."""
     bound, known = F.when(F.col("mode") == "Forward", F.col("po")).otherwise(F.col("sp")), F.when(F.col("mode") == "Abduction", F.col("s")).otherwise(F.col("p"))
     estimate = queries.select("query_id", "mode", bound.bitwiseXOR(known).alias("estimate")).where("estimate is not null")
-    pairs = pair_with(codebook.select("entry", "fp"), estimate)
-    best = F.min(F.struct(distance(F.col("fp"), F.col("estimate")).alias("d"), "entry"))
-    return pairs.groupBy("query_id", "mode").agg(best.alias("x")).select("query_id", "mode", "x.entry", "x.d")
+    asked = kept(estimate.withColumn("number", F.monotonically_increasing_id()))
+    prints = codebook.select("entry", F.array("fp").alias("words"))
+    found = blockwise.nearest_prints(prints, asked.select(F.col("number").alias("query_id"), F.array("estimate").alias("q")), "entry", "words", 1)
+    best = top_k_per(found.withColumnRenamed("query_id", "number"), "number", "cost", "entry", 1)
+    return best.join(asked, "number").select("query_id", "mode", "entry", F.col("cost").alias("d"))
 
 
 def _turned(word: Column, shift: Column) -> Column:

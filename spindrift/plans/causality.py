@@ -45,7 +45,7 @@ def inferred_slots(spark, d):
     xor = lambda a, b: F.col(a).bitwiseXOR(F.col(b))
     known = q.select("query_id", xor("s", "p").alias("sp"), xor("p", "o").alias("po"), F.col("p").bitwiseXOR(noise).alias("p"), F.col("s").bitwiseXOR(noise).alias("s"))
     modes = reduce(lambda a, b: a.unionByName(b), [known.withColumn("mode", F.lit(m)) for m in ("Forward", "Backward", "Abduction")])
-    return inference.infer(modes, prints.withColumnRenamed("vec_id", "entry"), V.hamming)
+    return inference.infer(modes, prints.withColumnRenamed("vec_id", "entry"))
 
 
 _EDGES = "(select a.vec_id, a.embedding as s, b.embedding as t, 1 + a.label as shift from embeddings a join embeddings b on b.vec_id = case when a.vec_id % 10 = 0 then a.vec_id else a.vec_id + 1 end)"

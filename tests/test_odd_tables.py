@@ -84,3 +84,33 @@ def test_small_pieces_share_blocks(spark, tmp_path):
     back = codes.read_codes(spark, folder, block=50)
     assert back.rdd.getNumPartitions() <= 530 / 50 + 2
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+
+
+def test_entries_nearest_to_what_is_inferred(spark, tmp_path):
+    """Equal prints and several blocks; no pair of a query and an entry reaches an aggregate."""
+    v = vectors(350)
+    v[200:260] = v[100:160]
+    embeddings(tmp_path, v.tolist())
+    got, want = both(spark, tmp_path, "inferred_slots")
+    assert got == want and len(got) == 12
+    plan = catalog.QUERIES["inferred_slots"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    """Words with their top bit set, blocks of a few rows, ties by id, rows that can't be compared."""
+    from spindrift.operators import blockwise
+
+    monkeypatch.setattr(blockwise, "BASE_ROWS", 7)
+    monkeypatch.setattr(blockwise, "QUERY_ROWS", 2)
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(-(2**63), 2**63 - 1, (50, 3))
+    x[30:] = x[:20]
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(90, None), (91, [1, None, 2]), (92, [1])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, w array<bigint>")
+    found = blockwise.nearest_prints(frame, frame.where("vec_id % 9 = 0").selectExpr("vec_id as query_id", "w as q"), "vec_id", "w", 4)
+    best = {}
+    for r in found.collect():
+        best.setdefault(r["query_id"], []).append((r["cost"], r["vec_id"]))
+    d = lambda a, b: sum(bin((int(p) ^ int(q)) & (2**64 - 1)).count("1") for p, q in zip(a, b))
+    assert {q: sorted(f)[:4] for q, f in best.items()} == {q: sorted((d(x[q], y), i) for i, y in enumerate(x))[:4] for q in range(0, 50, 9)}
