@@ -114,3 +114,19 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
         best.setdefault(r["query_id"], []).append((r["cost"], r["vec_id"]))
     d = lambda a, b: sum(bin((int(p) ^ int(q)) & (2**64 - 1)).count("1") for p, q in zip(a, b))
     assert {q: sorted(f)[:4] for q, f in best.items()} == {q: sorted((d(x[q], y), i) for i, y in enumerate(x))[:4] for q in range(0, 50, 9)}
+
+
+def test_rank_correlation_of_counted_pairs(spark):
+    """Counts of pairs and their rank correlation as brute force has them; pairs of a row with itself don't count."""
+    from spindrift.operators import blockwise, numerics
+
+    rnd = np.random.default_rng(6)
+    x = rnd.integers(-(2**63), 2**63 - 1, (40, 4))
+    x[5] = x[9]
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, w array<bigint>")
+    cells = blockwise.counted_pairs(frame, frame.where("vec_id % 5 = 0").selectExpr("vec_id as query_id", "w as q"), "vec_id", "w", 1)
+    bits = lambda a, b: sum(bin((int(p) ^ int(q)) & (2**64 - 1)).count("1") for p, q in zip(a, b))
+    pairs = [(bits(x[q][:1], x[i][:1]), bits(x[q][1:], x[i][1:])) for q in range(0, 40, 5) for i in range(40) if i != q]
+    assert sorted((r["a"], r["b"]) for r in cells.collect() for _ in range(r["n"])) == sorted(pairs)
+    a, b = ([sum(w < v for w in c) + (c.count(v) + 1) / 2 for v in c] for c in map(list, zip(*pairs)))
+    assert numerics.spearman_of_counts(cells, "a", "b").first()["rho"] == pytest.approx(np.corrcoef(a, b)[0, 1])
