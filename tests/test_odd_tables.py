@@ -130,3 +130,13 @@ def test_rank_correlation_of_counted_pairs(spark):
     assert sorted((r["a"], r["b"]) for r in cells.collect() for _ in range(r["n"])) == sorted(pairs)
     a, b = ([sum(w < v for w in c) + (c.count(v) + 1) / 2 for v in c] for c in map(list, zip(*pairs)))
     assert numerics.spearman_of_counts(cells, "a", "b").first()["rho"] == pytest.approx(np.corrcoef(a, b)[0, 1])
+
+
+def test_cosines_of_equal_and_empty_directions(spark, tmp_path):
+    """Copies tie by id wherever their block ends; no cosine is summed pair by pair in the plan."""
+    v = vectors(450)
+    v[300:400] = v[:100]
+    embeddings(tmp_path, v.tolist())
+    got, want = both(spark, tmp_path, "cosine_knn_join")
+    assert got == want and len(got) == 25
+    assert "MapInArrow" in catalog.QUERIES["cosine_knn_join"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
