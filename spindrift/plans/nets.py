@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import nets, search
+from spindrift.operators import blockwise, nets, search
 
 from .cascades import _GATE, _K0, _K1, _wide_pairs, _WIDE
 from .numeric import _r
@@ -42,7 +42,7 @@ def byte_work_search(spark, d):
     """Vectors as bytes within 1,900 of each query."""
     code = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 256 + 128))).cast("int"))
     e = table(spark, d, "embeddings").select("vec_id", code.alias("c"))
-    return nets.work_search(search.pair_with(e, _queries(e, query_id="vec_id", q="c")), "c", "q", 1900).select("query_id", "vec_id", "d")
+    return blockwise.within_work(e, _queries(e, query_id="vec_id", q="c"), "vec_id", "c", 1900)
 
 
 _PASS = "(o_orderkey % 256 & 5) = 5 and (o_orderkey % 256 & 64) = 0"

@@ -140,3 +140,21 @@ def test_cosines_of_equal_and_empty_directions(spark, tmp_path):
     got, want = both(spark, tmp_path, "cosine_knn_join")
     assert got == want and len(got) == 25
     assert "MapInArrow" in catalog.QUERIES["cosine_knn_join"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_work_of_bytes_block_by_block(spark, tmp_path, monkeypatch):
+    from spindrift.operators import blockwise
+
+    v = vectors(330) * 0.8
+    v[7] = 3.0
+    v[8] = -3.0
+    v[100] = 3.0
+    embeddings(tmp_path, v.tolist())
+    got, want = both(spark, tmp_path, "byte_work_search")
+    assert got == want and len(got) > 10
+    rnd = np.random.default_rng(7)
+    x = rnd.integers(0, 256, (30, 1030))  # more than a lane of 16 bits holds, and no multiple of eight
+    x[0], x[1] = 0, 255
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, c array<int>")
+    found = blockwise.within_work(frame, frame.where("vec_id < 4").selectExpr("vec_id as query_id", "c as q"), "vec_id", "c", 300_000)
+    assert {(r["query_id"], r["vec_id"]): r["d"] for r in found.collect()} == {(q, i): int(np.abs(x[i] - x[q]).sum()) for q in range(4) for i in range(30)}
