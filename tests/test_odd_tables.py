@@ -158,3 +158,18 @@ def test_work_of_bytes_block_by_block(spark, tmp_path, monkeypatch):
     frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, c array<int>")
     found = blockwise.within_work(frame, frame.where("vec_id < 4").selectExpr("vec_id as query_id", "c as q"), "vec_id", "c", 300_000)
     assert {(r["query_id"], r["vec_id"]): r["d"] for r in found.collect()} == {(q, i): int(np.abs(x[i] - x[q]).sum()) for q in range(4) for i in range(30)}
+
+
+def test_nearest_by_codes_without_a_join_of_pairs(spark):
+    """Copies tie by id; survivors of the bounds aren't joined with their vectors again."""
+    from spindrift.operators import search
+
+    x = vectors(120).astype(float)
+    x[60:] = x[:60]
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, v array<double>")
+    books = search.train_codebooks(frame, "v", k=16)
+    found = search.bounded_code_knn(frame, frame.where("vec_id % 40 = 0"), "v", books, 6, 10)
+    want = [(q, n + 1, i) for q in (0, 40, 80) for n, (_, i) in enumerate(sorted((float(((x[i] - x[q]) ** 2).sum()), i) for i in range(120))[:6])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
